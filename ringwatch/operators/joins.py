@@ -70,17 +70,12 @@ def attach_texts(results: DataFrame) -> DataFrame:
     )
 
 
-def history_mapping(requested: DataFrame, dictionary: DataFrame, order_col: str = "row_id") -> DataFrame:
+def history_mapping(requested: DataFrame, dictionary: DataFrame, order_col: str = "row_id", keys=("point_cn_name",)) -> DataFrame:
     """Code and unit of each requested name; a later dictionary row replaces an earlier one."""
-    known = dictionary.join(requested.select("point_cn_name").distinct(), "point_cn_name", "left_semi")
-    last = known.groupBy("shield_id", "point_cn_name").agg(
-        F.max_by(F.struct("point_code", "point_unit"), F.col(order_col)).alias("m")
-    )
+    known = dictionary.join(requested.select(*keys).distinct(), list(keys), "left_semi")
+    last = known.groupBy(*keys).agg(F.max_by(F.struct("point_code", "point_unit"), F.col(order_col)).alias("m"))
     return last.select(
-        "shield_id",
-        "point_cn_name",
-        F.trim("m.point_code").alias("code"),
-        F.coalesce("m.point_unit", F.lit("")).alias("unit"),
+        *keys, F.trim("m.point_code").alias("code"), F.coalesce("m.point_unit", F.lit("")).alias("unit")
     )
 
 
