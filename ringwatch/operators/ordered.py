@@ -16,7 +16,7 @@ RING_SPAN = 4096
 
 
 def time_slice(df: DataFrame, time_col: str = "time", seconds: int = SLICE_SECONDS) -> Column:
-    """Number of the fixed-width time span a row falls into; rises with time."""
+    """Number of the fixed-width time span a row falls into; rises with time, unknown times last."""
     c = F.col(time_col)
     if isinstance(df.schema[time_col].dataType, TimestampNTZType):
         days = F.datediff(c.cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
@@ -24,7 +24,7 @@ def time_slice(df: DataFrame, time_col: str = "time", seconds: int = SLICE_SECON
         epoch = days * 86400 + in_day
     else:
         epoch = F.unix_seconds(c)
-    return F.coalesce(F.floor(epoch / F.lit(seconds)).cast("bigint"), F.lit(-(2**40)))
+    return F.coalesce(F.floor(epoch / F.lit(seconds)).cast("bigint"), F.lit(2**40))
 
 
 def ring_slice(ring: Column, span: int = RING_SPAN) -> Column:

@@ -130,7 +130,8 @@ SELECT event_id AS seq_id,
        CASE WHEN event_id % 10 < 6 THEN 'train' WHEN event_id % 10 < 8 THEN 'val' ELSE 'test' END AS split,
        concat('c', event_id % 6) AS stratum,
        value / (value + 50.0e0) AS ae_error,
-       (event_id * 37 % 1009) / 1024.0e0 - 0.25e0 AS if_anomaly
+       (event_id * 37 % 1009) / 1024.0e0 - 0.25e0 AS if_anomaly,
+       ts AS end_time
 FROM {events}
 """
 
