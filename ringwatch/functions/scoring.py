@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ringwatch import catalog
@@ -156,17 +156,25 @@ def _poly(coefficients, x: Column) -> Column:
     return acc
 
 
-def normal_cdf(z: Column) -> Column:
-    """Standard normal distribution function from built-in arithmetic (Spark has no erf)."""
-    y = F.abs(z) / F.lit(2.0**0.5)
-    square = y * y
-    near = y * _poly(_ERF_NEAR[0], square) / _poly(_ERF_NEAR[1], square)
-    middle = F.exp(-square) * _poly(_ERFC_MIDDLE[0], y) / _poly(_ERFC_MIDDLE[1], y)
-    inverse = F.lit(1.0) / square
-    far = (
-        F.exp(-square)
-        * (F.lit(_INV_SQRT_PI) - inverse * _poly(_ERFC_FAR[0], inverse) / _poly(_ERFC_FAR[1], inverse))
-        / y
+def with_normal_cdf(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Add the standard normal distribution function of columns (``{output: input}``).
+
+    Built from arithmetic, as Spark has no error function. Powers are staged as columns so
+    that each is computed once.
+    """
+    staged = df.withColumns({f"_y_{o}": F.abs(F.col(c)) / F.lit(2.0**0.5) for o, c in columns.items()})
+    staged = staged.withColumns({f"_q_{o}": F.col(f"_y_{o}") * F.col(f"_y_{o}") for o in columns})
+    staged = staged.withColumns({f"_e_{o}": F.exp(-F.col(f"_q_{o}")) for o in columns})
+    staged = staged.withColumns({f"_i_{o}": F.try_divide(F.lit(1.0), F.col(f"_q_{o}")) for o in columns})
+    tails = {}
+    for o in columns:
+        y, square, decay, inverse = (F.col(f"_{p}_{o}") for p in "yqei")
+        near = F.lit(1.0) - y * _poly(_ERF_NEAR[0], square) / _poly(_ERF_NEAR[1], square)
+        middle = decay * _poly(_ERFC_MIDDLE[0], y) / _poly(_ERFC_MIDDLE[1], y)
+        far = decay / y * (F.lit(_INV_SQRT_PI) - inverse * _poly(_ERFC_FAR[0], inverse) / _poly(_ERFC_FAR[1], inverse))
+        tails[f"_t_{o}"] = F.when(y <= 0.46875, near).when(y <= 4.0, middle).otherwise(far) * F.lit(0.5)
+    out = staged.withColumns(tails)
+    out = out.withColumns(
+        {o: F.when(F.col(c) < 0, F.col(f"_t_{o}")).otherwise(F.lit(1.0) - F.col(f"_t_{o}")) for o, c in columns.items()}
     )
-    tail = F.when(y <= 0.46875, F.lit(1.0) - near).when(y <= 4.0, middle).otherwise(far) * F.lit(0.5)
-    return F.when(z < 0, tail).otherwise(F.lit(1.0) - tail)
+    return out.drop(*[f"_{p}_{o}" for p in "yqeit" for o in columns])

@@ -10,6 +10,7 @@ from ringwatch.catalog import ModelConfig
 from ringwatch.functions import scoring
 from ringwatch.operators import profiles
 from ringwatch.operators.quantiles import exact_percentiles
+from ringwatch.scratch import materialize
 
 MIN_SCORES = 20
 MAD_SCALE = 1.4826
@@ -17,11 +18,12 @@ NEWTON_STEPS = 60
 TOLERANCE = 1e-13
 
 
-def _median_and_deviation(cells: DataFrame, keys: list[str], weight: str | None) -> DataFrame:
-    medians = exact_percentiles(cells, keys, "value", {"median": 0.5}, weight).drop("n")
-    # one row per key: a small side Spark can broadcast by its measured size
-    off = cells.join(medians, keys).withColumn("off", F.abs(F.col("value") - F.col("median")))
-    spread = exact_percentiles(off, keys, "off", {"raw": 0.5}, weight).drop("n")
+def _median_and_deviation(cells: DataFrame, keys: list[str], weight: Column) -> DataFrame:
+    # equal values are counted once; both passes then read this reduced table
+    counted = materialize(cells.groupBy(*keys, "value").agg(F.sum(weight).alias("many")))
+    medians = materialize(exact_percentiles(counted, keys, "value", {"median": 0.5}, "many").drop("n"))
+    off = counted.join(medians, keys).withColumn("off", F.abs(F.col("value") - F.col("median")))
+    spread = exact_percentiles(off, keys, "off", {"raw": 0.5}, "many").drop("n")
     mad = F.when(F.col("raw") > 0, F.col("raw") * MAD_SCALE).otherwise(1.0)
     return medians.join(spread, keys).select(*keys, "median", mad.alias("mad"))
 
@@ -55,13 +57,13 @@ def robust_scalers(points: DataFrame, geo_rings: DataFrame, config: ModelConfig
     ring with ``ring_points`` and the geology features. Geology repeats over a ring's
     windows, so each ring counts with its number of windows and all positions agree.
     """
-    machine = _median_and_deviation(point_cells(points, config), ["stratum", "feature", "pos"], None)
+    machine = _median_and_deviation(point_cells(points, config), ["stratum", "feature", "pos"], F.lit(1))
     weights = geo_rings.withColumn("_w", profiles.estimated_windows(F.col("ring_points"), config)).filter("_w > 0")
     long = weights.unpivot(["stratum", "_w"], catalog.GEO_FEATURES, "feature", "value")
-    geology = _median_and_deviation(long, ["stratum", "feature"], "_w")
+    geology = _median_and_deviation(long, ["stratum", "feature"], F.col("_w"))
     spread = F.explode(F.sequence(F.lit(0), F.lit(config.window_points - 1))).alias("pos")
     geology = geology.select("stratum", "feature", spread, "median", "mad")
-    found = machine.unionByName(geology)
+    found = materialize(machine.unionByName(geology))
     grid = (
         found.select("stratum").distinct()
         .crossJoin(F.broadcast(_feature_grid(found.sparkSession, config)))  # fixed 768 rows per stratum
@@ -79,10 +81,17 @@ def _feature_grid(spark, config: ModelConfig) -> DataFrame:
 
 def score_bounds(scores: DataFrame, keys: list[str], config: ModelConfig = ModelConfig()) -> DataFrame:
     """Lower and upper quantile of both raw scores."""
-    probs = {"low": config.scale_low_quantile, "high": config.scale_high_quantile}
-    ae = exact_percentiles(scores, keys, "ae_error", {f"ae_{k}": p for k, p in probs.items()}).drop("n")
-    iso = exact_percentiles(scores, keys, "if_anomaly", {f"if_{k}": p for k, p in probs.items()}).drop("n")
-    return ae.join(iso, keys)
+    both = F.array(
+        F.struct(F.lit("ae").alias("kind"), F.col("ae_error").alias("value")),
+        F.struct(F.lit("if").alias("kind"), F.col("if_anomaly").alias("value")),
+    )
+    long = scores.select(*keys, F.explode(both).alias("s")).select(*keys, "s.*")
+    found = exact_percentiles(
+        long, [*keys, "kind"], "value", {"low": config.scale_low_quantile, "high": config.scale_high_quantile}
+    )
+    return found.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("kind") == k, F.col(c))).alias(f"{k}_{c}") for k in ("ae", "if") for c in ("low", "high")]
+    )
 
 
 def combined_scores(scores: DataFrame, bounds: DataFrame, keys: list[str], config: ModelConfig = ModelConfig()) -> DataFrame:
@@ -93,15 +102,21 @@ def combined_scores(scores: DataFrame, bounds: DataFrame, keys: list[str], confi
     return scores.join(bounds, keys).withColumn("risk_score", risk).drop("ae_low", "ae_high", "if_low", "if_high")
 
 
-def silverman_bandwidth(scores: DataFrame, keys: list[str], score: str = "risk_score") -> DataFrame:
-    """Rule-of-thumb kernel width; NULL without spread or with fewer than two scores."""
-    moments = scores.filter(_finite(score)).groupBy(*keys).agg(F.stddev_samp(score).alias("std"))
-    quartiles = exact_percentiles(scores.filter(_finite(score)), keys, score, {"q25": 0.25, "q75": 0.75})
-    joined = moments.join(quartiles, keys).withColumn("iqr", F.col("q75") - F.col("q25"))
+def silverman_bandwidth(
+    scores: DataFrame, keys: list[str], score: str = "risk_score", extra: dict[str, float] | None = None
+) -> DataFrame:
+    """Rule-of-thumb kernel width; NULL without spread or with fewer than two scores.
+
+    ``extra`` asks for further quantiles from the same pass.
+    """
+    finite = scores.filter(_finite(score))
+    moments = finite.groupBy(*keys).agg(F.stddev_samp(score).alias("std"))
+    quantiles = exact_percentiles(finite, keys, score, {"q25": 0.25, "q75": 0.75, **(extra or {})})
+    joined = moments.join(quantiles, keys).withColumn("iqr", F.col("q75") - F.col("q25"))
     sigma = F.when(F.col("iqr") > 0, F.least(F.col("std"), F.col("iqr") / 1.349)).otherwise(F.col("std"))
     width = F.lit(0.9) * sigma * F.pow(F.col("n").cast("double"), F.lit(-0.2))
     usable = (F.col("n") >= 2) & (sigma > 1e-12)
-    return joined.select(*keys, "n", "std", "iqr", F.when(usable, width).alias("bandwidth"))
+    return joined.select(*keys, "n", "std", "iqr", F.when(usable, width).alias("bandwidth"), *(extra or {}))
 
 
 def _finite(score: str) -> Column:
@@ -121,16 +136,21 @@ def kde_thresholds(scores: DataFrame, keys: list[str], config: ModelConfig = Mod
     if not 0.0 < levels["low"] < levels["medium"] < levels["high"] < 1.0:
         raise ValueError("levels must rise within (0, 1)")
     spark = scores.sparkSession
-    finite = scores.filter(_finite(score)).select(*keys, F.col(score).cast("double").alias("_s")).persist()
-    widths = silverman_bandwidth(finite, keys, "_s").persist()
+    finite = scores.filter(_finite(score)).select(*keys, F.col(score).cast("double").alias("_s"))
+    finite = materialize(finite)
+    widths = silverman_bandwidth(finite, keys, "_s", {f"start_{k}": p for k, p in levels.items()})
 
     def kernel_sums(candidates: DataFrame, n: int) -> list:
+        # the candidates are one row per key
+        z = finite.join(F.broadcast(candidates), keys).withColumns(
+            {f"z{i}": (F.col(f"x{i}") - F.col("_s")) / F.col("h") for i in range(n)}
+        )
+        phi = scoring.with_normal_cdf(z, {f"phi{i}": f"z{i}" for i in range(n)})
         sums = []
         for i in range(n):
-            z = (F.col(f"x{i}") - F.col("_s")) / F.col("h")
-            sums.append(F.avg(scoring.normal_cdf(z)).alias(f"c{i}"))
-            sums.append((F.avg(F.exp(-z * z / 2) * F.lit(0.3989422804014327) / F.col("h"))).alias(f"d{i}"))
-        return finite.join(candidates, keys).groupBy(*keys).agg(*sums).collect()  # one row per key
+            density = F.exp(F.col(f"z{i}") * F.col(f"z{i}") * F.lit(-0.5)) * F.lit(0.3989422804014327) / F.col("h")
+            sums += [F.avg(f"phi{i}").alias(f"c{i}"), F.avg(density).alias(f"d{i}")]
+        return phi.groupBy(*keys).agg(*sums).collect()
 
     # one row per key (six strata), so the iteration state lives on the driver
     width_rows = widths.collect()
@@ -143,7 +163,9 @@ def kde_thresholds(scores: DataFrame, keys: list[str], config: ModelConfig = Mod
         elif r["bandwidth"] is None:
             failed.append((key, "no dispersion"))
         else:
-            state[key] = {"h": r["bandwidth"], "n": r["n"]}
+            # the empirical quantiles lie close to the smoothed ones
+            start = [min(max(r[f"start_{k}"], 0.0), 1.0) for k in levels]
+            state[key] = {"h": r["bandwidth"], "n": r["n"], "x": start}
     schema = scores.select(*keys).schema
     key_ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
     if state:
@@ -155,7 +177,7 @@ def kde_thresholds(scores: DataFrame, keys: list[str], config: ModelConfig = Mod
             failed.append((key, "no mass in [0, 1]"))
             del state[key]
     for s in state.values():
-        s["lo"], s["hi"], s["x"] = [0.0] * 3, [1.0] * 3, [0.5, 0.75, 0.9]
+        s["lo"], s["hi"] = [0.0] * 3, [1.0] * 3
         s["done"] = [False] * 3
     targets = list(levels.values())
     for _ in range(NEWTON_STEPS):
@@ -188,8 +210,6 @@ def kde_thresholds(scores: DataFrame, keys: list[str], config: ModelConfig = Mod
         status = "ok" if low < medium < high else "not strictly ordered"
         rows.append((*key, s["n"], s["h"], low, medium, high, status))
     rows += [(*key, None, None, None, None, None, why) for key, why in failed]
-    finite.unpersist()
-    widths.unpersist()
     return spark.createDataFrame(
         rows, f"{key_ddl}, n bigint, bandwidth double, low double, medium double, high double, status string"
     )

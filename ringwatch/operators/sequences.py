@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ringwatch.catalog import ModelConfig
 from ringwatch.operators.ordered import add_index, ring_slice
+from ringwatch.scratch import materialize
 
 WINDOW_CHUNK = 4096
 SPLIT_SEED_OFFSET = {"train": 11, "val": 17, "test": 23}
@@ -123,9 +124,9 @@ def sequence_steps(seqs: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def number_sequences(seqs: DataFrame, keys: list[str]) -> DataFrame:
+def number_sequences(seqs: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
     """Add ``seq_no`` (group order, then window order) and ``seq_count`` per key."""
-    sliced = seqs.select(*keys, "group_idx", "sequences").distinct().withColumn("_s", ring_slice(F.col("group_idx")))
+    sliced = groups.select(*keys, "group_idx", "sequences").withColumn("_s", ring_slice(F.col("group_idx")))
     part = [*keys, "_s"]
     inside = Window.partitionBy(*part).orderBy("group_idx").rowsBetween(Window.unboundedPreceding, -1)
     local = sliced.withColumn("_in", F.coalesce(F.sum("sequences").over(inside), F.lit(0)))
@@ -143,42 +144,40 @@ def number_sequences(seqs: DataFrame, keys: list[str]) -> DataFrame:
 def build_sequences(ring_counts: DataFrame, keys: list[str], config: ModelConfig = ModelConfig()) -> DataFrame:
     """Numbered sequences of every group of rings in ``ring_counts``."""
     groups = ring_groups(usable_rings(ring_counts, keys, config), keys, config)
-    return number_sequences(sequences(groups, keys), keys)
+    return number_sequences(sequences(groups, keys), groups, keys)
 
 
 def split_sequences(ring_counts: DataFrame, keys: list[str], config: ModelConfig = ModelConfig()) -> DataFrame:
     """Sequences labelled train/val/test, by rings or, where that fails, by sequence order.
 
     A source falls back when it has no val or no test sequences although all its rings
-    together give at least three.
+    together give at least three. The choice needs group sizes only, so sequences are
+    listed once, for the chosen groups.
     """
-    rings = ring_counts.select(*keys, "ring", "ring_points")
+    rings = materialize(ring_counts.select(*keys, "ring", "ring_points"))
     labelled = split_rings(rings, keys).drop("ring_idx", "ring_count")
-    by_ring = build_sequences(labelled, [*keys, "split"], config)
-    by_order = build_sequences(rings, keys, config)
+    by_ring = materialize(ring_groups(usable_rings(labelled, [*keys, "split"], config), [*keys, "split"], config))
+    by_order = materialize(ring_groups(usable_rings(rings, keys, config), keys, config))
     have = by_ring.groupBy(*keys).agg(
-        F.count_if(F.col("split") == "val").alias("_val"), F.count_if(F.col("split") == "test").alias("_test")
+        F.sum(F.when(F.col("split") == "val", F.col("sequences"))).alias("_val"),
+        F.sum(F.when(F.col("split") == "test", F.col("sequences"))).alias("_test"),
     )
-    total = by_order.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"))
-    mode = (
-        total.join(have, keys, "left")
-        .select(
-            *keys,
-            (
-                (F.col("_all") >= 3) & ((F.coalesce("_val", F.lit(0)) == 0) | (F.coalesce("_test", F.lit(0)) == 0))
-            ).alias("fallback"),
-        )
+    total = by_order.groupBy(*keys).agg(F.sum("sequences").alias("_all"))
+    nothing = F.lit(0)
+    falls_back = total.join(have, keys, "left").filter(
+        (F.col("_all") >= 3) & ((F.coalesce("_val", nothing) == 0) | (F.coalesce("_test", nothing) == 0))
     )
+    falls_back = materialize(falls_back.select(*keys))
     columns = [*keys, "split", "group_idx", "window_idx", "end_ring", "rings", "seq_no", "seq_count"]
-    kept = by_ring.join(mode.filter("NOT fallback"), keys, "left_semi").select(*columns, F.lit("ring_level").alias("split_mode"))
-    again = (
-        by_order.join(mode.filter("fallback"), keys, "left_semi")
-        .withColumn("split", split_by_position(F.col("seq_no"), F.col("seq_count")))
-        .select(*columns, F.lit("sequence_level_fallback").alias("split_mode"))
+    split_groups = by_ring.join(falls_back, keys, "left_anti")
+    kept = number_sequences(sequences(split_groups, [*keys, "split"]), split_groups, [*keys, "split"])
+    order_groups = by_order.join(falls_back, keys, "left_semi")
+    again = number_sequences(sequences(order_groups, keys), order_groups, keys).withColumn(
+        "split", split_by_position(F.col("seq_no"), F.col("seq_count"))
+    )
+    return kept.select(*columns, F.lit("ring_level").alias("split_mode")).unionByName(
+        again.select(*columns, F.lit("sequence_level_fallback").alias("split_mode"))
     )
-    # too short for either way: keep what the ring split gave
-    rest = by_ring.join(mode, keys, "left_anti").select(*columns, F.lit("ring_level").alias("split_mode"))
-    return kept.unionByName(again).unionByName(rest)
 
 
 def limit_sequences(seqs: DataFrame, keys: list[str], limit: int, seed: int) -> DataFrame:

@@ -10,6 +10,7 @@ from ringwatch.functions.rounding import with_rounded
 from ringwatch.operators import calibration, cleaning, profiles, sequences, windows
 from ringwatch.operators.ordered import add_index, time_slice
 from ringwatch.plans import training
+from ringwatch.scratch import materialize
 from ringwatch.plans.registered_joins import _CANDIDATES, _LAST_K, source_candidates
 from ringwatch.plans.registered_points import round_sql
 from ringwatch.sources import tables
@@ -481,7 +482,7 @@ def a19_risk_histogram(spark, sf_dir):
 
 @register("a18_calibration_audit")
 def a18_calibration_audit(spark, sf_dir):
-    scored = _combined(spark, sf_dir).persist()
+    scored = materialize(_combined(spark, sf_dir).select("stratum", "seq_id", "risk_score"))
     stored = calibration.kde_thresholds(scored, ["stratum"]).join(calibration.score_digest(scored, ["stratum"], ["seq_id"]), "stratum")
     return calibration.audit_calibration(scored, stored, ["stratum"], ["seq_id"])
 
