@@ -10,7 +10,7 @@ from ringwatch import catalog
 from ringwatch.functions import text
 from ringwatch.functions.rounding import with_rounded
 from ringwatch.operators import cleaning, joins, profiles, records, rules, sequences, triggers
-from ringwatch.operators.ordered import add_index, time_slice
+from ringwatch.operators.ordered import add_index, first_per_key, time_slice
 from ringwatch.sources import tables
 
 KEY_PARAMETER_SAMPLE = 300
@@ -178,3 +178,37 @@ def impact_parameters(spark) -> DataFrame:
     return catalog.display_fields(spark).groupBy("risk_type").agg(
         F.array_join(F.transform(ordered, lambda x: x["label"]), "，").alias("impact_parameters")
     )
+
+
+def ring_risk_report(raw_points: DataFrame, candidates: DataFrame, geo: DataFrame, models) -> DataFrame:
+    """All four risks per (shield, ring). Mud cake parameters come from the ring's first point."""
+    from ringwatch.plans import training
+
+    points = cleaning.dedupe_by_time(raw_points)
+    rule_rows = ring_rule_report(raw_points)
+    scores = training.score_shields(points, candidates, geo, models)
+    mud = training.mud_cake_results(points, scores, models)
+    fields = list(catalog.RISKS["mud_cake"].fields)
+    first = first_per_key(points.select("shield_id", "ring", "time", "point_id", *fields), ["shield_id", "ring"], ["time", "point_id"])
+    params = first.select(
+        "shield_id",
+        "ring",
+        warning_parameter_text(F.lit("mud_cake"), {"mud_cake": fields}).alias("warning_parameters"),
+    )
+    spark = raw_points.sparkSession
+    mud_rows = (
+        joins.attach_texts(mud.join(params, ["shield_id", "ring"]))
+        .join(_labels(spark), "risk_type")
+        .join(F.broadcast(impact_parameters(spark)), "risk_type")
+        .withColumns(
+            {
+                "risk_level": text.level_symbol(F.col("safety_level")),
+                "warning_text": F.coalesce(text.format_time_local(text.shift_to_local(F.col("warning_time"))), F.lit("-")),
+            }
+        )
+    )
+    columns = [
+        "shield_id", "ring", "risk_type", "risk_label", "safety_level", "risk_level", "probability", "risk_score", "potential_risk",
+        "fault_cause", "fault_reason", "fault_reason_analysis", "fault_measures", "impact_parameters", "warning_text", "warning_parameters",
+    ]
+    return rule_rows.select(*columns).unionByName(mud_rows.select(*columns))

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ringwatch import catalog
 from ringwatch.catalog import ModelConfig
 from ringwatch.functions import text
-from ringwatch.operators import calibration, joins, profiles, sequences, windows
+from ringwatch.functions.rounding import with_rounded
+from ringwatch.operators import calibration, forest, joins, profiles, reconstruction, rules, sequences, windows
+from ringwatch.operators.ordered import add_index
+from ringwatch.scratch import materialize
 
 SOURCE_KEYS = ["stratum", "data_source"]
 RING_KEYS = [*SOURCE_KEYS, "ring"]
@@ -92,3 +97,203 @@ def eligibility(points: DataFrame, candidates: DataFrame, geo: DataFrame, config
         .join(labels.select("shield_id", "ring", "cluster_label"), ["shield_id", "ring"])
         .select("shield_id", "ring", "rings", "points", ok.alias("eligible"), text.stratum_key(F.col("cluster_label")).alias("stratum"))
     )
+
+
+SEQ_KEYS = [*SOURCE_KEYS, "split", "group_idx", "window_idx"]
+
+
+@dataclass
+class TrainedModels:
+    """Bounded models of all strata and the scored calibration sequences."""
+
+    config: ModelConfig
+    scalers: DataFrame
+    reconstruction: DataFrame
+    forest: DataFrame
+    offsets: DataFrame
+    bounds: DataFrame
+    thresholds: DataFrame
+    scores: DataFrame
+    sequences: DataFrame
+    rings: DataFrame
+
+
+def window_inputs(normal: DataFrame, config: ModelConfig = ModelConfig()) -> DataFrame:
+    """Model columns of normalised windows: cells, padding and the flat trend values."""
+    trended = windows.window_trends(normal, "z", "mask", TBM, config)
+    # geology is constant in a window, so its trends are all 0 and carry no split
+    flat = F.flatten(F.transform("trends", lambda t: F.array(t["slope"], t["delta"], t["curvature"], t["spread"])))
+    pad = F.greatest(F.lit(config.window_points) - F.col("ring_points"), F.lit(0)).cast("int")
+    return trended.withColumns({"trend": flat, "pad": pad}).drop("trends", "vals", "ring_points")
+
+
+def draw_sequences(rings: DataFrame, config: ModelConfig = ModelConfig()) -> DataFrame:
+    """Split sequences, capped per stratum and split by a seeded draw."""
+    seqs = materialize(sequences.split_sequences(rings, SOURCE_KEYS, config))
+    limits = {"train": config.max_train_sequences, "val": config.max_val_sequences, "test": config.max_test_sequences}
+    parts = [
+        sequences.limit_sequences(
+            seqs.filter(F.col("split") == s), ["stratum", "split"], n, config.seed + sequences.SPLIT_SEED_OFFSET[s]
+        )
+        for s, n in limits.items()
+    ]
+    return materialize(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+
+
+def sequence_inputs(steps: DataFrame, window_rows: DataFrame, join_keys: list[str], seq_keys: list[str], config: ModelConfig = ModelConfig()) -> DataFrame:
+    """Per sequence: trend vector, reconstruction error and masked loss, from its six windows."""
+    cells = config.rings_per_sequence * len(catalog.FEATURES) * config.window_points
+    joined = steps.withColumnRenamed("window_idx", "seq_window").withColumnRenamed("step_window_idx", "window_idx")
+    seq_keys_ = ["seq_window" if k == "window_idx" else k for k in seq_keys]
+    rows = joined.join(window_rows, join_keys)
+    grouped = rows.groupBy(*seq_keys_).agg(
+        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("step", "trend"))), lambda s: s["trend"])).alias("vec"),
+        (F.sum("weighted_error") / cells).alias("ae_error"),
+        (F.sum("plain_error") / F.greatest(F.sum("measured"), F.lit(1.0))).alias("masked_loss"),
+        F.max(F.when(F.col("step") == config.rings_per_sequence - 1, F.col("end_time"))).alias("end_time"),
+        F.count(F.lit(1)).alias("_steps"),
+    )
+    return grouped.filter(F.col("_steps") == config.rings_per_sequence).drop("_steps").withColumnRenamed("seq_window", "window_idx")
+
+
+def fit_rows(scored: DataFrame, config: ModelConfig = ModelConfig()) -> DataFrame:
+    """Training sequences for the forest, evenly spaced when there are more than allowed."""
+    train = scored.filter("split = 'train'").withColumn("_s", F.lit(0))
+    # bounded: at most max_train_sequences rows per stratum
+    order = ["data_source", "group_idx", "window_idx"]
+    indexed = add_index(train, ["stratum"], "_s", order, total="n").drop("_s")
+    return sequences.evenly_sampled(indexed, config.max_fit_samples).drop("idx", "n")
+
+
+def train_models(fused: DataFrame, config: ModelConfig = ModelConfig()) -> TrainedModels:
+    """All strata at once: split, scale, window, reconstruct, isolate, calibrate."""
+    rings = materialize(ring_list(fused))
+    seqs = draw_sequences(rings, config)
+    steps = materialize(
+        sequences.sequence_steps(seqs, [*SOURCE_KEYS, "split"]).select(*SEQ_KEYS, "step", "ring", "step_window_idx")
+    )
+    scaler_rows = materialize(scalers(fused, config))
+    # only rings, then windows, that some drawn sequence uses
+    wanted = steps.groupBy(*RING_KEYS, F.col("step_window_idx").alias("window_idx")).agg(
+        F.count_if(F.col("split") == "train").cast("double").alias("weight")
+    )
+    used = fused.join(steps.select(*RING_KEYS).distinct(), RING_KEYS, "left_semi")
+    normal = normalized_windows(windows_of(used, config).join(wanted, [*RING_KEYS, "window_idx"]), scaler_rows, config)
+    inputs = materialize(window_inputs(normal, config))
+    model = materialize(reconstruction.fit_reconstruction(inputs.filter("weight > 0"), config))
+    keys = [*RING_KEYS, "window_idx"]
+    errors = reconstruction.window_errors(inputs, reconstruction.pack_reconstruction(model, config), keys, config)
+    rows = materialize(inputs.select(*keys, "trend", "end_time").join(errors, keys))
+    seq_rows = materialize(sequence_inputs(steps, rows, keys, SEQ_KEYS, config))
+    trees = materialize(forest.fit_forest(fit_rows(seq_rows, config), SEQ_KEYS, config))
+    raw = materialize(forest.score_forest(seq_rows, forest.pack_forest(trees, config)))
+    offsets = materialize(forest.anomaly_offset(fit_rows(raw, config), config))
+    anomalies = raw.join(F.broadcast(offsets), "stratum").withColumn("if_anomaly", F.col("if_raw") - F.col("if_offset"))
+    bounds = materialize(calibration.score_bounds(anomalies, ["stratum"], config))
+    scores = materialize(calibration.combined_scores(anomalies.drop("if_raw", "if_offset"), bounds, ["stratum"], config))
+    thresholds = calibration.kde_thresholds(scores, ["stratum"], config)
+    return TrainedModels(config, scaler_rows, model, trees, offsets, bounds, thresholds, scores, seqs, rings)
+
+
+def score_frame(models: TrainedModels) -> DataFrame:
+    return models.scores.select(*SEQ_KEYS, "ae_error", "if_anomaly", "risk_score")
+
+
+def training_metrics(models: TrainedModels) -> DataFrame:
+    """One metrics row per stratum: sequence counts, test level rates, thresholds."""
+    limits = models.thresholds.select("stratum", "low", "medium", "high", "bandwidth", "status")
+    test = models.scores.filter("split = 'test'").join(F.broadcast(limits), "stratum").filter("status = 'ok'")
+    rates = profiles.risk_level_counts(test, ["stratum"]).select(
+        "stratum", *[F.col(c).alias(f"test_{c}") for c in ("no_risk_rate", "low_rate", "medium_rate", "high_rate", "medium_high_rate")]
+    )
+    counts = models.scores.groupBy("stratum").agg(
+        *[F.count_if(F.col("split") == s).alias(f"{s}_sequences") for s in ("train", "val", "test")],
+        F.avg(F.when(F.col("split") == "train", F.col("masked_loss"))).alias("train_loss"),
+        F.avg(F.when(F.col("split") == "val", F.col("masked_loss"))).alias("val_loss"),
+    )
+    sizes = models.rings.groupBy("stratum").agg(F.sum("ring_points").alias("data_size"), F.count(F.lit(1)).alias("rings"))
+    dim = len(catalog.FEATURES) * models.config.window_points
+    return (
+        counts.join(sizes, "stratum")
+        .join(limits, "stratum", "left")
+        .join(rates, "stratum", "left")
+        .withColumns({"feature_count": F.lit(len(catalog.FEATURES)), "feature_dim": F.lit(dim)})
+    )
+
+
+def score_shields(points: DataFrame, candidates: DataFrame, geo: DataFrame, models: TrainedModels) -> DataFrame:
+    """Window scores of every eligible ring by the model of its stratum.
+
+    One row per (shield, ring, window); a ring whose stratum has no usable model gets one
+    row with ``status`` 'no model' and no score.
+    """
+    config = models.config
+    keys = ["shield_id", "ring"]
+    ready = materialize(eligibility(points, candidates, geo, config).filter("eligible").select(*keys, "stratum"))
+    usable = models.thresholds.filter("status = 'ok'").select("stratum")
+    no_model = ready.join(F.broadcast(usable), "stratum", "left_anti")
+    centers = ready.join(F.broadcast(usable), "stratum", "left_semi")
+    sizes = materialize(profiles.ring_sizes(points, ["shield_id"]))
+    near = joins.last_k_rings(joins.rings_with_index(points), config.rings_per_sequence)
+    # the six rings of a center always form one group whose latest ring is the center
+    n = F.col("points")
+    group_rings = centers.withColumnRenamed("ring", "center_ring").join(near, ["shield_id", "center_ring"]).join(sizes, keys)
+    has = F.when(n >= config.window_points, profiles.estimated_windows(n, config)).otherwise(F.lit(1))
+    groups = (
+        group_rings.withColumn("windows", has)
+        .groupBy("shield_id", "center_ring", "stratum")
+        .agg(
+            F.sort_array(F.collect_list(F.struct("ring", "windows"))).alias("members"),
+            F.max(F.when(F.col("ring") == F.col("center_ring"), F.col("windows"))).alias("sequences"),
+        )
+        .select(
+            "shield_id",
+            "center_ring",
+            "stratum",
+            "sequences",
+            F.col("center_ring").alias("end_ring"),
+            F.lit(0).cast("bigint").alias("group_idx"),
+            F.transform("members", lambda m, i: F.struct(i.alias("step"), m["ring"].alias("ring"), m["windows"].alias("windows"))).alias("rings"),
+        )
+    )
+    center_keys = ["shield_id", "center_ring", "stratum"]
+    steps = materialize(
+        sequences.sequence_steps(sequences.sequences(groups, center_keys), center_keys).drop("group_idx", "end_ring")
+    )
+    wanted = steps.select("shield_id", "ring", F.col("step_window_idx").alias("window_idx"), "stratum").distinct()
+    used = points.join(steps.select(*keys).distinct(), keys, "left_semi")
+    labelled = joins.geo_for_rings(used.select(*keys).distinct(), candidates, geo)
+    wins = windows.sliding_windows(used, keys, TBM, config)
+    model_wins = wins.join(labelled.drop("cluster_label"), keys).join(wanted, [*keys, "window_idx"])
+    inputs = materialize(window_inputs(normalized_windows(model_wins, models.scalers, config), config))
+    row_keys = [*keys, "window_idx", "stratum"]
+    errors = reconstruction.window_errors(inputs, reconstruction.pack_reconstruction(models.reconstruction, config), row_keys, config)
+    rows = inputs.select(*row_keys, "trend", "end_time").join(errors, row_keys)
+    seq_rows = sequence_inputs(steps, rows, row_keys, [*center_keys, "window_idx"], config)
+    raw = materialize(forest.score_forest(seq_rows, forest.pack_forest(models.forest, config)))
+    anomalies = raw.join(F.broadcast(models.offsets), "stratum").withColumn("if_anomaly", F.col("if_raw") - F.col("if_offset"))
+    scored = calibration.combined_scores(anomalies, F.broadcast(models.bounds), ["stratum"], config)
+    found = scored.select(
+        "shield_id", F.col("center_ring").alias("ring"), "stratum", "window_idx", "end_time", "ae_error", "if_anomaly", "risk_score"
+    ).withColumn("status", F.lit("scored"))
+    return found.unionByName(no_model.withColumn("status", F.lit("no model")), allowMissingColumns=True)
+
+
+def mud_cake_results(points: DataFrame, window_scores: DataFrame, models: TrainedModels) -> DataFrame:
+    """Final mud cake result of each scored ring in report form."""
+    limits = F.broadcast(models.thresholds.select("stratum", "low", "medium", "high"))
+    scored = window_scores.filter("status = 'scored'")
+    final = calibration.ring_result(scored, ["shield_id", "ring"], limits, config=models.config)
+    out = final.select(
+        "shield_id",
+        "ring",
+        F.lit("mud_cake").alias("risk_type"),
+        "stratum",
+        F.col("final_risk").alias("probability"),
+        text.level_priority(text.level_from_model_text(F.col("model_level"))).alias("priority"),
+        "earliest_time",
+    )
+    out = rules.with_score(with_rounded(out, {"probability": 2}), list(catalog.RISKS))
+    first = points.groupBy("shield_id", "ring").agg(F.min("time").alias("first_time"))
+    warned = F.when(F.col("earliest_time").isNull(), F.col("first_time")).when(F.col("priority") >= 2, F.col("earliest_time"))
+    return out.join(first, ["shield_id", "ring"]).withColumn("warning_time", warned).drop("first_time", "earliest_time")
