@@ -110,3 +110,59 @@ def q1_ring_risk_report(spark, sf_dir):
 @register("q7_train_strata")
 def q7_train_strata(spark, sf_dir):
     return training.training_metrics(trained(spark, sf_dir))
+
+
+def _folders(spark, sf_dir):
+    """Training folders as text files, written from the given tables: one per stratum."""
+    from ringwatch.scratch import new_folder
+
+    root = new_folder(spark, "aligned")
+    pts, geo = view(spark, sf_dir, "fx_points"), view(spark, sf_dir, "fx_geo").filter("cluster_label IS NOT NULL")
+    areas = F.concat(F.lit("cluster_"), "cluster_label")
+    labelled = geo.select("ring", areas.alias("area"))
+    tbm = pts.join(labelled, "ring").select("area", "ring_no", "time", "point_id", *training.TBM)
+    tbm.withColumnRenamed("ring_no", "RING").write.partitionBy("area").option("header", True).csv(f"{root}/machine")
+    renamed = geo.withColumnsRenamed({"ring": "Ring_Index", "cluster_label": "Cluster_Label"}).withColumn("area", areas)
+    renamed.write.partitionBy("area").option("header", True).csv(f"{root}/geology")
+    return root
+
+
+@register("s1_read_table")
+def s1_read_table(spark, sf_dir):
+    root = _folders(spark, sf_dir)
+    rows = tables.read_delimited(spark, f"{root}/machine/*/*.csv")
+    return rows.groupBy("folder").agg(F.count(F.lit(1)).alias("rows"), F.count("thrust_spd").alias("thrust_spd"))
+
+
+@register("s3_split_by_kind")
+def s3_split_by_kind(spark, sf_dir):
+    root = _folders(spark, sf_dir)
+    tbm, geo = tables.split_by_kind(spark, f"{root}/*/*/*.csv")
+    both = tbm.withColumn("kind", F.lit("machine")).unionByName(geo.withColumn("kind", F.lit("geology")))
+    return both.groupBy("kind", "folder").agg(F.count(F.lit(1)).alias("files"))
+
+
+@register("s12_score_frame_sink")
+def s12_score_frame_sink(spark, sf_dir):
+    from ringwatch.scratch import new_folder
+    from ringwatch.sources import sinks
+
+    path = new_folder(spark, "score-frame")
+    sinks.write_score_frame(training.score_frame(trained(spark, sf_dir)), path)
+    return spark.read.parquet(path).groupBy("stratum", "split").agg(F.count(F.lit(1)).alias("rows"), F.max("risk_score").alias("top"))
+
+
+@register("s13_document_sinks")
+def s13_document_sinks(spark, sf_dir):
+    from ringwatch.scratch import new_folder
+    from ringwatch.sources import sinks
+
+    models = trained(spark, sf_dir)
+    path = new_folder(spark, "documents")
+    coverage = profiles.feature_coverage(view(spark, sf_dir, "fx_fused"), ["stratum"])
+    metrics = training.training_metrics(models)
+    sinks.write_metrics(metrics, f"{path}/metrics")
+    sinks.write_documents(sinks.model_info(models.thresholds, models.bounds, coverage, models.config), f"{path}/model_info")
+    sinks.write_documents(sinks.manifest(metrics, path), f"{path}/manifest")
+    strata = spark.read.json(f"{path}/manifest").select(F.explode("strata").alias("s")).select("s.*")
+    return strata.select("stratum", "data_size", "sequence_count", "status")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["registered_points", "registered_joins", "registered_windows", "registered_models", "registered_reports"]
+_MODULES = ["registered_points", "registered_joins", "registered_windows", "registered_models"]
 
 
 def _collect(kind: str) -> dict:
