@@ -11,6 +11,7 @@ from ringwatch.functions import text
 from ringwatch.functions.rounding import with_rounded
 from ringwatch.operators import cleaning, joins, profiles, records, rules, sequences, triggers
 from ringwatch.operators.ordered import add_index, first_per_key, time_slice
+from ringwatch.scratch import materialize
 from ringwatch.sources import tables
 
 KEY_PARAMETER_SAMPLE = 300
@@ -143,7 +144,8 @@ def warning_parameter_text(risk_type, fields_by_risk: dict):
 def ring_rule_report(raw_points: DataFrame) -> DataFrame:
     """One row per (shield, ring, rule risk) with level, score, texts and first warning."""
     points = cleaning.dedupe_by_time(raw_points)
-    result = triggers.ring_risk(rules.score_points(points))
+    # one row per ring and risk, read twice below
+    result = materialize(triggers.ring_risk(rules.score_points(points)))
     fields = list(dict.fromkeys(f for r in catalog.RULE_RISKS for f in catalog.RISKS[r].fields))
     warned = result.filter("warning_time IS NOT NULL").select("shield_id", "ring", "risk_type", F.col("warning_time").alias("time"))
     readings = points.select("shield_id", "ring", "time", *fields).join(
