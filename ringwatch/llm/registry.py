@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from ringwatch.llm import minhash
+from ringwatch.llm import embedding_dedup, minhash
 
 QUERIES = {
+    "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
     "op10_minhash_dedup": minhash.op10_minhash_dedup,
 }
 
 ORACLES = {
+    "op9_embedding_dedup": embedding_dedup.OP9_SQL,
     "op10_minhash_dedup": minhash.OP10_SQL,
 }
