@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from ringwatch.llm import embedding_dedup, minhash
+from ringwatch.llm import embedding_dedup, minhash, suffix_dedup
 
 QUERIES = {
+    "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
     "op10_minhash_dedup": minhash.op10_minhash_dedup,
 }
