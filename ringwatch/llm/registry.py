@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from ringwatch.llm import embedding_dedup, minhash, suffix_dedup
+from ringwatch.llm import byte_bpe, embedding_dedup, minhash, packing, suffix_dedup
 
 QUERIES = {
+    "op4_packing": packing.op4_packing,
     "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
+    "op8_bpe_round_trip": byte_bpe.op8_bpe_round_trip,
     "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
     "op10_minhash_dedup": minhash.op10_minhash_dedup,
 }
