@@ -5,16 +5,17 @@ universe 0 .. 2**32 - 1, and ``pi``, shifted circularly by ``k`` places, gives c
 ``k`` of the signature: ``min over shingles of pi(sigma(x) - k mod 2**32)``.
 
 Documents with equal shingle sets are one class from the start; only classes are compared.
-Bands of equal signature rows name candidates in two steps that never list all pairs of a
-bucket:
+Bands of equal signature rows name candidates in steps that never list all pairs of a bucket:
 
 1. every class is held against the smallest class of each of its buckets, but only the most
-   similar of these by signature; verified links give first components;
-2. what shares a bucket across two components after that is compared as well. A large group
-   of near copies has become one component by then and names no more pairs.
+   similar of these by signature; verified links give first components. A large group of near
+   copies is mostly one component by then;
+2. what shares a bucket across two components after that is compared as well: in buckets of up
+   to ``CROWD`` classes pair by pair, in larger ones block by block, where a task holds the sets
+   of two chunks of a bucket and returns the links that join components.
 
 Components only grow, so no link between classes that share a bucket is lost. With the
-default 30 bands of 5 rows, two sets of similarity 0.8 share none with probability 7e-6.
+default 40 bands of 6 rows, two sets of similarity 0.8 share none with probability 5e-6.
 """
 
 from __future__ import annotations
@@ -30,10 +31,14 @@ from ringwatch.llm.base import stored, table
 from ringwatch.llm.components import components
 from ringwatch.llm.shingles import mix64, shingle_sets
 
-ROWS = 5
-BANDS = 30
+ROWS = 6
+BANDS = 40
+#: Classes in a bucket up to which all its pairs may be compared.
+CROWD = 32
+#: Classes of a larger bucket that stand in a chunk.
+CHUNK = 256
 #: Standard errors that a pair's estimated similarity may lie below the threshold and still be verified.
-MARGIN = 6.0
+MARGIN = 4.5
 _EMPTY = np.uint32(0xFFFFFFFF)
 
 
@@ -85,18 +90,22 @@ def _signed(words: int, rows: int, bands: int):
 _SIGNED = "doc_id long, text_key long, set_key binary, n_shingles long, sig binary, bands array<long>"
 
 
-def _alike(rows: int, bands: int, threshold: float, margin: float):
+def _least_share(k: int, threshold: float, margin: float) -> float:
+    """Share of equal signature bytes below which a pair's similarity is not the threshold."""
+    share = threshold - margin * (threshold * (1 - threshold) / k) ** 0.5
+    return share + (1 - share) / 256
+
+
+def _alike(k: int, threshold: float, margin: float):
     """Keep the pairs whose signatures don't rule the threshold out."""
-    k = rows * bands
-    least = threshold - margin * (threshold * (1 - threshold) / k) ** 0.5
+    least = _least_share(k, threshold, margin)
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = [np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, k)
-                   for c in ("sig_a", "sig_b")]
-            share = ((sig[0] == sig[1]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+            a, b = (_bytes(batch.column(c), k) for c in ("sig_a", "sig_b"))
+            share = (a == b).mean(axis=1)
             out = pa.RecordBatch.from_arrays(
                 [batch.column("a"), batch.column("b"), pa.array(share)], names=["a", "b", "share"])
             yield out.filter(pa.array(share >= least))
@@ -104,6 +113,56 @@ def _alike(rows: int, bands: int, threshold: float, margin: float):
     return run
 
 
+def _bytes(column: pa.Array | pa.ChunkedArray, k: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, k)
+
+
+_LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+
+def _crowd(rows: int, bands: int, percent: int, margin: float):
+    """Links that join components between the classes of one chunk, or of two, of a bucket."""
+    k = rows * bands
+    least = _least_share(k, percent / 100, margin)
+
+    def run(key, block):
+        bucket, lo, hi = (x.as_py() for x in key)
+        keys = block.column("set_key").to_pylist()
+        order = sorted(range(len(keys)), key=keys.__getitem__)
+        block = block.take(pa.array(order))
+        keys = [keys[n] for n in order]
+        sig = _bytes(block.column("sig"), k)
+        buckets = block.column("bands").combine_chunks().flatten().to_numpy().reshape(len(keys), bands)
+        sets = [np.frombuffer(h, dtype=np.uint64) for h in block.column("hashes").to_pylist()]
+        sizes = np.array([len(h) for h in sets])
+        chunk = block.column("chunk").to_numpy()
+        _, place = np.unique(np.array([r.hex() for r in block.column("root").to_pylist()]), return_inverse=True)
+        found: list[tuple[bytes, bytes]] = []
+        right = np.flatnonzero(chunk == hi)
+        for i in np.flatnonzero(chunk == lo):
+            mates = right[right > i] if lo == hi else right
+            mates = mates[place[mates] != place[i]]
+            mates = mates[np.minimum(sizes[mates], sizes[i]) * 100 >= np.maximum(sizes[mates], sizes[i]) * percent]
+            shared = buckets[mates] == buckets[i]
+            mates = mates[buckets[i][shared.argmax(axis=1)] == bucket]  # in other buckets they meet again
+            mates = mates[(sig[mates] == sig[i]).mean(axis=1) >= least]
+            for j in mates:
+                if place[i] != place[j] and _similar(sets[i], sets[j], percent):
+                    found.append((keys[i], keys[j]))
+                    place[place == place[j]] = place[i]
+        return pa.Table.from_arrays([pa.array([f[n] for f in found], pa.binary()) for n in range(2)], schema=_LINKS)
+
+    return run
+
+
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether ``100 * intersection >= percent * union`` for two sorted sets."""
+    both = np.concatenate((x, y))
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
 def _sets_of(words: int):
     """Shingle hashes of each text as bytes."""
     schema = pa.schema([("set_key", pa.binary()), ("hashes", pa.binary())])
@@ -121,13 +180,8 @@ def _linked(percent: int):
 
     def run(batches):
         for batch in batches:
-            keep = []
-            for left, right in zip(batch.column("left"), batch.column("right")):
-                x, y = (np.frombuffer(side.as_buffer(), dtype=np.uint64) for side in (left, right))
-                both = np.concatenate((x, y))
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+            keep = [_similar(np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64), percent)
+                    for x, y in zip(batch.column("left"), batch.column("right"))]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -157,9 +211,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     )
     classes = stored(classes, "minhash-classes")
 
-    members = classes.select(F.explode("bands").alias("bucket"), "set_key")
+    members = classes.select(F.explode("bands").alias("bucket"), "set_key", "n")
     buckets = members.groupBy("bucket").agg(F.min("set_key").alias("hub"), F.count("*").alias("m")).where("m > 1")
-    members = stored(members.join(buckets.drop("m"), "bucket"), "minhash-members")
+    members = stored(members.join(buckets, "bucket"), "minhash-members")
     about = classes.select("set_key", "n", "sig")
 
     def paired(pairs: DataFrame) -> DataFrame:
@@ -168,38 +222,58 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
         sized = pairs.join(left, "a").join(right, "b").where(
             F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
         return sized.select("a", "b", "sig_a", "sig_b").mapInArrow(
-            _alike(rows, bands, percent / 100, margin), "a binary, b binary, share double")
+            _alike(rows * bands, percent / 100, margin), "a binary, b binary, share double")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        used = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
+    def sets_of(used: DataFrame) -> DataFrame:
         where = classes.join(used, "set_key").select("set_key", F.col("rep.d").alias("d"), F.col("rep.text_key").alias("text_key"))
         own = base.withColumn("d", F.coalesce("doc_id", F.lit(2**63 - 1)))
         texts = own.join(where, ["d", "text_key"]).select("set_key", "text")
         sets = texts.mapInArrow(_sets_of(words), "set_key binary, hashes binary").dropDuplicates(["set_key"])
-        sets = stored(sets, "minhash-sets")
+        return stored(sets, "minhash-sets")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct())
         left = sets.select(F.col("set_key").alias("a"), F.col("hashes").alias("left"))
         right = sets.select(F.col("set_key").alias("b"), F.col("hashes").alias("right"))
         return stored(pairs.join(left, "a").join(right, "b").mapInArrow(
             _linked(percent), "a binary, b binary"), "minhash-links")
 
+    def split(places: DataFrame, members: DataFrame) -> DataFrame:
+        """The members of buckets that still lie in several components, with their components."""
+        at = members.join(places.withColumnRenamed("node", "set_key"), "set_key", "left").select(
+            "bucket", "set_key", "n", "m", F.coalesce("root", "set_key").alias("root"))
+        apart = at.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+        return stored(at.join(apart.select("bucket"), "bucket"), "minhash-split")
+
     stars = members.where("set_key <> hub").select(F.col("hub").alias("a"), F.col("set_key").alias("b")).distinct()
     near = stored(paired(stars), "minhash-near")
-    first = near.groupBy("b").agg(F.max_by("a", "share").alias("a")).select("a", "b")
-    links = verified(first)
+    tried = near.groupBy("b").agg(F.max_by("a", "share").alias("a")).select("a", "b")
+    links = verified(tried)
     places = components(links)
-
-    at = members.join(places.withColumnRenamed("node", "set_key"), "set_key", "left").select(
-        "bucket", "set_key", F.coalesce("root", "set_key").alias("root"))
-    split = at.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    at = stored(at.join(split.select("bucket"), "bucket"), "minhash-split")
-    other = at.select("bucket", F.col("set_key").alias("b"), F.col("root").alias("root_b"))
-    rest = (
-        at.withColumnRenamed("set_key", "a").join(other, "bucket").where("a < b AND root <> root_b")
-        .select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    )
-    rest = stored(paired(rest).select("a", "b"), "minhash-rest")
-    if rest.limit(1).count():
-        links = links.unionByName(verified(rest))
+    at = split(places, members.drop("hub"))
+
+    few = at.where(F.col("m") <= CROWD)
+    other = few.select("bucket", F.col("set_key").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"))
+    rest = few.withColumnRenamed("set_key", "a").join(other, "bucket").where(
+        (F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b"))
+        & (F.least("n", "n_b") * 100 >= F.greatest("n", "n_b") * percent))
+    rest = stored(paired(rest.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")).select("a", "b"), "minhash-rest")
+    late = [verified(rest)] if rest.limit(1).count() else []
+
+    crowds = at.where(F.col("m") > CROWD)
+    if crowds.limit(1).count():
+        held = sets_of(crowds.select("set_key").distinct()).join(classes.select("set_key", "sig", "bands"), "set_key")
+        chunks = F.ceil(F.col("m") / F.lit(CHUNK))
+        rows_of = crowds.select("bucket", "set_key", "root", chunks.alias("chunks")).join(held, "set_key")
+        rows_of = rows_of.withColumn("chunk", F.pmod(F.xxhash64("set_key", "bucket"), F.col("chunks")))
+        rows_of = rows_of.withColumn("mate", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+        rows_of = rows_of.select("bucket", F.least("chunk", "mate").alias("lo"), F.greatest("chunk", "mate").alias("hi"),
+                                 "chunk", "set_key", "root", "sig", "bands", "hashes")
+        late.append(stored(rows_of.groupBy("bucket", "lo", "hi").applyInArrow(
+            _crowd(rows, bands, percent, margin), "a binary, b binary"), "minhash-links"))
+    for more in late:
+        links = links.unionByName(more)
+    if late:
         places = components(links)
 
     named = classes.select("set_key", F.col("rep.d").alias("d")).join(
