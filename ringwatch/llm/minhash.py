@@ -36,7 +36,7 @@ BANDS = 40
 #: Classes in a bucket up to which all its pairs may be compared.
 CROWD = 32
 #: Classes of a larger bucket that stand in a chunk.
-CHUNK = 256
+CHUNK = 1024
 #: Standard errors that a pair's estimated similarity may lie below the threshold and still be verified.
 MARGIN = 4.5
 _EMPTY = np.uint32(0xFFFFFFFF)
