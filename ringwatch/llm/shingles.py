@@ -60,33 +60,42 @@ def pieces(column: pa.Array, most: int = 1_000_000):
         first = last
 
 
-def word_hashes(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word and the number of the text it stands in."""
-    none = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+def word_spans(raw: np.ndarray, ends: np.ndarray, blank: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every word, and the number of the text it stands in. ``blank`` marks the bytes between words."""
     if not len(raw):
-        return none
-    blank = _SPACE[raw]
+        return (np.zeros(0, dtype=np.int64),) * 3
+    gap = blank[raw]
     first = np.empty(len(raw), dtype=bool)
     first[0] = True
-    np.copyto(first[1:], blank[:-1])
+    np.copyto(first[1:], gap[:-1])
     begins = ends[:-1]
     first[begins[begins < len(raw)]] = True
-    first &= ~blank
-    start = np.flatnonzero(first)
-    if not len(start):
-        return none
+    first &= ~gap
     last = np.empty(len(raw), dtype=bool)
     last[-1] = True
-    np.copyto(last[:-1], blank[1:])
+    np.copyto(last[:-1], gap[1:])
     last[ends[1:][ends[1:] > 0] - 1] = True
-    last &= ~blank
-    stop = np.flatnonzero(last) + 1
-    # digits of a number to an odd base modulo 2**64; a word's digits are shifted to its start
+    last &= ~gap
+    start = np.flatnonzero(first)
+    return start, np.flatnonzero(last) + 1, np.searchsorted(ends, start, side="right") - 1
+
+
+def span_hashes(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each span, A-Z lower-cased.
+
+    A span's bytes are the digits of a number to an odd base modulo 2**64, taken from one running
+    total of the whole buffer and shifted to the span's start.
+    """
     total = np.zeros(len(raw) + 1, dtype=np.uint64)
     np.cumsum(_BYTES[_LOWER[raw]] * _powers(_BASE, len(raw)), out=total[1:])
     back = _powers(pow(_BASE, -1, 2**64), len(raw))
-    value = (total[stop] - total[start]) * back[start]
-    return mix64(value + (stop - start).astype(np.uint64)), np.searchsorted(ends, start, side="right") - 1
+    return mix64((total[stop] - total[start]) * back[start] + (stop - start).astype(np.uint64))
+
+
+def word_hashes(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word and the number of the text it stands in."""
+    start, stop, text = word_spans(raw, ends)
+    return span_hashes(raw, start, stop), text
 
 
 def shingle_sets(column: pa.Array, words: int):
