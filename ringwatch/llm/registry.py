@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from ringwatch.llm import byte_bpe, embedding_dedup, minhash, packing, suffix_dedup, toxicity
+from ringwatch.llm import byte_bpe, embedding_dedup, minhash, packing, quality, suffix_dedup, toxicity
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
     "op4_packing": packing.op4_packing,
+    "op5_quality": quality.op5_quality,
     "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_bpe_round_trip": byte_bpe.op8_bpe_round_trip,
     "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
