@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from ringwatch.llm import byte_bpe, embedding_dedup, minhash, packing, quality, suffix_dedup, toxicity
+from ringwatch.llm import byte_bpe, embedding_dedup, minhash, packing, quality, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
     "op4_packing": packing.op4_packing,
     "op5_quality": quality.op5_quality,
+    "op6_warc": warc.op6_warc,
     "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_bpe_round_trip": byte_bpe.op8_bpe_round_trip,
     "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op6_warc": warc.OP6_SQL,
     "op9_embedding_dedup": embedding_dedup.OP9_SQL,
     "op10_minhash_dedup": minhash.OP10_SQL,
 }
