@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from ringwatch.llm import byte_bpe, embedding_dedup, minhash, packing, quality, suffix_dedup, toxicity, warc
+from ringwatch.llm import byte_bpe, embedding_dedup, licenses, minhash, nearest, packing, quality, suffix_dedup, toxicity, warc
 
 QUERIES = {
+    "op1_license_scan": licenses.op1_license_scan,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_nearest_neighbours": nearest.op3_nearest_neighbours,
     "op4_packing": packing.op4_packing,
     "op5_quality": quality.op5_quality,
     "op6_warc": warc.op6_warc,
@@ -16,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_license_scan": licenses.OP1_SQL,
     "op6_warc": warc.OP6_SQL,
     "op9_embedding_dedup": embedding_dedup.OP9_SQL,
     "op10_minhash_dedup": minhash.OP10_SQL,
