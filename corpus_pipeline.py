@@ -1,33 +1,91 @@
-"""The cleaning pipeline of a text corpus, stage after stage."""
+"""The cleaning pipeline of a text corpus, stage after stage.
+
+Every stage takes all documents that the one before kept; what it decides takes effect in its
+result. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ringwatch.llm import quality, toxicity
 from ringwatch.llm.base import stored, table
 from ringwatch.llm.minhash import near_duplicates
+from ringwatch.llm.packing import pack
+from ringwatch.llm.suffix_dedup import remove_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score stays below the threshold; each row by its own text."""
+    model = toxicity.train_on(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, columns=tuple(COLUMNS))
+    return scored.where(F.col("score") < toxicity.THRESHOLD).select(COLUMNS)
+
+
+def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score reaches the threshold; each row by its own text."""
+    model = quality.train_on(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model, columns=tuple(COLUMNS))
+    return scored.where(F.col("score") >= quality.THRESHOLD).select(COLUMNS)
+
+
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near copies stays: that of the smallest doc_id."""
-    kept = near_duplicates(docs, words=5, percent=80).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS)
+    """One document of every group of near copies stays: that of the smallest doc_id.
+
+    Sets are of five-word shingles, similar from 0.8 on. Of rows that repeat the doc_id that stays, one
+    is left. Texts without words resemble nothing and stay. A row without a doc_id can't be named as
+    kept, and goes.
+    """
+    kept = near_duplicates(docs, words=5, percent=80).where("kept").select(F.col("doc_id").alias("id")).distinct()
+    return docs.join(kept, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 400 bytes or more that stand elsewhere as well.
+
+    All places of such a passage go. What is left of a character that a passage cuts goes too;
+    ``n_chars`` is renewed. A document that consists of such passages stays with an empty text.
+    """
+    left = remove_repeats(docs, 400).where("n_removed > 0").select(F.col("doc_id").alias("id"), "kept")
+    texts = left.mapInArrow(_decoded, "id long, cleaned string")
+    rows = docs.join(texts, F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    text = F.when(F.col("cleaned").isNotNull(), F.col("cleaned")).otherwise(F.col("text"))
+    chars = F.when(F.col("cleaned").isNotNull(), F.length("cleaned")).otherwise(F.col("n_chars")).cast("long")
+    return rows.select("doc_id", text.alias("text"), "lang", "source", chars.alias("n_chars"))
+
+
+def _decoded(batches):
+    """Bytes as text, without broken characters."""
+    for batch in batches:
+        texts = [b.as_py().decode("utf-8", "ignore") for b in batch.column("kept")]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string())], names=["id", "cleaned"])
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of 2048 ids: a row per piece of a document with its place and its ids."""
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), 2048)
 
 
 STAGES = [
+    ("toxicity", without_toxic),
+    ("quality", of_quality),
     ("near_duplicates", without_near_copies),
+    ("repeated_passages", without_repeats),
+    ("packing", packed),
 ]
 
-#: No SQL: the stages train models and hash; tests hold them against brute force.
+#: No SQL: the stages train models, hash and tokenize; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over the documents, each written and reread by the next."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -201,26 +201,27 @@ def train(positives: DataFrame, unlabelled: DataFrame, sample: int = SAMPLE) ->
     return fit(rows[kind == 1], rows[kind == 0])
 
 
-def _scored(model: QualityModel):
+def _scored(model: QualityModel, columns: list[str]):
     def run(batches):
         for batch in batches:
-            column = batch.column("text")
+            column = batch.column("__text")
             for first, last in pieces(column):
                 z = model.logit(describe(*text_bytes(column.slice(first, last - first))))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, last - first), pa.array(_sigmoid(z))], names=["doc_id", "score"])
+                    [*(batch.column(c).slice(first, last - first) for c in columns), pa.array(_sigmoid(z))], names=[*columns, "score"])
 
     return run
 
 
-def score(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """``doc_id, score`` for each row, 0 to 1, higher for better text.
+def score(docs: DataFrame, model: QualityModel, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Each row's ``columns`` with ``score`` from 0 to 1, higher for better text.
 
     Null texts are scored as empty ones, whose features are all zero. Rows that repeat a doc_id all
-    come back. Further columns are ignored.
+    come back, each with its own score. Further columns are ignored.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(_scored(model), "doc_id long, score double")
+    own = docs.select(*columns, F.col("text").cast("string").alias("__text"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.select(*columns).schema)
+    return own.mapInArrow(_scored(model, list(columns)), f"{kinds}, score double")
 
 
 def held_out():

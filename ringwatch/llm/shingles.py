@@ -116,9 +116,9 @@ def shingle_sets(column: pa.Array, words: int):
             if hi - lo >= words:
                 yield np.unique(joined[lo : hi - words + 1])
             elif hi > lo:
-                short = np.uint64(hi - lo)
-                for h in hashes[lo:hi]:
-                    short = mix64(np.array([short + h], dtype=np.uint64))[0]
-                yield np.array([short], dtype=np.uint64)
+                short = np.array([hi - lo], dtype=np.uint64)
+                for k in range(lo, hi):
+                    short = mix64(short + hashes[k : k + 1])
+                yield short
             else:
                 yield np.zeros(0, dtype=np.uint64)

@@ -160,10 +160,10 @@ def train(labelled: DataFrame, sample: int = SAMPLE, rare: int = RARE, clear: fl
     return ToxicityModel(known[keep][heavy], weights[heavy], bias)
 
 
-_SCORED = "doc_id long, score double, sentences array<struct<begin:int,end:int,score:double>>"
+_SCORED = "score double, sentences array<struct<begin:int,end:int,score:double>>"
 
 
-def _scored(model: ToxicityModel, threshold: float):
+def _scored(model: ToxicityModel, threshold: float, columns: list[str]):
     kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def run(batches):
@@ -172,7 +172,7 @@ def _scored(model: ToxicityModel, threshold: float):
         low = np.uint64((1 << 20) - 1)
         maybe[known & low] = True
         for batch in batches:
-            column = batch.column("text")
+            column = batch.column("__text")
             for first, last in pieces(column):
                 n = last - first
                 raw, ends = text_bytes(column.slice(first, n))
@@ -189,21 +189,22 @@ def _scored(model: ToxicityModel, threshold: float):
                     doc = int(text[k])
                     where[doc].append({"begin": int(begin[k] - ends[doc]), "end": int(end[k] - ends[doc]), "score": float(single[k])})
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, n), pa.array(score), pa.array(where, kind)],
-                    names=["doc_id", "score", "sentences"])
+                    [*(batch.column(c).slice(first, n) for c in columns), pa.array(score), pa.array(where, kind)],
+                    names=[*columns, "score", "sentences"])
 
     return run
 
 
-def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, score, sentences`` for each row: score 0 to 1, and the sentences at or above ``threshold``.
+def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Each row's ``columns`` with ``score`` from 0 to 1 and the ``sentences`` at or above ``threshold``.
 
     Sentences have begin and end in bytes of the text and a score of their own. Null and empty texts,
-    and those without a word, have no sentence and score 0. Rows that repeat a doc_id all come back.
-    Further columns are ignored.
+    and those without a word, have no sentence and score 0. Rows that repeat a doc_id all come back,
+    each with its own score. Further columns are ignored.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(_scored(model, threshold), _SCORED)
+    own = docs.select(*columns, F.col("text").cast("string").alias("__text"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.select(*columns).schema)
+    return own.mapInArrow(_scored(model, threshold, list(columns)), f"{kinds}, {_SCORED}")
 
 
 def held_out():
