@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringwatch.llm.base import table
+from ringwatch.llm.base import stored, table
 from ringwatch.llm.shingles import pieces, span_hashes, text_bytes, word_spans
 
 SAMPLE = 10_000
@@ -71,14 +71,15 @@ def _softplus(z: np.ndarray) -> np.ndarray:
     return np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z)))
 
 
-def fit_noisy_or(word: np.ndarray, sentence: np.ndarray, text: np.ndarray, toxic: np.ndarray, features: int,
+def fit_noisy_or(word: np.ndarray, sentence: np.ndarray, text: np.ndarray, blank: np.ndarray, toxic: np.ndarray, features: int,
                  rounds: int = 300, rate: float = 0.1, lasso: float = 2e-4, least: float = 0.5) -> tuple[np.ndarray, float]:
     """Weights and bias of the sentences' logits, by Adam on the documents' log loss.
 
     A word keeps a weight only if it explains more than the share ``lasso`` of all documents and
     ``least`` more of them; the penalty is linear but for weights near zero, which end as none.
-    ``word`` numbers the known words (those of no weight are left out before), ``sentence`` their
-    sentences, ``text`` the sentences' documents, ``toxic`` the documents' labels.
+
+    ``word`` numbers the features, ``sentence`` the sentences they stand in, ``text`` these sentences'
+    documents; ``blank`` counts each document's sentences without a feature, ``toxic`` is its label.
     """
     weights = np.zeros(features + 1)
     weights[-1] = -9.0
@@ -86,11 +87,12 @@ def fit_noisy_or(word: np.ndarray, sentence: np.ndarray, text: np.ndarray, toxic
     n = len(toxic)
     penalty = lasso + least / n
     for step in range(1, rounds + 1):
-        z = np.bincount(sentence, weights[word], len(text)) + weights[-1]
-        total = np.maximum(np.bincount(text, _softplus(z), n), 1e-12)
+        bias = weights[-1]
+        z = np.bincount(sentence, weights[word], len(text)) + bias
+        total = np.maximum(np.bincount(text, _softplus(z), n) + blank * _softplus(bias), 1e-12)
         slope = np.where(toxic, -1 / np.expm1(total), 1.0) / n
         dz = slope[text] / (1 + np.exp(-z))
-        grad = np.append(np.bincount(word, dz[sentence], features), dz.sum())
+        grad = np.append(np.bincount(word, dz[sentence], features), dz.sum() + (slope * blank).sum() / (1 + np.exp(-bias)))
         grad[:-1] += penalty * np.tanh(weights[:-1] / 0.05)
         mean = 0.9 * mean + 0.1 * grad
         square = 0.999 * square + 0.001 * grad * grad
@@ -98,19 +100,46 @@ def fit_noisy_or(word: np.ndarray, sentence: np.ndarray, text: np.ndarray, toxic
     return np.where(np.abs(weights[:-1]) < 0.1, 0.0, weights[:-1]), float(weights[-1])
 
 
-def _bagged(batches):
-    """Distinct words of each sentence of each labelled text."""
+def _counted(batches):
+    """For each feature of a few texts, in how many it stands, and in how many toxic ones."""
     for batch in batches:
-        column = batch.column("text")
+        column, toxic = batch.column("text"), batch.column("toxic").to_numpy()
         for first, last in pieces(column):
             raw, ends = text_bytes(column.slice(first, last - first))
             word, sentence, text, _, _ = sentences_of(raw, ends)
-            of = text[sentence] if len(text) else sentence
-            bounds = np.searchsorted(of, np.arange(last - first + 1))
-            rows = [(word[lo:hi].tobytes(), sentence[lo:hi].astype(np.int32).tobytes()) for lo, hi in zip(bounds[:-1], bounds[1:])]
+            if not len(word):
+                continue
+            known, number = np.unique(word, return_inverse=True)
+            once = np.unique(text[sentence] * len(known) + number)
+            stand, own = once % len(known), toxic[first + once // len(known)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()),
-                 batch.column("toxic").slice(first, last - first)], names=["words", "sentences", "toxic"])
+                [pa.array(known.view(np.int64)), pa.array(np.bincount(stand, minlength=len(known))),
+                 pa.array(np.bincount(stand, own, len(known)).astype(np.int64))], names=["word", "n", "hits"])
+
+
+def _bagged(known: np.ndarray):
+    """Each labelled text's sentences that hold known features, and the number of the others."""
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column("text")
+            for first, last in pieces(column):
+                raw, ends = text_bytes(column.slice(first, last - first))
+                word, sentence, text, _, _ = sentences_of(raw, ends)
+                at = np.minimum(np.searchsorted(known, word), len(known) - 1)
+                hit = np.flatnonzero(known[at] == word)
+                rows = np.unique(sentence[hit] * np.int64(len(known)) + at[hit])  # a feature counts once in a sentence
+                sentence, at = rows // len(known), rows % len(known)
+                of = text[sentence] if len(text) else sentence
+                bounds = np.searchsorted(of, np.arange(last - first + 1))
+                total = np.bincount(text, minlength=last - first)
+                held = np.bincount(text[np.unique(sentence)] if len(text) else text, minlength=last - first)
+                lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(x, pa.int64())) for x in (at, sentence)]
+                yield pa.RecordBatch.from_arrays(
+                    [*lists, pa.array(total - held, pa.int64()), batch.column("toxic").slice(first, last - first)],
+                    names=["words", "sentences", "blank", "toxic"])
+
+    return run
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE, rare: int = RARE, clear: float = CLEAR, most: int = WORDS) -> ToxicityModel:
@@ -120,44 +149,29 @@ def train(labelled: DataFrame, sample: int = SAMPLE, rare: int = RARE, clear: fl
     rows, or with one label only, every text gets the share of label 1 as its score.
     """
     rows = labelled.where("toxic IN (0, 1)").select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
-    n = rows.count()
+    n, positive = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if positive in (0, n):
+        return ToxicityModel(np.zeros(0, dtype=np.uint64), np.zeros(0), 30.0 if positive else -30.0)
     if n > sample:
-        share = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1_000_000))
-        rows = rows.where(share < int(1_000_000 * sample / n))
-    got = rows.drop("doc_id").mapInArrow(_bagged, "words binary, sentences binary, toxic int").toArrow()
-    toxic = np.array(got.column("toxic").to_pylist(), dtype=bool)
-    if not len(toxic) or toxic.all() or not toxic.any():
-        share = toxic.mean() if len(toxic) else 0.0
-        return ToxicityModel(np.zeros(0, dtype=np.uint64), np.zeros(0), 30.0 if share else -30.0)
-    words, sentence, text = [], [], []
-    offset = 0
-    for k, (w, s) in enumerate(zip(got.column("words").to_pylist(), got.column("sentences").to_pylist())):
-        w, s = np.frombuffer(w, dtype=np.uint64), np.frombuffer(s, dtype=np.int32)
-        if not len(w):
-            continue
-        s = s - s[0]
-        words.append(w)
-        sentence.append(s + offset)
-        count = int(s[-1]) + 1
-        text.append(np.full(count, k))
-        offset += count
-    words, sentence, text = np.concatenate(words), np.concatenate(sentence), np.concatenate(text)
-    known, word = np.unique(words, return_inverse=True)
-    pairs = np.unique(text[sentence] * len(known) + word)
-    stand = np.bincount(pairs % len(known), minlength=len(known))
-    share = toxic.mean()
-    more = np.bincount(pairs % len(known), toxic[pairs // len(known)], len(known)) - share * stand
-    more /= np.sqrt(np.maximum(stand, 1) * share * (1 - share))
-    keep = np.flatnonzero((stand >= rare) & (more >= clear))
-    keep = np.sort(keep[np.argsort(-more[keep], kind="stable")[:most]])
-    number = np.full(len(known), -1)
-    number[keep] = np.arange(len(keep))
-    once = np.unique(sentence.astype(np.int64) * len(known) + word)  # a word counts once in a sentence
-    sentence, word = once // len(known), number[once % len(known)]
-    sentence, word = sentence[word >= 0], word[word >= 0]
-    weights, bias = fit_noisy_or(word, sentence, text, toxic, len(keep))
+        place = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1_000_000))
+        rows = rows.where(place < int(1_000_000 * sample / n))
+    rows = stored(rows, "toxicity-sample")
+    n, positive = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    share = positive / max(n, 1)
+    counts = rows.mapInArrow(_counted, "word long, n long, hits long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+    more = (F.col("hits") - share * F.col("n")) / F.sqrt(F.col("n") * max(share * (1 - share), 1e-9))
+    best = counts.where((F.col("n") >= rare) & (more >= clear)).orderBy(more.desc(), "word").limit(most)
+    known = np.sort(np.array([r["word"] for r in best.select("word").collect()], dtype=np.int64).view(np.uint64))
+    if not len(known):
+        known = np.zeros(1, dtype=np.uint64)
+    got = rows.mapInArrow(_bagged(known), "words array<long>, sentences array<long>, blank long, toxic int").toArrow()
+    lists = [got.column(c).combine_chunks() for c in ("words", "sentences")]
+    word, sentence = (x.flatten().to_numpy() for x in lists)
+    text = np.repeat(np.arange(got.num_rows), np.diff(lists[0].offsets.to_numpy()))
+    ends, sentence = np.unique(text * np.int64(1 << 40) + sentence, return_inverse=True)
+    weights, bias = fit_noisy_or(word, sentence, ends >> 40, got.column("blank").to_numpy(), got.column("toxic").to_numpy() == 1, len(known))
     heavy = weights != 0
-    return ToxicityModel(known[keep][heavy], weights[heavy], bias)
+    return ToxicityModel(known[heavy], weights[heavy], bias)
 
 
 _SCORED = "score double, sentences array<struct<begin:int,end:int,score:double>>"
