@@ -10,11 +10,12 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 from functools import cache
 
 import numpy as np
 
-#: Parts whose ids a worker keeps; then it begins anew.
+#: Parts whose ids a worker keeps, and as many former ones.
 KEPT = 400_000
 _ODD = re.compile("[\x1c-\x1f\x85\xa0  -‍    ⁠　﻿]")
 
@@ -47,33 +48,47 @@ def byte_letters() -> dict[str, int]:
 
 
 class Parts(dict):
-    """Ids of parts of texts, as little-endian 32-bit numbers, by part."""
+    """Ids of parts of texts, as little-endian 32-bit numbers, by part.
 
-    def __missing__(self, part: str) -> bytes:
-        """A part that was not kept, or is encoded alone."""
-        return _ids(self.tokenizer, part)
+    When it is full, its parts become the former ones, and those that turn up again come back.
+    """
 
     def __init__(self, tokenizer, sizes: np.ndarray, kept: int):
         super().__init__()
         self.tokenizer, self.sizes, self.kept = tokenizer, sizes, kept
+        self.former: dict[str, bytes] = {}
+
+    def __missing__(self, part: str) -> bytes:
+        """A part of before, or one that is encoded alone."""
+        ids = self.former.get(part) or _ids(self.tokenizer, part)
+        if len(part) <= 64:
+            self[part] = ids
+        return ids
+
+    def unknown(self, parts: set[str]) -> list[str]:
+        """Those of the parts that have to be encoded; brings former ones back."""
+        new = parts.difference(self)
+        again = new.intersection(self.former)
+        if len(self) + len(new) > self.kept:
+            self.former = dict(self)
+            self.clear()
+        else:
+            self.update(zip(again, map(self.former.__getitem__, again)))
+        return list(new - again)
 
-    def learn(self, parts: list[str], widths: list[int], text: str) -> None:
+    def learn(self, parts: list[str], widths: np.ndarray, text: str) -> None:
         """Encode parts that stand in a row in ``text``; each has so many bytes of tokens."""
-        ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
         ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(widths)) + 1
-        if len(self) + len(parts) > self.kept:
-            self.clear()
-        data, at = ids.tobytes(), 0
-        for part, end in zip(parts, (4 * ends).tolist()):
-            self[part] = data[at:end]
-            at = end
+        data, ends = ids.tobytes(), (4 * ends).tolist()
+        self.update(zip(parts, map(data.__getitem__, map(slice, [0, *ends], ends))))
 
 
 def _ids(tokenizer, text: str) -> bytes:
     return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
-def _groups(texts: list[str], most: int = 300_000):
+def _groups(texts: list[str], most: int = 1_500_000):
     """Texts in turn, about so many characters at a time."""
     group, size = [], 0
     for text in texts:
@@ -102,7 +117,7 @@ class Tokens:
         """Ids of each whole text, as little-endian 32-bit numbers."""
         for group in _groups(texts):
             split = [None if _ODD.search(t) or any(m in t for m in self.markers) else self.split(t) for t in group]
-            new = {p for parts in split if parts for p in parts}.difference(self.parts)
+            new = self.parts.unknown(set().union(*(parts for parts in split if parts)))
             if new:
                 self.learn([p for p in new if len(p) <= 64])
             for text, parts in zip(group, split):
@@ -113,17 +128,24 @@ class WordTokens(Tokens):
     """For tokenizers that drop white space and mark the ends of words."""
 
     def split(self, text: str) -> list[str]:
+        """Words, in lower case, without the stop or comma at their end unless another sign stands before it."""
+        if "\u03a3" not in text:  # whose lower case depends on its place
+            text = text.lower()
+        if not _SIGNS.search(text):
+            text = text.replace(". ", " . ").replace(", ", " , ").replace(".\n", " .\n")
         return text.split()
 
     def learn(self, parts: list[str]) -> None:
         text = " ".join(parts)
-        normal = self.tokenizer.normalizer.normalize_str(text).split(" ")
-        if len(normal) == len(parts):  # else encoded one by one
-            self.parts.learn(parts, [len(p.encode()) for p in normal], text)
+        if unicodedata.is_normalized("NFC", text):  # else encoded one by one
+            self.parts.learn(parts, np.fromiter((len(p.encode()) for p in text.lower().split(" ")), dtype=np.int64, count=len(parts)), text)
 
 
+_SIGNS = re.compile(r"[^\w\s][.,][ \n]|_[.,][ \n]")
 _CUT = re.compile("[^ \t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff](?=[ \t-\r])")
 _BLANKS = " \t\n\v\f\r"
+_RUNS = re.compile("[ \t-\r]{2}|[\t\v-\r\0]")
+_CLOSED = re.compile(r"[^\w\s][.,]\0|_[.,]\0|^[.,]\0|\0.?[.,]\0")
 _PARTS = re.compile("[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 
 
@@ -131,12 +153,19 @@ class ByteTokens(Tokens):
     """For byte-level tokenizers; decodes too, and joins encoded halves exactly."""
 
     def split(self, text: str) -> list[str]:
-        return _PARTS.findall(text)
+        """Parts that begin with a blank, and stops and commas before blanks; joined they are the text."""
+        if _RUNS.search(text):
+            return _PARTS.findall(text)
+        text = text.replace(" ", "\0 ").replace("\n", "\0\n")
+        if not _CLOSED.search(text):
+            text = text.replace(".\0", "\0.\0").replace(",\0", "\0,\0")
+        parts = text.split("\0")
+        return parts if parts[0] else parts[1:]
 
     def learn(self, parts: list[str]) -> None:
-        parts = [p for p in parts if p[0] in _BLANKS and p[-1] not in _BLANKS]  # the others are encoded one by one
+        parts = [p for p in parts if p[0] in _BLANKS and p[-1] not in _BLANKS]  # the others, mostly stops, one by one
         if parts:
-            self.parts.learn(parts, [len(p.encode()) for p in parts], "".join(parts))
+            self.parts.learn(parts, np.fromiter((len(p.encode()) for p in parts), dtype=np.int64, count=len(parts)), "".join(parts))
 
     def encode(self, text: str) -> list[int]:
         """Ids of one whole text."""
