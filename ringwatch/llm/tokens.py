@@ -67,14 +67,14 @@ class Parts(dict):
 
     def unknown(self, parts: set[str]) -> list[str]:
         """Those of the parts that have to be encoded; brings former ones back."""
-        new = parts.difference(self)
-        again = new.intersection(self.former)
-        if len(self) + len(new) > self.kept:
+        new = [p for p in parts if p not in self]  # a set's own methods would go over all that is known
+        again = [p for p in new if p in self.former]
+        missing = [p for p in new if p not in self.former]
+        self.update(zip(again, map(self.former.__getitem__, again)))
+        if len(self) + len(missing) > self.kept:
             self.former = dict(self)
             self.clear()
-        else:
-            self.update(zip(again, map(self.former.__getitem__, again)))
-        return list(new - again)
+        return missing
 
     def learn(self, parts: list[str], widths: np.ndarray, text: str) -> None:
         """Encode parts that stand in a row in ``text``; each has so many bytes of tokens."""
