@@ -129,7 +129,7 @@ def fit_ranges(positive: np.ndarray, unlabelled: np.ndarray, slopes, ranges: int
     return weights[:-1].reshape(features, ranges), float(weights[-1])
 
 
-def class_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.5) -> float:
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.2) -> float:
     """Least share of unlabelled scores above a bound, relative to that of positive scores.
 
     Bounds leave at least the share ``least`` of the positives above, so that the ratio is steady. The
@@ -156,10 +156,12 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, ranges: int = RANGES) -> Q
     def against(zp, zu):  # positives against unlabelled
         return -_sigmoid(-zp) / len(zp), _sigmoid(zu) / len(zu)
 
+    rng = np.random.default_rng(5)
+    half_p, half_u = (rng.permutation(len(x)) % 2 for x in (p, u))
     prior = 0.0
     for k in (0, 1):  # each half is judged by a classifier of the other
-        first = QualityModel(bounds, *fit_ranges(p[k::2], u[k::2], against, count, rounds=200, ridge=1e-2), 0.5)
-        prior += class_prior(first.logit(positive[1 - k :: 2]), first.logit(unlabelled[1 - k :: 2])) / 2
+        first = QualityModel(bounds, *fit_ranges(p[half_p == k], u[half_u == k], against, count, rounds=200, ridge=2e-3), 0.5)
+        prior += class_prior(first.logit(positive[half_p != k]), first.logit(unlabelled[half_u != k])) / 2
 
     def risk(zp, zu):  # non-negative unbiased risk with the logistic loss
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
