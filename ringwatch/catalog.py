@@ -231,16 +231,12 @@ class ModelConfig:
     sequence_stride: int = 1
     smoothing_window: int = 5
     clip_zscore: float = 3.5
-    max_train_sequences: int = 80000
-    max_val_sequences: int = 20000
-    max_test_sequences: int = 30000
     reconstruction_weight: float = 0.35
     isolation_weight: float = 0.65
     components: int = 48
     contamination: float = 0.01
     trees: int = 200
     samples_per_tree: int = 2048
-    max_fit_samples: int = 50000
     seed: int = 42
     scale_low_quantile: float = 0.50
     scale_high_quantile: float = 0.999

@@ -207,6 +207,9 @@ def kde_thresholds(scores: DataFrame, keys: list[str], config: ModelConfig = Mod
     rows = []
     for key, s in state.items():
         low, medium, high = s["x"]
+        if not all(s["done"]):
+            rows.append((*key, s["n"], s["h"], None, None, None, "not converged"))
+            continue
         status = "ok" if low < medium < high else "not strictly ordered"
         rows.append((*key, s["n"], s["h"], low, medium, high, status))
     rows += [(*key, None, None, None, None, None, why) for key, why in failed]

@@ -64,7 +64,9 @@ def grow_tree(x: np.ndarray, rng: np.random.Generator) -> dict:
 
 
 def fit_forest(rows: DataFrame, id_cols: list[str], config: ModelConfig = ModelConfig()) -> DataFrame:
-    """Trees per stratum from ``(stratum, id columns, vec)``; at most max_fit_samples rows a stratum.
+    """Trees per stratum from ``(stratum, id columns, vec)``.
+
+    ``samples_per_tree`` is the subsampling of the algorithm itself; trees draw from all rows.
 
     A row joins a tree when its ticket for that tree is small enough to yield slightly more
     than the wanted sample; the tree then keeps exactly the smallest tickets.

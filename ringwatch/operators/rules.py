@@ -10,47 +10,6 @@ from ringwatch.functions import scoring
 from ringwatch.functions.rounding import round_exact, with_rounded
 
 
-def with_probabilities(points: DataFrame, keep, risks=None) -> DataFrame:
-    """``keep`` columns plus one raw probability per rule risk, NULL where a sensor is not valid."""
-    formulas = {
-        "clog": scoring.clog_probability,
-        "mdr_seal": scoring.main_drive_probability,
-        "tail_seal": scoring.tail_seal_probability,
-    }
-    cols = [
-        F.when(scoring.valid_sensors(catalog.RISKS[r].fields), formulas[r]()).alias(f"{r}_p")
-        for r in risks or catalog.RULE_RISKS
-    ]
-    # a missing reading becomes NaN, which no check accepts: later steps then need no NULL handling
-    used = sorted({f for r in risks or catalog.RULE_RISKS for f in catalog.RISKS[r].fields})
-    kept = [c for c in keep if c not in used]
-    return points.select(*kept, *[F.expr(f"coalesce(CAST({f} AS DOUBLE), double('NaN')) AS {f}") for f in used]).select(*kept, *cols)
-
-
-def rule_priority(risk: str, p: Column) -> Column:
-    """Level of an unrounded rule probability; the clog rule has one probability per level."""
-    if risk == "clog":
-        return scoring.level_by_cuts(p, low=0.3, medium=0.7, high=0.9)
-    return scoring.level_by_cuts(p)
-
-
-def long_form(probabilities: DataFrame, keep, risks=None) -> DataFrame:
-    """One row per kept row and rule risk with a probability."""
-    entries = [
-        F.struct(
-            F.lit(r).alias("risk_type"),
-            F.col(f"{r}_p").alias("raw_p"),
-            rule_priority(r, F.col(f"{r}_p")).alias("priority"),
-        )
-        for r in risks or catalog.RULE_RISKS
-    ]
-    return (
-        probabilities.select(*keep, F.explode(F.array(*entries)).alias("_e"))
-        .select(*keep, "_e.risk_type", "_e.raw_p", "_e.priority")
-        .filter(F.col("raw_p").isNotNull())
-    )
-
-
 def with_probabilities(points: DataFrame, keep, risks=None) -> DataFrame:
     """``keep`` columns plus one raw probability per rule risk, NULL where a sensor is not valid."""
     formulas = {

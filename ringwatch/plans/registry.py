@@ -4,19 +4,13 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["registered_points", "registered_joins", "registered_windows", "registered_models"]
+_MODULES = ["registered_points", "registered_joins", "registered_windows", "registered_models", "registered_streams"]
 
 
 def _collect(kind: str) -> dict:
     out: dict = {}
     for name in _MODULES:
-        try:
-            module = importlib.import_module(f"ringwatch.plans.{name}")
-        except ModuleNotFoundError as exc:
-            if name in str(exc):
-                continue
-            raise
-        out.update(getattr(module, kind))
+        out.update(getattr(importlib.import_module(f"ringwatch.plans.{name}"), kind))
     return out
 
 

@@ -127,17 +127,9 @@ def window_inputs(normal: DataFrame, config: ModelConfig = ModelConfig()) -> Dat
     return trended.withColumns({"trend": flat, "pad": pad}).drop("trends", "vals", "ring_points")
 
 
-def draw_sequences(rings: DataFrame, config: ModelConfig = ModelConfig()) -> DataFrame:
-    """Split sequences, capped per stratum and split by a seeded draw."""
-    seqs = materialize(sequences.split_sequences(rings, SOURCE_KEYS, config))
-    limits = {"train": config.max_train_sequences, "val": config.max_val_sequences, "test": config.max_test_sequences}
-    parts = [
-        sequences.limit_sequences(
-            seqs.filter(F.col("split") == s), ["stratum", "split"], n, config.seed + sequences.SPLIT_SEED_OFFSET[s]
-        )
-        for s, n in limits.items()
-    ]
-    return materialize(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+def all_sequences(rings: DataFrame, config: ModelConfig = ModelConfig()) -> DataFrame:
+    """All sequences of every stratum with their split."""
+    return materialize(sequences.split_sequences(rings, SOURCE_KEYS, config))
 
 
 def sequence_inputs(steps: DataFrame, window_rows: DataFrame, join_keys: list[str], seq_keys: list[str], config: ModelConfig = ModelConfig()) -> DataFrame:
@@ -156,24 +148,20 @@ def sequence_inputs(steps: DataFrame, window_rows: DataFrame, join_keys: list[st
     return grouped.filter(F.col("_steps") == config.rings_per_sequence).drop("_steps").withColumnRenamed("seq_window", "window_idx")
 
 
-def fit_rows(scored: DataFrame, config: ModelConfig = ModelConfig()) -> DataFrame:
-    """Training sequences for the forest, evenly spaced when there are more than allowed."""
-    train = scored.filter("split = 'train'").withColumn("_s", F.lit(0))
-    # bounded: at most max_train_sequences rows per stratum
-    order = ["data_source", "group_idx", "window_idx"]
-    indexed = add_index(train, ["stratum"], "_s", order, total="n").drop("_s")
-    return sequences.evenly_sampled(indexed, config.max_fit_samples).drop("idx", "n")
+def fit_rows(scored: DataFrame) -> DataFrame:
+    """Training sequences; each tree of the forest draws its own bounded sample from all of them."""
+    return scored.filter("split = 'train'")
 
 
 def train_models(fused: DataFrame, config: ModelConfig = ModelConfig()) -> TrainedModels:
     """All strata at once: split, scale, window, reconstruct, isolate, calibrate."""
     rings = materialize(ring_list(fused))
-    seqs = draw_sequences(rings, config)
+    seqs = all_sequences(rings, config)
     steps = materialize(
         sequences.sequence_steps(seqs, [*SOURCE_KEYS, "split"]).select(*SEQ_KEYS, "step", "ring", "step_window_idx")
     )
     scaler_rows = materialize(scalers(fused, config))
-    # only rings, then windows, that some drawn sequence uses
+    # only rings, then windows, that some sequence uses
     wanted = steps.groupBy(*RING_KEYS, F.col("step_window_idx").alias("window_idx")).agg(
         F.count_if(F.col("split") == "train").cast("double").alias("weight")
     )
@@ -185,9 +173,9 @@ def train_models(fused: DataFrame, config: ModelConfig = ModelConfig()) -> Train
     errors = reconstruction.window_errors(inputs, reconstruction.pack_reconstruction(model, config), keys, config)
     rows = materialize(inputs.select(*keys, "trend", "end_time").join(errors, keys))
     seq_rows = materialize(sequence_inputs(steps, rows, keys, SEQ_KEYS, config))
-    trees = materialize(forest.fit_forest(fit_rows(seq_rows, config), SEQ_KEYS, config))
+    trees = materialize(forest.fit_forest(fit_rows(seq_rows), SEQ_KEYS, config))
     raw = materialize(forest.score_forest(seq_rows, forest.pack_forest(trees, config)))
-    offsets = materialize(forest.anomaly_offset(fit_rows(raw, config), config))
+    offsets = materialize(forest.anomaly_offset(fit_rows(raw), config))
     anomalies = raw.join(F.broadcast(offsets), "stratum").withColumn("if_anomaly", F.col("if_raw") - F.col("if_offset"))
     bounds = materialize(calibration.score_bounds(anomalies, ["stratum"], config))
     scores = materialize(calibration.combined_scores(anomalies.drop("if_raw", "if_offset"), bounds, ["stratum"], config))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,23 +21,49 @@ BOM = "﻿"
 SUMMARY_TABLES = ["sum", "sum_old"]
 
 
+def headers_of(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """``path, file_name, header`` of delimited files; the header is one line, without byte-order mark.
+
+    Line numbers come from the file's own partitions: the first row of the block at position 0.
+    """
+    lines = spark.read.option("header", False).option("encoding", encoding).option("sep", "\0").schema("value string").csv(path)
+    first = lines.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file_name"),
+        F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"), "value",
+    ).filter("start = 0")
+    heads = first.groupBy("path", "file_name").agg(F.min_by("value", "row").alias("header"))
+    return heads.withColumn("header", F.regexp_replace("header", f"^{BOM}", ""))
+
+
 def read_delimited(spark: SparkSession, path: str, columns: list[str] | None = None, encoding: str = "UTF-8") -> DataFrame:
     """Delimited text with a header from one path or glob; every column is read as text.
 
-    The byte-order mark is stripped from the first header name. ``folder`` and ``file_name``
-    come from the file path, ``file_order`` follows the rows of each file.
+    Each file is read by its own header: files are grouped by header line, each group is read with
+    that header as its schema, and the groups are united by name, absent columns NULL. ``columns``
+    picks and orders the columns of the result. The byte-order mark is stripped from the first header name. ``folder``
+    and ``file_name`` come from the file path, ``file_order`` follows the rows of each file.
     """
-    raw = spark.read.option("header", True).option("encoding", encoding)
-    if columns is not None:
-        raw = raw.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns])).option("enforceSchema", True)
-    df = raw.csv(path)
-    df = df.select(
-        *[F.col(f"`{c}`").alias(c.lstrip(BOM)) for c in df.columns],
-        F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("folder"),
-        F.col("_metadata.file_name").alias("file_name"),
-        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("file_order"),
-    )
-    return df
+    groups = headers_of(spark, path, encoding).groupBy("header").agg(F.collect_list("path").alias("paths")).orderBy("header").collect()
+    out = None
+    for group in groups:
+        names = next(csv.reader([group["header"]])) if group["header"] else []
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+        raw = spark.read.option("header", True).option("encoding", encoding).option("enforceSchema", True).schema(schema)
+        df = raw.csv([unquote(p) for p in group["paths"]])
+        df = df.select(
+            *[F.col(f"`{c}`") for c in names],
+            F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("folder"),
+            F.col("_metadata.file_name").alias("file_name"),
+            F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("file_order"),
+        )
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    if out is not None and columns is not None:
+        have = set(out.columns)
+        picked = [F.col(f"`{c}`") if c in have else F.lit(None).cast("string").alias(c) for c in columns]
+        out = out.select(*picked, "folder", "file_name", "file_order")
+    if out is None:
+        raise FileNotFoundError(f"no file with a header under {path}")
+    return out
 
 
 def split_by_kind(spark: SparkSession, folder_glob: str) -> tuple[DataFrame, DataFrame]:
@@ -43,17 +72,9 @@ def split_by_kind(spark: SparkSession, folder_glob: str) -> tuple[DataFrame, Dat
     Returns two frames ``(folder, file_name, path, header)``; temporary files and other
     suffixes are ignored.
     """
-    lines = spark.read.format("text").load(folder_glob)
-    first = lines.select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_name").alias("file_name"),
-        F.col("_metadata.file_block_start").alias("start"),
-        F.col("value"),
-    ).filter("start = 0")
-    # the header is the first line of the first block; a pandas-free scan of one row per file
-    heads = first.groupBy("path", "file_name").agg(F.first("value").alias("header"))
+    heads = headers_of(spark, folder_glob)
     kept = heads.filter(F.lower("file_name").endswith(TEXT_SUFFIX) & ~F.col("file_name").startswith("~$"))
-    names = F.split(F.regexp_replace("header", BOM, ""), ",")
+    names = F.split("header", ",")
     marked = F.arrays_overlap(names, F.array(*[F.lit(m) for m in sorted(GEO_MARKERS)]))
     listed = kept.select(
         F.element_at(F.split("path", "/"), -2).alias("folder"), "file_name", "path", names.alias("header"), marked.alias("is_geo")

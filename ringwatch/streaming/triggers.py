@@ -1,6 +1,7 @@
 """Consecutive-trigger results kept up to date on a stream of scored points.
 
-State per (shield, ring, risk) is a fixed set of counters. Points of a ring must arrive in
+State per (shield, ring, risk) is a fixed set of counters and is kept, so that a late batch of a
+ring goes on where the one before ended and a run over the files that are there ends by itself. Points of a ring must arrive in
 time order from one micro-batch to the next; within a micro-batch they are sorted here, so
 a task holds one key's share of one micro-batch (bounded by the trigger's file limit).
 """
@@ -23,7 +24,6 @@ OUTPUT_SCHEMA = (
     "shield_id string, ring long, risk_type string, points long, low_p double, none_p double, any_p double, "
     "high_p double, medium_p double, warning_text string"
 )
-IDLE_MS = 48 * 3600 * 1000
 
 
 def _higher(a, b):
@@ -46,9 +46,6 @@ def _update_run(run: list, hit: bool, p: float, t: str, n: int) -> None:
 
 
 def _advance(key, batches, state: GroupState, n: int):
-    if state.hasTimedOut:
-        state.remove()
-        return
     if state.exists:
         values = list(state.get)
     else:
@@ -66,7 +63,6 @@ def _advance(key, batches, state: GroupState, n: int):
         for t in THRESHOLDS:
             _update_run(runs[t], priority >= t, p, t_text, n)
     state.update(tuple([points, low_p, none_p, any_p] + [v for t in THRESHOLDS for v in runs[t]]))
-    state.setTimeoutDuration(IDLE_MS)
     yield pd.DataFrame(
         [(*key, points, low_p, none_p, any_p, runs[4][3], runs[3][3], runs[2][4])],
         columns=[c.split()[0] for c in OUTPUT_SCHEMA.split(", ")],
@@ -83,7 +79,7 @@ def ring_risk_stream(points: DataFrame, n: int = catalog.TRIGGER_LENGTH) -> Data
         return _advance(key, batches, state, n)
 
     runs = scored.groupBy(*RING_KEYS).applyInPandasWithState(
-        advance, OUTPUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.ProcessingTimeTimeout
+        advance, OUTPUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout
     )
     priority = (
         F.when(F.col("high_p").isNotNull(), 4)
