@@ -12,16 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringwatch.llm import quality, toxicity
-from ringwatch.llm.base import stored, table
+from ringwatch.llm.base import small_batches, stored, table
 from ringwatch.llm.minhash import near_duplicates
 from ringwatch.llm.packing import pack
 from ringwatch.llm.suffix_dedup import remove_repeats
 
+#: Words that a worker of the last stage remembers; it shares its memory with the stages before.
+KEPT = 100_000
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below the threshold; each row by its own text."""
+    small_batches(spark)
     model = toxicity.train_on(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, model, columns=tuple(COLUMNS))
     return scored.where(F.col("score") < toxicity.THRESHOLD).select(COLUMNS)
@@ -29,6 +32,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold; each row by its own text."""
+    small_batches(spark)
     model = quality.train_on(docs, table(spark, sf_dir, "labels"))
     scored = quality.score(docs, model, columns=tuple(COLUMNS))
     return scored.where(F.col("score") >= quality.THRESHOLD).select(COLUMNS)
@@ -41,6 +45,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     is left. Texts without words resemble nothing and stay. A row without a doc_id can't be named as
     kept, and goes.
     """
+    small_batches(spark)
     kept = near_duplicates(docs, words=5, percent=80).where("kept").select(F.col("doc_id").alias("id")).distinct()
     return docs.join(kept, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS)
 
@@ -51,6 +56,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     All places of such a passage go. What is left of a character that a passage cuts goes too;
     ``n_chars`` is renewed. A document that consists of such passages stays with an empty text.
     """
+    small_batches(spark)
     left = remove_repeats(docs, 400).where("n_removed > 0").select(F.col("doc_id").alias("id"), "kept")
     texts = left.mapInArrow(_decoded, "id long, cleaned string")
     rows = docs.join(texts, F.col("doc_id").eqNullSafe(F.col("id")), "left")
@@ -68,7 +74,8 @@ def _decoded(batches):
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of 2048 ids: a row per piece of a document with its place and its ids."""
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), 2048)
+    small_batches(spark)
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), 2048, kept=KEPT)
 
 
 STAGES = [

@@ -13,6 +13,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand texts to Python in batches of fewer rows than Spark's default of 10,000.
+
+    Batches lie in memory on both sides, several to a task; whole texts can be long.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a frame below the shared folder and read it back: computed once, lineage cut.
 

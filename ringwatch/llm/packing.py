@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ringwatch.llm.base import stored, table
-from ringwatch.llm.tokens import word_tokens
+from ringwatch.llm.tokens import KEPT, word_tokens
 
 WINDOW = 2048
 #: Pieces that one task numbers.
@@ -94,11 +94,11 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("start",
 _PIECE_ROWS = "doc_id long, text_key long, start long, length long, ids_crc32 long, doc_tokens long, ids array<long>"
 
 
-def _cut(path: str, window: int, end: int, with_ids: bool):
+def _cut(path: str, window: int, end: int, with_ids: bool, kept: int):
     """Full windows and one rest of each document's tokens, with the closing id."""
 
     def run(batches):
-        tokens = word_tokens(path)
+        tokens = word_tokens(path, kept)
         tail = np.array([end], dtype="<u4").tobytes()
         for batch in batches:
             doc, key = batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist()
@@ -127,7 +127,7 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
         _PIECES.set(6, pa.field("ids", pa.list_(pa.int64()))))
 
 
-def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, with_ids: bool = True, kept: int = KEPT) -> DataFrame:
     """Place every token of every document in a sequence of at most ``window`` tokens.
 
     Returns a row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids``
@@ -135,10 +135,11 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, with_
     ``path``, which every executor must have, and the id ``end``. A null or empty text has that id
     alone. Rows that repeat a doc_id or a text are packed as any other. Within a sequence the pieces
     stand without gaps from offset 0. An empty table gives no rows. Further columns are ignored.
+    ``kept`` is the number of words whose ids a worker remembers, about 500 bytes each.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = own.withColumn("text_key", F.coalesce(F.xxhash64("text"), F.lit(0)))
-    pieces = stored(own.mapInArrow(_cut(path, window, end, with_ids), _PIECE_ROWS), "packing-pieces")
+    pieces = stored(own.mapInArrow(_cut(path, window, end, with_ids, kept), _PIECE_ROWS), "packing-pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     rows = plan(counts, window)
     spark = docs.sparkSession

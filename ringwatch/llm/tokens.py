@@ -104,14 +104,14 @@ def _groups(texts: list[str], most: int = 1_500_000):
 class Tokens:
     """Encodes many texts; a subclass says how they fall into parts."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT):
         self.tokenizer = load(path)
         self.markers = markers(path)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         letters = byte_letters()
         names = [(self.tokenizer.id_to_token(i) or "").removesuffix("</w>") for i in range(size)]
         self.bytes = [bytes(map(letters.__getitem__, n)) for n in names]
-        self.parts = Parts(self.tokenizer, np.array([len(b) for b in self.bytes]), KEPT)
+        self.parts = Parts(self.tokenizer, np.array([len(b) for b in self.bytes]), kept)
 
     def encode_all(self, texts: list[str]):
         """Ids of each whole text, as little-endian 32-bit numbers."""
@@ -232,9 +232,9 @@ class ByteTokens(Tokens):
 
 
 @cache
-def word_tokens(path: str) -> WordTokens:
+def word_tokens(path: str, kept: int = KEPT) -> WordTokens:
     """One for all tasks of a worker, so that its parts stay known."""
-    return WordTokens(path)
+    return WordTokens(path, kept)
 
 
 @cache
