@@ -9,16 +9,18 @@ from ringwatch.operators import calibration, profiles
 from ringwatch.plans import reports, training
 from ringwatch.plans.registered_joins import source_candidates
 from ringwatch.sources import tables
-from ringwatch.sources.adapters import view
+from ringwatch.sources.adapters import oracle_ctes, view
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 _TRAINED: dict = {}
 
 
-def register(name: str):
+def register(name: str, sql: str | None = None):
     def wrap(fn):
         QUERIES[name] = fn
+        if sql is not None:
+            ORACLES[name] = sql
         return fn
 
     return wrap
@@ -121,25 +123,48 @@ def _folders(spark, sf_dir):
     areas = F.concat(F.lit("cluster_"), "cluster_label")
     labelled = geo.select("ring", areas.alias("area"))
     tbm = pts.join(labelled, "ring").select("area", "ring_no", "time", "point_id", *training.TBM)
-    tbm.withColumnRenamed("ring_no", "RING").write.partitionBy("area").option("header", True).csv(f"{root}/machine")
+    tbm = tbm.withColumnRenamed("ring_no", "RING")
+    # one area's files have their columns in another order
+    turned = F.col("area") == "cluster_1"
+    tbm.filter(~turned).write.partitionBy("area").option("header", True).csv(f"{root}/machine")
+    tbm.filter(turned).select(*reversed(tbm.columns)).write.mode("append").partitionBy("area").option("header", True).csv(f"{root}/machine")
     renamed = geo.withColumnsRenamed({"ring": "Ring_Index", "cluster_label": "Cluster_Label"}).withColumn("area", areas)
     renamed.write.partitionBy("area").option("header", True).csv(f"{root}/geology")
     return root
 
 
-@register("s1_read_table")
+_LABELLED = (
+    oracle_ctes("fx_points", "fx_geo")
+    + """, labelled AS (
+  SELECT 'area=cluster_' || CAST(g.cluster_label AS VARCHAR) AS folder, p.*
+  FROM fx_points p JOIN fx_geo g ON p.ring = g.ring WHERE g.cluster_label IS NOT NULL)
+"""
+)
+
+
+@register(
+    "s1_read_table",
+    _LABELLED + "SELECT folder, point_id, CAST(ring_no AS DOUBLE) AS ring, thrust_spd, ch_torque FROM labelled",
+)
 def s1_read_table(spark, sf_dir):
     root = _folders(spark, sf_dir)
     rows = tables.read_delimited(spark, f"{root}/machine/*/*.csv")
-    return rows.groupBy("folder").agg(F.count(F.lit(1)).alias("rows"), F.count("thrust_spd").alias("thrust_spd"))
+    numbers = [F.col(c).try_cast("double").alias(a) for c, a in (("RING", "ring"), ("thrust_spd", "thrust_spd"), ("ch_torque", "ch_torque"))]
+    return rows.select("folder", F.col("point_id").cast("bigint").alias("point_id"), *numbers)
 
 
-@register("s3_split_by_kind")
+@register(
+    "s3_split_by_kind",
+    _LABELLED + """, kinds AS (
+  SELECT DISTINCT 'machine' AS kind, folder FROM labelled
+  UNION ALL SELECT DISTINCT 'geology', 'area=cluster_' || CAST(cluster_label AS VARCHAR) FROM fx_geo WHERE cluster_label IS NOT NULL)
+SELECT kind, folder, true AS found FROM kinds""",
+)
 def s3_split_by_kind(spark, sf_dir):
     root = _folders(spark, sf_dir)
     tbm, geo = tables.split_by_kind(spark, f"{root}/*/*/*.csv")
     both = tbm.withColumn("kind", F.lit("machine")).unionByName(geo.withColumn("kind", F.lit("geology")))
-    return both.groupBy("kind", "folder").agg(F.count(F.lit(1)).alias("files"))
+    return both.groupBy("kind", "folder").agg((F.count(F.lit(1)) > 0).alias("found"))
 
 
 @register("s12_score_frame_sink")

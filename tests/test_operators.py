@@ -136,3 +136,18 @@ def test_forest_ranks_outliers_higher():
     packed["norm"] = float(forest.mean_path(256))
     scores = forest.raw_scores(packed, np.vstack([np.zeros((1, 4)), np.full((1, 4), 9.0)]))
     assert 0 < scores[0] < scores[1] < 1
+
+
+def test_each_file_is_read_by_its_own_header(spark, tmp_path):
+    from ringwatch.sources.tables import read_delimited, split_by_kind
+
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "one.csv").write_text("\ufeffRING,a,b\n1,10,20\n2,11,21\n", encoding="utf-8")
+    (tmp_path / "x" / "two.csv").write_text("b,RING,a\n22,3,12\n", encoding="utf-8")
+    (tmp_path / "x" / "geo.csv").write_text("Ring_Index,Cluster_Label\n1,0\n", encoding="utf-8")
+    rows = read_delimited(spark, f"{tmp_path}/x/[ot]*.csv", columns=["RING", "a", "b", "c"])
+    got = sorted((r["RING"], r["a"], r["b"], r["c"], r["folder"], r["file_name"]) for r in rows.collect())
+    assert got == [("1", "10", "20", None, "x", "one.csv"), ("2", "11", "21", None, "x", "one.csv"), ("3", "12", "22", None, "x", "two.csv")]
+    machine, geology = split_by_kind(spark, f"{tmp_path}/x/*.csv")
+    assert sorted(r["file_name"] for r in machine.collect()) == ["one.csv", "two.csv"]
+    assert [r["file_name"] for r in geology.collect()] == ["geo.csv"]
