@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -94,9 +93,17 @@ def missing_strata(df: DataFrame, expected=None, label_col: str = "cluster_label
 
 
 def round_columns(df: DataFrame, columns, digits: int = 2) -> DataFrame:
-    """Numbers and numeric text to ``digits`` decimals; other text becomes NULL."""
-    numbers = df.withColumns({c: F.col(c).cast("string").try_cast("double") for c in columns})
-    return rounding.with_rounded(numbers, {c: digits for c in columns})
+    """Numbers and numeric text to ``digits`` decimals; other text stays as it is.
+
+    Columns of numbers become doubles, columns of text remain text.
+    """
+    kinds = dict(df.dtypes)
+    as_text = [c for c in columns if kinds[c] == "string"]
+    kept = df.withColumns({f"__{c}": F.col(c) for c in as_text})
+    numbers = kept.withColumns({c: F.col(c).cast("string").try_cast("double") for c in columns})
+    rounded = rounding.with_rounded(numbers, {c: digits for c in columns})
+    texts = {c: F.coalesce(F.col(c).cast("string"), F.col(f"__{c}")) for c in as_text}
+    return rounded.withColumns(texts).drop(*[f"__{c}" for c in as_text])
 
 
 def resolve_shield(requests: DataFrame, shields: DataFrame) -> DataFrame:
@@ -121,7 +128,3 @@ def format_model_points(df: DataFrame, label_col: str = "cluster_label") -> Data
     label = F.coalesce(F.col(label_col).cast("string").try_cast("double"), F.lit(0.0)).alias("cluster_label")
     state = (F.coalesce(F.col("state"), F.lit(1)) if "state" in df.columns else F.lit(1)).alias("state")
     return df.select("shield_id", "point_id", "ring", F.col("time").alias("timestamp"), state, label, *cols)
-
-
-def any_of(conditions) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

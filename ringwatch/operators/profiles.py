@@ -172,7 +172,10 @@ def risk_histogram(scored: DataFrame, keys: list[str], bins: int = 60, score: st
 
 
 def window_score_aggregates(scores: DataFrame, keys: list[str], score: str = "risk_score", config: ModelConfig = ModelConfig()) -> DataFrame:
-    """All aggregation modes of a ring's window scores: max, mean, median, quantile, top-k mean."""
+    """All aggregation modes of a ring's window scores: max, mean, median, quantile, top-k mean.
+
+    A ring with a score that is NULL, NaN or infinite keeps its row, with NULL in every mode.
+    """
     from pyspark.sql import Window
 
     bad = scores.filter(F.col(score).isNull() | F.isnan(score) | (F.abs(score) == float("inf")))
@@ -181,4 +184,5 @@ def window_score_aggregates(scores: DataFrame, keys: list[str], score: str = "ri
     ordered = exact_percentiles(finite, keys, score, {"median": 0.5, "pquantile": config.quantile_p})
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(score).desc()))
     top = finite.withColumn("_r", rank).filter(F.col("_r") <= config.topk_k).groupBy(*keys).agg(F.avg(score).alias("topk_mean"))
-    return plain.join(ordered, keys).join(top, keys)
+    whole = plain.join(ordered, keys).join(top, keys)
+    return whole.unionByName(bad.select(*keys).distinct(), allowMissingColumns=True)

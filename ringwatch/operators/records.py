@@ -23,18 +23,9 @@ LATEST_COLUMNS = [
     "impact_parameters",
 ]
 DEFAULT_LIMIT = 1000
-MAX_LIMIT = 5000
 PARTS = 64
 
 
-def clamp_limit(limit, default: int = DEFAULT_LIMIT, maximum: int = MAX_LIMIT) -> int:
-    try:
-        value = int(limit)
-    except (TypeError, ValueError):
-        value = default
-    return default if value <= 0 else min(value, maximum)
-
-
 def risk_records(records: DataFrame, risk_type: str | None = None, project: str | None = None) -> DataFrame:
     """Record scan reduced to the report columns that exist; blank project means all."""
     out = records
@@ -64,8 +55,8 @@ def latest_summary(records: DataFrame) -> DataFrame:
 def newest(records: DataFrame, keys: list[str], limit: int) -> DataFrame:
     """Newest ``limit`` rows per key. Rows are ranked within hashed parts of a key first, so
     the final rank of a hot key sees at most ``PARTS * limit`` rows."""
-    if not 0 < limit <= MAX_LIMIT:
-        raise ValueError(f"limit must be 1..{MAX_LIMIT}")
+    if isinstance(limit, bool) or not isinstance(limit, int) or limit < 1:
+        raise ValueError("limit must be a whole number from 1")
     newest_first = F.col("id").desc()
     by_part = Window.partitionBy(*keys, "_part").orderBy(newest_first)
     by_key = Window.partitionBy(*keys).orderBy(newest_first)

@@ -51,11 +51,6 @@ def long_form(probabilities: DataFrame, keep, risks=None) -> DataFrame:
     )
 
 
-def reported_probability(p: Column) -> Column:
-    """Three decimals from the rule, then two for the report."""
-    return round_exact(round_exact(p, 3), 2)
-
-
 def score_points(points: DataFrame, keep=("shield_id", "ring", "time", "point_id")) -> DataFrame:
     """Long form: one row per point and rule risk with valid sensors. Narrow, no shuffle.
 

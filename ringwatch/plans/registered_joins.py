@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ringwatch import catalog
-from ringwatch.catalog import ModelConfig
 from ringwatch.functions import scoring, text
 from ringwatch.functions.rounding import with_rounded
-from ringwatch.operators import cleaning, joins, networks, profiles, records, rules, sequences, triggers
+from ringwatch.operators import cleaning, joins, networks, profiles, records, sequences
 from ringwatch.operators.ordered import add_index, time_slice
 from ringwatch.plans import reports
-from ringwatch.plans.registered_points import RUNS_SQL, SCORED_SQL, _values, round_sql, score_sql
+from ringwatch.plans.registered_points import RUNS_SQL, SCORED_SQL, _values, round_sql
 from ringwatch.sources import tables
 from ringwatch.sources.adapters import oracle_ctes, table, view
 

@@ -9,7 +9,6 @@ from ringwatch import catalog
 from ringwatch.functions import scoring, text
 from ringwatch.functions.rounding import round_exact
 from ringwatch.operators import cleaning, rules, triggers
-from ringwatch.operators.ordered import first_per_key
 from ringwatch.sources import tables
 from ringwatch.sources.adapters import oracle_ctes, view
 
@@ -273,7 +272,7 @@ def p13_impact_parameters(spark, sf_dir):
     "p14_round2",
     """SELECT event_id, CAST(printf('%.2f', value) AS DOUBLE) AS value2, CAST(event_id % 400 AS DOUBLE) / 200 AS exact_value,
   CAST(printf('%.2f', (event_id % 400) / 200.0e0) AS DOUBLE) AS exact2,
-  CASE WHEN event_id % 3 = 0 THEN CAST(printf('%.2f', event_id / 64.0e0) AS DOUBLE) END AS parsed2 FROM events""",
+  CASE WHEN event_id % 3 = 0 THEN CAST(CAST(printf('%.2f', (event_id % 4096) / 64.0e0) AS DOUBLE) AS VARCHAR) ELSE 'n/a' END AS parsed2 FROM events""",
 )
 def p14_round2(spark, sf_dir):
     e = F.col("event_id")
@@ -282,7 +281,7 @@ def p14_round2(spark, sf_dir):
         F.col("value").alias("value2"),
         ((e % 400) / 200).alias("exact_value"),
         ((e % 400) / 200).alias("exact2"),
-        F.when(e % 3 == 0, (e / 64).cast("string")).otherwise("n/a").alias("parsed2"),
+        F.when(e % 3 == 0, ((e % 4096) / 64).cast("string")).otherwise("n/a").alias("parsed2"),
     )
     return cleaning.round_columns(raw, ["value2", "exact2", "parsed2"])
 

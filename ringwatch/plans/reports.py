@@ -51,7 +51,7 @@ def latest_risk_summary(rows: DataFrame) -> DataFrame:
 
 def risk_history(rows: DataFrame, limit=records.DEFAULT_LIMIT) -> DataFrame:
     """Warning records with counts, in report order (``position``)."""
-    found = records.risk_history(rows, records.clamp_limit(limit))
+    found = records.risk_history(rows, limit)
     return found.join(_labels(rows.sparkSession), "risk_type").select(
         "risk_label",
         "project_code",
@@ -76,12 +76,12 @@ def available_parameters(dictionary: DataFrame) -> DataFrame:
 def parameter_history(
     history: DataFrame, dictionary: DataFrame, names: list[str], start: str, end: str, keep: list[str] = ()
 ) -> DataFrame:
-    """Local time, value and unit of up to four named parameters; missing readings count as 0."""
-    if not 1 <= len(names) <= 4:
-        raise ValueError("name one to four parameters")
+    """Local time, value and unit of the named parameters; missing readings count as 0."""
+    if not names:
+        raise ValueError("name at least one parameter")
     spark = history.sparkSession
     requested = spark.createDataFrame([(n,) for n in names], "point_cn_name string")
-    # at most four rows: they choose the columns to read
+    # a row per name: they choose the columns to read
     mapping = {r["point_cn_name"]: r for r in joins.history_mapping(requested, dictionary).take(len(names))}
     found = [mapping[n] for n in names if n in mapping and mapping[n]["code"] in history.columns]
     if not found:

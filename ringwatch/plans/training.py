@@ -12,7 +12,6 @@ from ringwatch.catalog import ModelConfig
 from ringwatch.functions import text
 from ringwatch.functions.rounding import with_rounded
 from ringwatch.operators import calibration, forest, joins, profiles, reconstruction, rules, sequences, windows
-from ringwatch.operators.ordered import add_index
 from ringwatch.scratch import materialize
 
 SOURCE_KEYS = ["stratum", "data_source"]
