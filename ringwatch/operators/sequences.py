@@ -180,14 +180,17 @@ def split_sequences(ring_counts: DataFrame, keys: list[str], config: ModelConfig
     )
 
 
-def limit_sequences(seqs: DataFrame, keys: list[str], limit: int, seed: int) -> DataFrame:
-    """Seeded sample of at most ``limit`` sequences per key, the same on every run."""
+def limit_sequences(seqs: DataFrame, keys: list[str], ids: list[str], limit: int, seed: int) -> DataFrame:
+    """Seeded sample of at most ``limit`` sequences per key, the same on every run.
+
+    ``ids`` tell the sequences of a key apart; those of the smallest digests of key, ids and seed are drawn.
+    """
     if limit <= 0:
         return seqs
-    ticket = F.xxhash64(*[F.col(c) for c in [*keys, "group_idx", "window_idx"]], F.lit(seed))
-    drawn = seqs.withColumn("_ticket", ticket).withColumn("_part", F.pmod(F.col("_ticket"), F.lit(256)))
-    by_part = Window.partitionBy(*keys, "_part").orderBy("_ticket", "group_idx", "window_idx")
-    # tickets are spread evenly over parts, so the order (part, ticket) is a random order too
+    ticket = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in [*keys, *ids]], F.lit(str(seed))))
+    drawn = seqs.withColumn("_ticket", ticket).withColumn("_part", F.substring("_ticket", 1, 2))
+    by_part = Window.partitionBy(*keys, "_part").orderBy("_ticket")
+    # the parts are the digests' first digits: ranked within a part, counted over the parts before
     sizes = drawn.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_b"))

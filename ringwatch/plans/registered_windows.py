@@ -310,11 +310,18 @@ def w11_split_sequences(spark, sf_dir):
     return seqs.select(*training.SOURCE_KEYS, "split", "group_idx", "window_idx", "end_ring", "split_mode")
 
 
-@register("w12_limit_sequences")
+@register(
+    "w12_limit_sequences",
+    FUSED + f""", {_SPLIT_SQL}, {_SPLIT_SEQ_SQL}, drawn AS (
+  SELECT *, row_number() OVER (PARTITION BY stratum, split ORDER BY
+    md5(concat_ws('|', stratum, split, data_source, group_idx, window_idx, {ModelConfig().seed}))) AS rn FROM split_seq)
+SELECT stratum, split, data_source, group_idx, window_idx FROM drawn WHERE rn <= 40""",
+)
 def w12_limit_sequences(spark, sf_dir):
     """Seeded sample of at most 40 training sequences per stratum."""
     seqs = sequences.split_sequences(training.ring_list(view(spark, sf_dir, "fx_fused")), training.SOURCE_KEYS)
-    drawn = sequences.limit_sequences(seqs.drop("rings"), ["stratum", "split"], 40, ModelConfig().seed)
+    drawn = sequences.limit_sequences(
+        seqs.drop("rings"), ["stratum", "split"], ["data_source", "group_idx", "window_idx"], 40, ModelConfig().seed)
     return drawn.select("stratum", "split", "data_source", "group_idx", "window_idx")
 
 
