@@ -10,7 +10,8 @@ from ringwatch.functions.rounding import with_rounded
 from ringwatch.operators import calibration, cleaning, profiles, sequences, windows
 from ringwatch.operators.ordered import add_index, time_slice
 from ringwatch.plans import training
-from ringwatch.scratch import materialize
+from ringwatch.scratch import materialize, new_folder
+from ringwatch.sources import sinks
 from ringwatch.plans.registered_joins import _CANDIDATES, _LAST_K, source_candidates
 from ringwatch.plans.registered_points import round_sql
 from ringwatch.sources import tables
@@ -487,11 +488,29 @@ def a19_risk_histogram(spark, sf_dir):
     return with_rounded(out, {"left_edge": 9, "density": 9})
 
 
-@register("a18_calibration_audit")
+@register(
+    "a18_calibration_audit",
+    SCORES
+    + f""", {_COMBINED_SQL}, s AS (SELECT DISTINCT stratum FROM risk), f AS (SELECT min(stratum) AS first FROM s)
+SELECT 'same' AS case, stratum, true AS count_ok, true AS digest_ok, true AS thresholds_ok FROM s
+UNION ALL SELECT 'changed', stratum, true, stratum <> first, stratum <> first FROM s, f""",
+)
 def a18_calibration_audit(spark, sf_dir):
+    """Audits written documents against the scores they came from, and against scores of which one differs."""
     scored = materialize(_combined(spark, sf_dir).select("stratum", "seq_id", "risk_score"))
-    stored = calibration.kde_thresholds(scored, ["stratum"]).join(calibration.score_digest(scored, ["stratum"], ["seq_id"]), "stratum")
-    return calibration.audit_calibration(scored, stored, ["stratum"], ["seq_id"])
+    path = new_folder(spark, "calibration")
+    thresholds = calibration.kde_thresholds(scored, ["stratum"])
+    documents = thresholds.join(calibration.score_digest(scored, ["stratum"], ["seq_id"]), "stratum")
+    sinks.write_documents(documents, path)
+    stored = spark.read.schema(documents.schema).json(path)
+    first = scored.agg(F.min(F.struct("stratum", "seq_id")).alias("k")).first()["k"]
+    here = (F.col("stratum") == first["stratum"]) & (F.col("seq_id") == first["seq_id"])
+    changed = scored.withColumn("risk_score", F.when(here, F.col("risk_score") / 2 + 0.1).otherwise(F.col("risk_score")))
+    audits = [
+        calibration.audit_calibration(rows, stored, ["stratum"], ["seq_id"]).select(F.lit(case).alias("case"), "*")
+        for case, rows in (("same", scored), ("changed", changed))
+    ]
+    return audits[0].unionByName(audits[1])
 
 
 @register(
