@@ -141,11 +141,11 @@ class WordTokens(Tokens):
             self.parts.learn(parts, np.fromiter((len(p.encode()) for p in text.lower().split(" ")), dtype=np.int64, count=len(parts)), text)
 
 
-_SIGNS = re.compile(r"[^\w\s][.,][ \n]|_[.,][ \n]")
+_SIGNS = re.compile(r"[.,](?:(?<=[^\w\s][.,])|(?<=_[.,]))[ \n]")
 _CUT = re.compile("[^ \t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff](?=[ \t-\r])")
 _BLANKS = " \t\n\v\f\r"
 _RUNS = re.compile("[ \t-\r]{2}|[\t\v-\r\0]")
-_CLOSED = re.compile(r"[^\w\s][.,]\0|_[.,]\0|^[.,]\0|\0.?[.,]\0")
+_CLOSED = re.compile(r"[.,](?:(?<=\W[.,])|(?<=_[.,])|(?<=^[.,]))\0")
 _PARTS = re.compile("[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 
 
