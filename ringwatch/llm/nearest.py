@@ -179,24 +179,26 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = T
 
     Both have ``vec_id, embedding``; a query's own id is no candidate. ``score`` is the Euclidean
     distance in doubles; ties go to the smaller vec_id. Vectors that are null, empty, zero or hold null
-    or non-finite components take no part, nor do rows without an id; all others have one length. Rows
-    that repeat an id count once, at the nearest. Queries without candidates have no row. Further
+    or non-finite components take no part, nor do rows without an id, nor those of another length than
+    most have. Rows that repeat an id count once, at the nearest. Queries without candidates have no row. Further
     columns are ignored.
     """
     clean = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vector")).where(
         usable(F.col("vector")) & F.col("vec_id").isNotNull())
     base, asked = clean(vectors), clean(queries)
-    n = base.count()
+    sizes = base.groupBy(F.size("vector").alias("dims")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dims").first()
+    dims, n = (sizes["dims"], sizes["n"]) if sizes else (1, 0)
+    base, asked = (df.where(F.size("vector") == dims) for df in (base, asked))
     place = F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1_000_000_000))
     sample = base.where(place < int(1_000_000_000 * min(1.0, SAMPLE / max(n, 1)))).select("vector").toArrow()
-    rows = matrix(sample.column("vector")) if sample.num_rows else np.zeros((0, 1))
+    rows = matrix(sample.column("vector")) if sample.num_rows else np.zeros((0, dims))
     spread = float(np.sqrt(rows.var(axis=0).sum())) if len(rows) else 1.0
     radius = _radius(rows, k)
     # a direction has about three cells within two deviations of the vectors to either side
     width = max(4 * spread / 3, 1e-9)
     functions = max(2, round(math.log(max(n, 1) / CELL, 3)))
     blocks = max(1, math.ceil(n / BLOCK))
-    hashing = Hashing(max(rows.shape[1], 1), functions, tables, width, radius, seed)
+    hashing = Hashing(dims, functions, tables, width, radius, seed)
 
     kind = base.schema["vector"].dataType.simpleString()
     index = base.mapInArrow(_indexed(hashing, blocks), f"vec_id long, vector {kind}, turn long, block long, cell long")
