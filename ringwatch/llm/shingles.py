@@ -22,7 +22,7 @@ def _powers(base: int, n: int) -> np.ndarray:
     """The first ``n`` powers of a base modulo 2**64; kept for later batches of the same worker."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 20), np.uint64(base), dtype=np.uint64)
+        have = np.full(max(n, 1 << 19), np.uint64(base), dtype=np.uint64)
         have[0] = 1
         _POWERS[base] = np.cumprod(have, out=have)
     return have[:n]
@@ -49,7 +49,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[ends[0] : ends[-1]] if len(ends) else raw[:0], ends - (ends[0] if len(ends) else 0)
 
 
-def pieces(column: pa.Array, most: int = 1_000_000):
+def pieces(column: pa.Array, most: int = 500_000):
     """Slices ``(first, last)`` of a text column of about ``most`` bytes; a longer text stands alone."""
     _, ends = text_bytes(column)
     first = 0

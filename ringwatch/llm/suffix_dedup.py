@@ -120,7 +120,7 @@ def _seeded(length: int, seed: int):
     def run(batches):
         for batch in batches:
             texts = batch.column("text")
-            for first, last in pieces(texts, 2_000_000):
+            for first, last in pieces(texts, 500_000):
                 raw, ends = text_bytes(texts.slice(first, last - first))
                 place, value = seeds_of(raw, ends, length, seed)
                 if not len(place):

@@ -88,7 +88,7 @@ def _ids(tokenizer, text: str) -> bytes:
     return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
-def _groups(texts: list[str], most: int = 1_500_000):
+def _groups(texts: list[str], most: int = 1_000_000):
     """Texts in turn, about so many characters at a time."""
     group, size = [], 0
     for text in texts:
@@ -118,8 +118,9 @@ class Tokens:
         for group in _groups(texts):
             split = [None if _ODD.search(t) or any(m in t for m in self.markers) else self.split(t) for t in group]
             new = self.parts.unknown(set().union(*(parts for parts in split if parts)))
-            if new:
-                self.learn([p for p in new if len(p) <= 64])
+            new = [p for p in new if len(p) <= 64]
+            for at in range(0, len(new), 4000):  # an encoding takes some hundred bytes a token
+                self.learn(new[at : at + 4000])
             for text, parts in zip(group, split):
                 yield _ids(self.tokenizer, text) if parts is None else b"".join(map(self.parts.__getitem__, parts))
 
