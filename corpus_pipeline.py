@@ -17,8 +17,10 @@ from ringwatch.llm.minhash import near_duplicates
 from ringwatch.llm.packing import pack
 from ringwatch.llm.suffix_dedup import remove_repeats
 
-#: Bytes from which a passage that stands twice is a repeat; fifty words have about 300.
+#: Bytes from which a passage that stands twice is a repeat.
 PASSAGE = 256
+#: Words from which it is one in fewer bytes, too: over fifty.
+WORDS = 51
 #: Words that a worker of the last stage remembers; it shares its memory with the stages before.
 KEPT = 100_000
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -53,13 +55,13 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of ``PASSAGE`` bytes or more that stand elsewhere as well.
+    """Documents without the passages of ``PASSAGE`` bytes, or ``WORDS`` words, or more that stand elsewhere as well.
 
     All places of such a passage go. What is left of a character that a passage cuts goes too;
     ``n_chars`` is renewed. A document that consists of such passages stays with an empty text.
     """
     small_batches(spark)
-    left = remove_repeats(docs, PASSAGE).where("n_removed > 0").select(F.col("doc_id").alias("id"), "kept")
+    left = remove_repeats(docs, PASSAGE, words=WORDS).where("n_removed > 0").select(F.col("doc_id").alias("id"), "kept")
     texts = left.mapInArrow(_decoded, "id long, cleaned string")
     rows = docs.join(texts, F.col("doc_id").eqNullSafe(F.col("id")), "left")
     text = F.when(F.col("cleaned").isNotNull(), F.col("cleaned")).otherwise(F.col("text"))

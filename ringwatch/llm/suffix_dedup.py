@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringwatch.llm.base import stored, table
-from ringwatch.llm.shingles import mix64, pieces, text_bytes
+from ringwatch.llm.shingles import mix64, pieces, text_bytes, word_spans
 
 LENGTH = 400
 SEED = 64
@@ -330,6 +330,47 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, batc
         F.collect_set(F.struct("begin", "end")).alias("spans")), "suffix-spans")
 
 
+_SHORT = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("text_key", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())])
+
+
+def _short(words: int, length: int):
+    """A row for each run of ``words`` whole words in fewer than ``length`` bytes: 128 bits of its hash, and where it stands."""
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column("text")
+            for first, last in pieces(texts):
+                raw, ends = text_bytes(texts.slice(first, last - first))
+                start, stop, text = word_spans(raw, ends)
+                if len(start) < words:
+                    continue
+                lo, hi, own = start[: len(start) - words + 1], stop[words - 1 :], text[words - 1 :]
+                found = np.flatnonzero((text[: len(own)] == own) & (hi - lo < length))
+                data = raw.tobytes()
+                docs, keys = (batch.column(c).to_numpy()[first:last] for c in ("doc", "text_key"))
+                for k in range(0, len(found), 1 << 16):
+                    at = found[k : k + (1 << 16)]
+                    hashes = b"".join(hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(lo[at].tolist(), hi[at].tolist()))
+                    h1, h2 = np.frombuffer(hashes, dtype=np.int64).reshape(-1, 2).T.copy()
+                    home = ends[own[at]]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(h1), pa.array(h2), pa.array(docs[own[at]]), pa.array(keys[own[at]]),
+                         pa.array(lo[at] - home), pa.array(hi[at] - home)], schema=_SHORT)
+
+    return run
+
+
+def repeated_words(docs: DataFrame, words: int, length: int) -> DataFrame:
+    """``doc, text_key, short``: the repeated runs of ``words`` words that ``repeated_spans`` can't see.
+
+    Of ``docs`` as there; these are runs of fewer than ``length`` bytes, the same bytes in both places.
+    They are counted by 128 bits of hash, a plain grouping with partial sums.
+    """
+    runs = stored(docs.mapInArrow(_short(words, length), "h1 long, h2 long, doc long, text_key long, begin long, end long"), "suffix-short")
+    often = runs.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
+    return runs.join(often, ["h1", "h2"]).groupBy("doc", "text_key").agg(F.collect_set(F.struct("begin", "end")).alias("short"))
+
+
 _CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
@@ -340,13 +381,13 @@ def _without(with_bytes: bool, length: int):
     def run(batches):
         for batch in batches:
             out: list[tuple] = []
-            for text, spans in zip(batch.column("text"), batch.column("spans").to_pylist()):
+            for text, spans, short in zip(batch.column("text"), batch.column("spans").to_pylist(), batch.column("short").to_pylist()):
                 raw = text.as_buffer()
                 size = raw.size if raw is not None else 0
                 merged: list[list[int]] = []
-                for begin, end in sorted((s["begin"], min(s["end"], size)) for s in spans or ()):
-                    if end - begin < length:  # a string cut short by the document's end
-                        continue
+                # a string cut short by the document's end is no passage
+                whole = [(s["begin"], min(s["end"], size)) for s in spans or () if min(s["end"], size) - s["begin"] >= length]
+                for begin, end in sorted(whole + [(s["begin"], s["end"]) for s in short or ()]):
                     if merged and begin <= merged[-1][1]:
                         merged[-1][1] = max(merged[-1][1], end)
                     else:
@@ -366,9 +407,11 @@ def _without(with_bytes: bool, length: int):
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, batch: int = BATCH, most: int = MOST,
-                   with_bytes: bool = True) -> DataFrame:
+                   with_bytes: bool = True, words: int | None = None) -> DataFrame:
     """Each row of ``docs`` without the bytes that repeated passages cover.
 
+    With ``words``, so many whole words that stand twice are a passage also in fewer than ``length`` bytes.
+
     Returns ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept``. Texts are taken as UTF-8,
     nulls as empty; every occurrence of a passage goes, the first one too. Rows that repeat others
     are copies like any other and all come back. ``kept`` (null without ``with_bytes``) may begin or
@@ -377,7 +420,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, batc
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     own = own.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), F.xxhash64("text").alias("text_key"))
     spans = repeated_spans(own.select("doc", "text_key", "text"), length, seed, batch, most)
-    return own.join(spans, ["doc", "text_key"], "left").select("doc_id", "text", "spans").mapInArrow(_without(with_bytes, length), _CUT)
+    rows = own.join(spans, ["doc", "text_key"], "left")
+    if words:
+        rows = rows.join(repeated_words(own.select("doc", "text_key", "text"), words, length), ["doc", "text_key"], "left")
+    else:
+        rows = rows.withColumn("short", F.lit(None).cast("array<struct<begin:long,end:long>>"))
+    return rows.select("doc_id", "text", "spans", "short").mapInArrow(_without(with_bytes, length), _CUT)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

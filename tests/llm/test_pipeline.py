@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import public_tokenizers
 from tokenizers import Tokenizer
 
@@ -51,3 +53,23 @@ def test_an_empty_corpus_passes_through(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def _short_words(seed, n):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.choice([2, 3]))) for _ in range(n))
+
+
+def test_passages_of_over_fifty_short_words_go(spark):
+    passage, below = _short_words(1, 51), _short_words(2, 50)
+    assert len(passage) < corpus_pipeline.PASSAGE
+    texts = {k: (f"Q{k} {_prose(700 + k, 90)} K{k}", f"Z{k} {_prose(800 + k, 40)}é") for k in range(4)}
+    rows = [(k, f"{a} {passage if k < 2 else below} {b}", "en", "s", 9) for k, (a, b) in texts.items()]
+    rows += [(10, "no " * 60, "en", "s", 9), (11, _short_words(3, 51), "en", "s", 9)]
+    got = {r["doc_id"]: r for r in corpus_pipeline.without_repeats(spark, spark.createDataFrame(rows, DOCUMENT), "").collect()}
+    want = {r[0]: r[1] for r in rows} | {k: f"{texts[k][0]}  {texts[k][1]}" for k in range(2)} | {10: " "}
+    assert {k: r["text"] for k, r in got.items()} == want
+    assert all(got[k]["n_chars"] == len(want[k]) for k in (0, 1, 10))
