@@ -45,13 +45,20 @@ def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of near copies stays: that of the smallest doc_id.
 
-    Sets are of five-word shingles, similar from 0.8 on. Of rows that repeat the doc_id that stays, one
-    is left. Texts without words resemble nothing and stay. A row without a doc_id can't be named as
-    kept, and goes.
+    Sets are of five-word shingles, similar from 0.8 on. Of several texts with the doc_id that stays, one
+    is left, and of rows that repeat it as well. Texts without words resemble nothing and stay. A null
+    doc_id counts as the largest.
     """
     small_batches(spark)
-    kept = near_duplicates(docs, words=5, percent=80).where("kept").select(F.col("doc_id").alias("id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS)
+    found = near_duplicates(docs, words=5, percent=80, keys=True)
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
+    alone = F.col("n_shingles") == 0
+    row = F.struct(own.alias("id"), F.col("text_key").alias("key"))
+    first = found.groupBy("root", alone.alias("alone"), F.when(alone, row).alias("each")).agg(F.min(row).alias("row"))
+    first = first.select("row.id", "row.key", "alone")
+    rows = docs.withColumns({"id": own, "key": F.coalesce(F.xxhash64("text"), F.lit(0))}).join(first, ["id", "key"])
+    rows = rows.withColumn("turn", F.when(F.col("alone"), F.monotonically_increasing_id()).otherwise(-1))
+    return rows.dropDuplicates(["id", "key", "turn"]).select(COLUMNS)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,19 +68,20 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ``n_chars`` is renewed. A document that consists of such passages stays with an empty text.
     """
     small_batches(spark)
-    left = remove_repeats(docs, PASSAGE, words=WORDS).where("n_removed > 0").select(F.col("doc_id").alias("id"), "kept")
-    texts = left.mapInArrow(_decoded, "id long, cleaned string")
-    rows = docs.join(texts, F.col("doc_id").eqNullSafe(F.col("id")), "left")
-    text = F.when(F.col("cleaned").isNotNull(), F.col("cleaned")).otherwise(F.col("text"))
-    chars = F.when(F.col("cleaned").isNotNull(), F.length("cleaned")).otherwise(F.col("n_chars")).cast("long")
-    return rows.select("doc_id", text.alias("text"), "lang", "source", chars.alias("n_chars"))
+    rows = docs.withColumn("missing", F.col("text").isNull())
+    left = remove_repeats(rows, PASSAGE, words=WORDS, columns=("lang", "source", "n_chars", "missing"))
+    left = left.select("doc_id", "kept", "n_removed", "lang", "source", "n_chars", "missing")
+    left = left.mapInArrow(_whole, left.schema).withColumn("text", F.when(~F.col("missing"), F.col("kept").cast("string")))
+    chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")
+    return left.select("doc_id", "text", "lang", "source", chars.alias("n_chars"))
 
 
-def _decoded(batches):
-    """Bytes as text, without broken characters."""
+def _whole(batches):
+    """What is left of cut texts without broken characters."""
     for batch in batches:
-        texts = [b.as_py().decode("utf-8", "ignore") for b in batch.column("kept")]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string())], names=["id", "cleaned"])
+        cut = zip(batch.column("kept"), batch.column("n_removed").to_pylist())
+        kept = [b.as_py().decode("utf-8", "ignore").encode() if n else b.as_py() for b, n in cut]
+        yield batch.set_column(1, batch.schema.field(1), pa.array(kept, batch.schema.field(1).type))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -188,7 +188,7 @@ def _linked(percent: int):
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: int = ROWS,
-                    bands: int = BANDS, margin: float = MARGIN) -> DataFrame:
+                    bands: int = BANDS, margin: float = MARGIN, keys: bool = False) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``.
 
     Links hold between texts whose sets of ``words``-word shingles have an intersection of
@@ -199,6 +199,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     nothing; a text with fewer words is one shingle. Rows that repeat a doc_id all come back,
     each with the component of its own text. A null doc_id counts as larger than any other and
     is kept only if its whole component has none. Further columns are ignored.
+
+    With ``keys`` also ``text_key``, which tells the texts of a repeated doc_id apart, and ``root``, which
+    is the same for the rows of a component and null for texts without shingles.
     """
     k = rows * bands
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -280,15 +283,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
         places.withColumnRenamed("node", "set_key"), "set_key", "left")
     named = named.withColumn("root", F.coalesce("root", "set_key"))
     smallest = named.groupBy("root").agg(F.min("d").alias("component"))
-    named = named.join(smallest, "root").select("set_key", "component")
+    named = named.join(smallest, "root").select("set_key", "component", "root")
     alone = F.col("n_shingles") == 0
     own = F.coalesce("doc_id", F.lit(2**63 - 1))
-    found = signed.select("doc_id", "n_shingles", F.when(~alone, F.col("set_key")).alias("set_key")).join(named, "set_key", "left")
+    found = signed.select("doc_id", "text_key", "n_shingles", F.when(~alone, F.col("set_key")).alias("set_key")).join(named, "set_key", "left")
     component = F.when(alone, own).otherwise(F.col("component"))
     return found.select(
         "doc_id", "n_shingles",
         F.when(component < 2**63 - 1, component).alias("component_id"),
-        (component == own).alias("kept"))
+        (component == own).alias("kept"),
+        *(["text_key", "root"] if keys else []))
 
 
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -374,8 +374,8 @@ def repeated_words(docs: DataFrame, words: int, length: int) -> DataFrame:
 _CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def _without(with_bytes: bool, length: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
+def _without(with_bytes: bool, length: int, carried: tuple[str, ...]):
+    own = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
                         ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
     def run(batches):
@@ -400,14 +400,15 @@ def _without(with_bytes: bool, length: int):
                 kept.append(view[at:size])
                 kept = b"".join(kept)
                 out.append((size, size - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept if with_bytes else None))
-            columns = [pa.array([x[k] for x in out], schema.field(k + 1).type) for k in range(5)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], schema=schema)
+            columns = [pa.array([x[k] for x in out], own.field(k + 1).type) for k in range(5)]
+            schema = pa.schema([*own, *(batch.schema.field(c) for c in carried)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, *(batch.column(c) for c in carried)], schema=schema)
 
     return run
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, batch: int = BATCH, most: int = MOST,
-                   with_bytes: bool = True, words: int | None = None) -> DataFrame:
+                   with_bytes: bool = True, words: int | None = None, columns: tuple[str, ...] = ()) -> DataFrame:
     """Each row of ``docs`` without the bytes that repeated passages cover.
 
     With ``words``, so many whole words that stand twice are a passage also in fewer than ``length`` bytes.
@@ -415,17 +416,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, batc
     Returns ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept``. Texts are taken as UTF-8,
     nulls as empty; every occurrence of a passage goes, the first one too. Rows that repeat others
     are copies like any other and all come back. ``kept`` (null without ``with_bytes``) may begin or
-    end inside a character. Further columns are ignored.
+    end inside a character. ``columns`` names further columns to return; others are ignored.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    own = own.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), F.xxhash64("text").alias("text_key"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *columns)
+    own = own.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), F.xxhash64("text").alias("text_key"), *columns)
     spans = repeated_spans(own.select("doc", "text_key", "text"), length, seed, batch, most)
     rows = own.join(spans, ["doc", "text_key"], "left")
     if words:
         rows = rows.join(repeated_words(own.select("doc", "text_key", "text"), words, length), ["doc", "text_key"], "left")
     else:
         rows = rows.withColumn("short", F.lit(None).cast("array<struct<begin:long,end:long>>"))
-    return rows.select("doc_id", "text", "spans", "short").mapInArrow(_without(with_bytes, length), _CUT)
+    kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in columns)
+    return rows.select("doc_id", "text", "spans", "short", *columns).mapInArrow(_without(with_bytes, length, columns), _CUT + kinds)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,3 +73,30 @@ def test_passages_of_over_fifty_short_words_go(spark):
     want = {r[0]: r[1] for r in rows} | {k: f"{texts[k][0]}  {texts[k][1]}" for k in range(2)} | {10: " "}
     assert {k: r["text"] for k, r in got.items()} == want
     assert all(got[k]["n_chars"] == len(want[k]) for k in (0, 1, 10))
+
+
+def test_repeated_and_null_ids_keep_their_clean_texts(spark):
+    a, b, c, d, e, near = (_prose(900 + k, 120) for k in range(6))
+    copy = near.split()
+    copy[60] = "other"
+    copy = " ".join(copy)
+    rows = [(1, near), (5, a), (5, copy), (6, b), (6, c), (None, d), (None, e), (None, copy), (None, d), (7, a), (8, None), (8, ""), (None, ""), (None, "")]
+    docs = spark.createDataFrame([(k, t, "en", f"s{n}", n) for n, (k, t) in enumerate(rows)], DOCUMENT)
+    out = corpus_pipeline.without_near_copies(spark, docs, "")
+    assert out.columns == corpus_pipeline.COLUMNS
+    want = [(1, near), (5, a), (6, b), (6, c), (None, d), (None, e), (8, None), (8, ""), (None, ""), (None, "")]
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in out.collect()))) == sorted(map(repr, want))
+
+    passage = _prose(950, 60)
+    rows = [(k, t, f"s{n}", n) for n, (k, t) in enumerate(
+        [(5, f"{a} {passage} {b}"), (5, c), (5, None), (6, f"{d} {passage} {e}"), (None, near), (None, ""), (None, f"{_prose(951, 50)} {passage}")])]
+    out = corpus_pipeline.without_repeats(spark, spark.createDataFrame([(k, t, "en", s, n) for k, t, s, n in rows], DOCUMENT), "")
+    assert out.columns == corpus_pipeline.COLUMNS
+    got = {r["source"]: r for r in out.collect()}
+    assert len(got) == out.count() == len(rows)
+    for k, t, s, n in rows:
+        assert got[s]["doc_id"] == k
+        if t and passage in t:
+            assert passage not in got[s]["text"] and len(got[s]["text"]) < len(t) - len(passage) + 1 and got[s]["n_chars"] == len(got[s]["text"])
+        else:
+            assert (got[s]["text"], got[s]["n_chars"]) == (t, n)
