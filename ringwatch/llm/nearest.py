@@ -8,7 +8,8 @@ own cell on, until they add up to what each table has to contribute to the wishe
 
 The radius is the upper quartile of the k-th distances within a sample of at most ``SAMPLE``
 vectors; a sample's neighbours lie farther away than those in the whole table, so it errs on the
-safe side. The sample only sets the width; every vector is indexed.
+safe side. The sample only sets the width; every vector is indexed. Queries that find fewer than ``k``
+vectors, or the last of them farther than the radius, are held against all vectors in blocks.
 
 Cells are dealt to blocks, and blocks of many vectors to chunks. A query goes to a block once,
 with the cells it visits there, and comes back with the nearest vectors of it; so neither
@@ -36,6 +37,9 @@ SAMPLE = 4000
 BLOCK = 2048
 #: Vectors that a cell holds about.
 CELL = 256
+#: Vectors and queries that stand in a block where all of them are compared, about.
+WHOLE = 32768
+ASKED = 4096
 
 
 def _phi(x: np.ndarray) -> np.ndarray:
@@ -164,6 +168,39 @@ def _nearest(k: int):
     return run
 
 
+def _exact(k: int):
+    """The ``k`` nearest vectors of a whole block for each query."""
+
+    def run(key, queries, rows):
+        if not queries.num_rows or not rows.num_rows:
+            return _NEAR.empty_table()
+        ids = rows.column("vec_id").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        ids, vectors = ids[order], matrix(rows.column("vector"))[order]
+        own, points = queries.column("vec_id").to_numpy(), matrix(queries.column("vector"))
+        norms = (vectors**2).sum(axis=1)
+        single = len(np.unique(ids)) == len(ids)
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for n, point in enumerate(points):
+            at = np.flatnonzero(ids != own[n])
+            if not len(at):
+                continue
+            if single and len(at) > k:  # a screen with room for its rounding; the distances follow
+                rough = norms[at] - 2 * (vectors[at] @ point)
+                bound = np.partition(rough, k - 1)[k - 1] + 1e-9 * (norms.max() + point @ point)
+                at = at[~(rough > bound)]
+            far = np.sqrt(((vectors[at] - point) ** 2).sum(axis=1))
+            best = np.argsort(far, kind="stable")
+            _, first = np.unique(ids[at[best]], return_index=True)  # an id counts once, at its nearest
+            best = best[np.sort(first)[:k]]
+            out.append((np.full(len(best), own[n]), ids[at[best]], far[best]))
+        if not out:
+            return _NEAR.empty_table()
+        return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], schema=_NEAR)
+
+    return run
+
+
 def _radius(rows: np.ndarray, k: int) -> float:
     """Upper quartile of the distances to the k-th nearest other row."""
     if len(rows) < 2:
@@ -210,9 +247,26 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = T
     probes = probes.join(chunks, ["turn", "block"]).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).drop("chunks")
     keys = ["turn", "block", "chunk"]
     found = probes.groupBy(*keys).cogroup(index.alias("i").groupBy(*keys)).applyInArrow(_nearest(k), "query_id long, vec_id long, score double")
-    once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def first(found: DataFrame) -> DataFrame:
+        once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+        return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    near = stored(first(found), "nearest-probed")
+    done = near.groupBy("query_id").agg(F.count("*").alias("n"), F.max("score").alias("far")).where((F.col("n") >= k) & (F.col("far") <= radius))
+    rest = stored(asked.join(done.select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti"), "nearest-rest")
+    left = rest.count()
+    if not left:
+        return near
+    # every part of these queries meets every block of the vectors
+    parts, blocks = math.ceil(left / ASKED), max(1, math.ceil(n / WHOLE))
+    all_of = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+    deal = lambda count: F.pmod(F.xxhash64("vec_id", "vector", F.lit(seed)), F.lit(count).cast("long"))
+    rest = rest.withColumn("part", deal(parts)).withColumn("block", all_of(blocks))
+    whole = base.withColumn("block", deal(blocks)).withColumn("part", all_of(parts))
+    more = rest.groupBy("part", "block").cogroup(whole.alias("i").groupBy("part", "block")).applyInArrow(_exact(k), "query_id long, vec_id long, score double")
+    return first(near.select("query_id", "vec_id", "score").unionByName(more))
 
 
 def _cells_only(hashing: Hashing, blocks: int):

@@ -178,6 +178,20 @@ def test_nearest_neighbours_have_recall_and_exact_scores(spark):
     assert nearest.nearest(vectors.where("vec_id BETWEEN 4999 AND 5002"), vectors, 10).count() == 0
 
 
+def test_queries_far_from_the_others_have_all_neighbours(spark):
+    rng = np.random.default_rng(9)
+    rows = rng.standard_normal((3000, 16))
+    rows[:5] *= np.array([30, 60, 90, 200, 1000])[:, None]
+    for count in (3000, 11, 6):
+        vectors = spark.createDataFrame([(k, [float(x) for x in r]) for k, r in enumerate(rows[:count])], "vec_id long, embedding array<double>")
+        got = nearest.nearest(vectors, vectors.where("vec_id < 5"), 10).collect()
+        for q in range(5):
+            far = np.sqrt(((rows[:count] - rows[q]) ** 2).sum(axis=1))
+            far[q] = np.inf
+            best = np.lexsort((np.arange(count), far))[: min(10, count - 1)]
+            assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == best.tolist()
+
+
 def test_byte_tokens_equal_the_library(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
