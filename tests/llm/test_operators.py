@@ -353,3 +353,12 @@ def test_licence_notices_are_found_and_mentions_are_not(spark):
     assert [got[k]["n_paragraphs"] for k in (104, 105, 106)] == [0, 0, 3]
     for notices in licenses.NOTICES.values():
         assert all(any(s in n.lower() for s in licenses.STEMS) or "licens" in n.lower() for n in notices)
+
+
+def test_licence_notices_in_other_spelling_and_spacing(spark):
+    rows = [(k, "\n".join(_prose(50 * k + j, 12) for j in range(4))) for k in range(40)]
+    rows += [(100, "Released under the MIT Licence."), (101, "This is free and unencumbered software released into the  public\tdomain."),
+             (102, "Permission  is\thereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.")]
+    docs = _docs(spark, rows)
+    got = {r["doc_id"]: [n["family"] for n in r["notices"] if n["confirmed"]] for r in licenses.scan(docs, licenses.train(docs)).collect()}
+    assert {k: v for k, v in got.items() if v} == {100: ["mit"], 101: ["unlicense"], 102: ["mit"]}
