@@ -1,14 +1,20 @@
-"""Licence notices in the paragraphs of documents; DataFrame and SQL functions only.
+"""Licence notices in documents; DataFrame and SQL functions only.
 
-A multinomial logistic regression over words and word pairs names the licence family of a
-paragraph or ``unknown``. It trains on the notices below, whole, with one word missing and beside
-ordinary text, against paragraphs of the corpus and sentences that merely mention licences. The
-bound on the probability of a family is calibrated on unknown paragraphs that trained nothing. A
+A multinomial logistic regression over words and word pairs names the licence family of a piece of
+text or ``unknown``. It trains on the notices below, whole, with one word missing and beside ordinary
+text, against sentences of the corpus and sentences that merely mention licences. The bound on the
+probability of a family, against unknown, is calibrated on unknown pieces that trained nothing. A
 prediction counts once a notice of that family confirms it by the share of its words and pairs.
 
-A paragraph is a line. Texts and paragraphs that hold too few words of every notice to be confirmed are
-done after a search for these. The weights are a literal of the query, so that scoring
-needs no join or shuffle.
+Paragraphs are lines; a notice may run over several. Texts are therefore judged by sentences, which
+go on over line ends and stop at blank lines, and by their pieces: the sentence, or windows of
+``WINDOW`` words that overlap by half if it is longer, and its lines. A sentence can hold notices of
+several families: a less likely one counts if it holds enough of what its notice has apart from
+the likelier one's notice.
+
+A search for pairs of words, one of which every confirmed notice needs, goes first over the whole texts, once; only the
+texts that pass it are cut up. Weights and notices are small tables, joined by words and pairs, so
+that the plan stays small and no row meets all notices.
 """
 
 from __future__ import annotations
@@ -19,7 +25,7 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ringwatch.llm.base import stored, table
@@ -90,13 +96,15 @@ MENTIONS = [
     "The terms of the public inquiry were published under pressure.",
     "The city issued a new license under the general rules, version after version.",
 ]
-STEMS = ["licens", "redistribut", "permission is hereby granted", "public domain"]
 UNKNOWN = "unknown"
-#: Documents whose paragraphs stand for ordinary text, and paragraphs of them, at most.
+#: Documents whose sentences stand for ordinary text, and pieces of them, at most about.
 SAMPLE_DOCS = 400
-SAMPLE_LINES = 2000
-#: Share of a notice's words and pairs that a paragraph has to hold.
+SAMPLE_PIECES = 2000
+#: Share of a notice's words and pairs that a piece has to hold.
 CONFIRM = 0.75
+#: Words of a window in a long sentence; twice as many as the longest notice has.
+WINDOW = 64
+_BREAK = "\uffff"
 
 
 @dataclass(frozen=True)
@@ -109,82 +117,157 @@ class LicenceModel:
     least: float
 
 
-def words_of(line: Column) -> Column:
-    """Words of a paragraph in lower case; numbers, versions too, are ``#``."""
-    plain = F.regexp_replace(F.regexp_replace(F.lower(line), r"[0-9]+([.][0-9]+)*", " # "), "[^a-z#]+", " ")
-    return F.filter(F.split(plain, " "), lambda w: w != "")
+def _plain(notice: str) -> list[str]:
+    """Words of a notice as ``words_of`` gives them."""
+    spelt = re.sub("licenc", "licens", re.sub(r"[0-9]+([.][0-9]+)*", " # ", notice.lower()))
+    return re.sub("[^a-z#]+", " ", spelt).split()
+
+
+def _grams(words: list[str]) -> list[str]:
+    return sorted({*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))})
+
+
+def words_of(text: Column) -> Column:
+    """Words in lower case; numbers, versions too, are ``#``; both spellings of licence are one."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(text), r"[0-9]+([.][0-9]+)*", " # "), "licenc", "licens")
+    return F.filter(F.split(F.regexp_replace(plain, "[^a-z#]+", " "), " "), lambda w: w != "")
 
 
-def grams_of(line: Column) -> Column:
+def grams_of(words: Column) -> Column:
     """Distinct words and pairs of neighbouring words."""
-    words = words_of(line)
     most = F.greatest(F.size(words) - 1, F.lit(0))
     pairs = F.zip_with(F.slice(words, F.lit(1), most), F.slice(words, F.lit(2), most), lambda a, b: F.concat(a, F.lit(" "), b))
     return F.array_distinct(F.concat(words, pairs))
 
 
-def may_confirm(text: Column, confirm: float) -> Column:
-    """True for every text that a notice could confirm, and for few others.
+_COMMON = {"a", "and", "are", "as", "at", "by", "in", "into", "is", "it", "may", "of", "or", "that", "the", "this", "to", "under", "use", "with", "you"}
 
-    A text may lack ``m`` of a notice's words and pairs. With ``k`` distinct words it lacks at least
-    ``k - 1`` pairs as well, so ``k <= (m + 1) / 2``, and of any ``k + 1`` words of the notice it holds one.
+
+def needed_pairs(confirm: float) -> list[tuple[list[str], int]]:
+    """For each notice its pairs of neighbouring words, rare ones first, and how many a text may lack that it confirms.
+
+    A text may lack ``m`` of a notice's words and pairs, so at most ``m`` of its pairs.
     """
-    lower = F.lower(text)
-    anyone: set[str] = set()
-    together: set[tuple[str, ...]] = set()
+    out = []
     for notice in (n for notices in NOTICES.values() for n in notices):
-        words = re.sub("[^a-z#]+", " ", re.sub(r"[0-9]+([.][0-9]+)*", " # ", notice.lower())).split()
-        size = len({*words, *zip(words, words[1:])})
-        most = (math.floor(size * (1 - confirm) + 1e-6) + 1) // 2
-        distinct = sorted({*words} - {"#"}, key=lambda w: (-len(w), w))
-        if len(distinct) <= most:
-            return text.isNotNull()
-        if most == 1:  # without the one word it holds all others
-            anyone.add(distinct[0])
-            together.add(tuple(distinct[1:]))
-        else:
-            anyone.update(distinct[: most + 1])
-    found = F.lit(False)
-    for word in sorted(anyone):
-        found = found | lower.contains(word)
-    for words in sorted(together):
-        if anyone.isdisjoint(words):
-            every = F.lit(True)
-            for word in words:
-                every = every & lower.contains(word)
-            found = found | every
-    return F.coalesce(found, F.lit(False))
-
-
-def train(docs: DataFrame, confirm: float = CONFIRM) -> LicenceModel:
-    """A model from the notices and a bounded sample of the documents' paragraphs.
-
-    Paragraphs that hold most of a notice are not taken as unknown. Without documents the mentions
-    alone stand for unknown text.
+        words = _plain(notice)
+        pairs = {(a, b) for a, b in zip(words, words[1:]) if "#" not in (a, b)}
+        rare = sorted(pairs, key=lambda p: (len(_COMMON & {*p}), -len(p[0] + p[1]), p))
+        out.append(([f"{a} {b}" for a, b in rare], math.floor(len(_grams(words)) * (1 - confirm) + 1e-6)))
+    return out
+
+
+def may_confirm(plain: Column, confirm: float) -> Column:
+    """True for every text, as ``letters_of`` gives it, that a notice could confirm, and for few others.
+
+    Of any ``m + 1`` pairs of a notice the text holds one; most texts hold none of these. The others are
+    asked how many of all pairs they hold.
+    """
+    needed = needed_pairs(confirm)
+    first = dict.fromkeys(p for pairs, most in needed for p in (pairs[: most + 1] if len(pairs) > most else [" "]))
+    one = F.exists(F.array(*[F.lit(p) for p in first]), lambda p: F.contains(plain, p))
+    notices = F.array(*[F.struct(F.array(*[F.lit(p) for p in pairs]).alias("pairs"), F.lit(len(pairs) - most).alias("least")) for pairs, most in needed])
+    enough = F.exists(notices, lambda n: F.size(F.filter(n["pairs"], lambda p: F.contains(plain, p))) >= n["least"])
+    return F.coalesce(one & enough, F.lit(False))
+
+
+def letters_of(text: Column) -> Column:
+    """A text in lower case with single blanks for all that lies between its words; one spelling of licence."""
+    return F.replace(F.regexp_replace(F.lower(text), "[^a-z]+", " "), F.lit("licenc"), F.lit("licens"))
+
+
+def sentences_of(text: Column) -> Column:
+    """Sentences with the blanks and line ends after them; blank lines end a sentence, too."""
+    marked = F.regexp_replace(text, "([.!?][\"')\\]]*\\s+)(?=[\"'(\\[]*\\p{Lu})", f"$1{_BREAK}")
+    return F.split(F.regexp_replace(marked, "(\n[ \t\r\x0b\f]*\n)", f"$1{_BREAK}"), _BREAK)
+
+
+def pieces_of(sentence: Column) -> Column:
+    """Pieces of a sentence, each with its line in it and its words; those without words left out."""
+    words, lines = words_of(sentence), F.split(sentence, "\n")
+    kind = "array<struct<line:int,words:array<string>>>"
+    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - WINDOW // 2 - 1, F.lit(0)), F.lit(WINDOW // 2))
+    windows = F.transform(starts, lambda at: F.struct(F.lit(0).alias("line"), F.slice(words, at + 1, F.lit(WINDOW)).alias("words"))).cast(kind)
+    by_line = F.transform(lines, lambda x, i: F.struct(i.alias("line"), words_of(x).alias("words"))).cast(kind)
+    none = F.array().cast(kind)
+    return F.filter(F.concat(windows, F.when(F.size(lines) > 1, by_line).otherwise(none)), lambda x: F.size(x["words"]) > 0)
+
+
+def _notices(spark: SparkSession) -> DataFrame:
+    """Family, number and words and pairs of each notice."""
+    rows = [(f, k, _grams(_plain(n))) for f in sorted(NOTICES) for k, n in enumerate(NOTICES[f])]
+    return spark.createDataFrame(rows, "family string, notice int, notice_grams array<string>")
+
+
+def _shares(pieces: DataFrame) -> DataFrame:
+    """For each piece (``id``, ``grams``) and notice with common words: the share of the notice's words and pairs held."""
+    notices = _notices(pieces.sparkSession)
+    by_gram = F.broadcast(notices.select("family", "notice", F.size("notice_grams").alias("size"), F.explode("notice_grams").alias("gram")))
+    met = pieces.select("id", F.explode("grams").alias("gram")).join(by_gram, "gram")
+    return met.groupBy("id", "family", "notice").agg((F.count("*") / F.first("size")).alias("share"))
+
+
+def _probabilities(pieces: DataFrame, model: LicenceModel) -> DataFrame:
+    """``id, odds`` of each piece (``id``, ``grams``): for each family of the model, exp(logit)."""
+    n = len(model.families)
+    rows = [(g, w) for g, w in model.weights.items()]
+    weights = F.broadcast(pieces.sparkSession.createDataFrame(rows, "gram string, w array<double>"))
+    met = pieces.select("id", F.explode("grams").alias("gram")).join(weights, "gram", "left")
+    sums = met.groupBy("id").agg(F.array(*[F.coalesce(F.sum(F.col("w")[k]), F.lit(0.0)) + model.intercept[k] for k in range(n)]).alias("z"))
+    return sums.select("id", F.transform("z", lambda z: F.exp(z - F.array_max("z"))).alias("odds"))
+
+
+def _cut(texts: DataFrame, confirm: float | None) -> DataFrame:
+    """Pieces of the texts (``row``, ``text``): ``row, sentence, line, id, grams``; ``confirm`` leaves sentences out that can't be confirmed.
+
+    ``line`` is the number of the piece's line in the text. ``id`` tells pieces apart.
+    """
+    cut = texts.select("row", F.posexplode(sentences_of(F.col("text"))).alias("sentence", "part"))
+    ends = F.length("part") - F.length(F.replace("part", F.lit("\n"), F.lit("")))
+    before = Window.partitionBy("row").orderBy("sentence").rowsBetween(Window.unboundedPreceding, -1)
+    cut = cut.withColumn("first", F.coalesce(F.sum(ends).over(before), F.lit(0)).cast("int")).withColumn("plain", letters_of(F.col("part")))
+    if confirm is not None:
+        cut = cut.where(may_confirm(F.col("plain"), confirm))
+    # blanks before the first word of a sentence don't count for its line
+    lead = F.regexp_extract("part", "^\\s*", 0)
+    skip = F.length(lead) - F.length(F.replace(lead, F.lit("\n"), F.lit("")))
+    cut = cut.withColumn("part", F.regexp_replace("part", "^\\s+", "")).withColumn("first", F.col("first") + skip)
+    cut = cut.select("row", "sentence", "first", F.posexplode(pieces_of(F.col("part"))).alias("piece", "x"))
+    return cut.select("row", "sentence", (F.col("first") + F.col("x.line")).alias("line"),
+                      F.struct("row", "sentence", "piece").alias("id"), grams_of(F.col("x.words")).alias("grams"))
+
+
+def train(docs: DataFrame, confirm: float = CONFIRM, sample_docs: int = SAMPLE_DOCS, sample_pieces: int = SAMPLE_PIECES) -> LicenceModel:
+    """A model from the notices and a bounded sample of the documents' pieces, whole ones.
+
+    Documents are picked by a hash of id and text, pieces by a hash of their words. Pieces that hold most
+    of a notice are not taken as unknown. Without documents the mentions alone stand for unknown text.
     """
     spark = docs.sparkSession
     families = [UNKNOWN, *sorted(NOTICES)]
-    notices = spark.createDataFrame([(families.index(f), n) for f in sorted(NOTICES) for n in NOTICES[f]], "label int, line string")
-    mentions = spark.createDataFrame([(0, m) for m in MENTIONS], "label int, line string")
+    notices = spark.createDataFrame([(families.index(f), _plain(n)) for f in sorted(NOTICES) for n in NOTICES[f]], "label int, words array<string>")
+    mentions = spark.createDataFrame([(0, _plain(m)) for m in MENTIONS], "label int, words array<string>")
     total = docs.count()
-    share = F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1_000_000))
-    some = docs.where(share < max(1, int(1_000_000 * min(1.0, SAMPLE_DOCS / max(total, 1)))))
-    lines = some.select(F.explode(F.split("text", "\n")).alias("line")).where("line <> ''").distinct()
-    lines = lines.orderBy(F.xxhash64("line", F.lit(2))).limit(SAMPLE_LINES)
-    best = F.greatest(*[c for f in NOTICES for c in _shares(F.col("grams"), spark, f)])
-    plain = lines.withColumn("grams", grams_of(F.col("line"))).where(best < confirm).select(F.lit(0).alias("label"), F.substring("line", 1, 400).alias("line"))
-    plain = stored(plain.withColumn("held", F.pmod(F.xxhash64("line", F.lit(3)), F.lit(4)) == 0), "licence-lines")
-
-    words = F.split("line", " ")
-    without = notices.select("label", F.explode(F.sequence(F.lit(1), F.size(words))).alias("k"), words.alias("w"))
-    without = without.select("label", F.array_join(F.concat(F.slice("w", F.lit(1), F.col("k") - 1), F.slice("w", F.col("k") + 1, F.size("w"))), " ").alias("line"))
-    texts = plain.where("NOT held").orderBy(F.xxhash64("line", F.lit(4))).limit(5)
-    more = F.array(*[F.lit(r["line"]) for r in texts.collect()]).cast("array<string>")
-    beside = notices.select("label", F.explode(F.transform(more, lambda m: F.concat_ws(" ", "line", m))).alias("line"))
-    rows = notices.unionByName(without).unionByName(beside).unionByName(mentions).unionByName(plain.where("NOT held").select("label", "line"))
-    rows = rows.select(F.col("label").cast("double").alias("label"), grams_of(F.col("line")).alias("grams"))
-
-    vocabulary = sorted({r[0] for r in notices.unionByName(mentions).select(F.explode(grams_of(F.col("line")))).distinct().collect()})
+    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    place = F.pmod(F.xxhash64("doc_id", "text", F.lit(1)), F.lit(1_000_000_000))
+    some = texts.where(place < max(1, int(1_000_000_000 * min(1.0, sample_docs / max(total, 1)))))
+    pieces = some.select(F.explode(sentences_of(F.col("text"))).alias("part")).select(F.explode(pieces_of(F.col("part"))).alias("x"))
+    pieces = pieces.select(F.col("x.words").alias("words")).distinct().orderBy(F.xxhash64("words", F.lit(2)), "words").limit(sample_pieces)
+    pieces = pieces.select("words", F.struct("words").alias("id"), grams_of(F.col("words")).alias("grams"))
+    like = _shares(pieces).where(F.col("share") >= confirm).select("id").distinct()
+    plain = pieces.join(like, "id", "left_anti").select("id", "words", "grams", F.lit(0).alias("label"))
+    plain = stored(plain.withColumn("held", F.pmod(F.xxhash64("words", F.lit(3)), F.lit(4)) == 0), "licence-pieces")
+
+    without = notices.select("label", F.explode(F.sequence(F.lit(1), F.size("words"))).alias("k"), F.col("words").alias("w"))
+    without = without.select("label", F.concat(F.slice("w", F.lit(1), F.col("k") - 1), F.slice("w", F.col("k") + 1, F.size("w"))).alias("words"))
+    texts = plain.where("NOT held").orderBy(F.xxhash64("words", F.lit(4))).limit(5)
+    beside = [F.array(*[F.lit(w) for w in r["words"]]) for r in texts.select("words").collect()]
+    more = F.array(*beside) if beside else F.array().cast("array<array<string>>")
+    beside = notices.select("label", F.explode(F.transform(more, lambda m: F.concat("words", m))).alias("words"))
+    rows = notices.unionByName(without).unionByName(beside).unionByName(mentions).unionByName(plain.where("NOT held").select("label", "words"))
+    rows = rows.select(F.col("label").cast("double").alias("label"), grams_of(F.col("words")).alias("grams"))
+
+    vocabulary = sorted({g for n in [*(n for f in NOTICES.values() for n in f), *MENTIONS] for g in _grams(_plain(n))})
     counts = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="features", minTF=1.0)
     rows = stored(rows.coalesce(2), "licence-rows")
     sizes = rows.groupBy("label").agg(F.count("*").alias("n"))
@@ -195,70 +278,84 @@ def train(docs: DataFrame, confirm: float = CONFIRM) -> LicenceModel:
     weights = {g: [float(x) for x in matrix[:, k]] for k, g in enumerate(vocabulary)}
     model = LicenceModel(families, weights, [float(x) for x in fitted.interceptVector], 0.0)
 
-    scores = plain.where("held").select(_family(grams_of(F.col("line")), model)["probability"].alias("p"))
-    high = scores.agg(F.percentile("p", 0.999)).first()[0] or 0.0
+    odds = _probabilities(plain.where("held"), model)
+    best = F.array_max(F.slice("odds", 2, len(families) - 1))
+    high = odds.agg(F.percentile(best / (best + F.col("odds")[0]), 0.999)).first()[0] or 0.0
     return LicenceModel(families, weights, model.intercept, max(0.5, high))
 
 
-def _shares(grams: Column, spark: SparkSession, family: str) -> list[Column]:
-    """For each notice of a family, the share of its words and pairs that ``grams`` hold."""
-    out = []
-    for notice in NOTICES[family]:
-        own = grams_of(F.lit(notice))
-        out.append(F.size(F.array_intersect(own, grams)) / F.size(own))
-    return out
-
-
-def _family(grams: Column, model: LicenceModel) -> Column:
-    """The likeliest family other than unknown, with its probability."""
-    n = len(model.families)
-    weights = F.create_map(*[x for g, w in model.weights.items() for x in (F.lit(g), F.array(*[F.lit(v) for v in w]))])
-    start = F.array(*[F.lit(v) for v in model.intercept])
-    add = lambda total, g: F.coalesce(F.zip_with(total, F.element_at(weights, g), lambda a, b: a + b), total)
-    logits = F.aggregate(grams, start, add)
-    odds = F.transform(logits, lambda z: F.exp(z - F.array_max(logits)))
-    total = F.aggregate(odds, F.lit(0.0), lambda a, b: a + b)
-    named = F.slice(odds, 2, n - 1)
-    best = F.array_max(named)
-    names = F.array(*[F.lit(f) for f in model.families[1:]])
-    return F.struct(F.element_at(names, F.array_position(named, best).cast("int")).alias("family"), (best / total).alias("probability"))
+_NOTICES = "array<struct<paragraph:int,family:string,probability:double,share:double,confirmed:boolean>>"
+
+
+def _judged(pieces: DataFrame, model: LicenceModel, confirm: float) -> DataFrame:
+    """``row, found``: an array of the notices of each text, in order of their lines."""
+    odds = _probabilities(pieces, model)
+    names = F.array(*[F.lit(f) for f in model.families])
+    place = F.col("odds")[F.array_position(names, F.col("family")).cast("int") - 1]
+    shares = _shares(pieces).join(F.broadcast(_notices(pieces.sparkSession)), ["family", "notice"])
+    graded = shares.join(odds, "id").withColumn("p", place / (place + F.col("odds")[0]))
+    # of the notices of a family the one held most
+    graded = graded.groupBy("id", "family").agg(F.max_by(F.struct("share", "p", "notice_grams"), F.struct("share", F.size("notice_grams"))).alias("n"))
+    item = F.struct((-F.col("n.p")).alias("order"), "family", F.col("n.share").alias("share"), F.col("n.notice_grams").alias("own"))
+    by_piece = graded.groupBy("id").agg(F.array_sort(F.collect_list(item)).alias("all"))
+    by_piece = by_piece.join(pieces.select("id", "line", "grams"), "id")
+
+    def sure(x: Column) -> Column:
+        return (x["share"] >= confirm) & (-x["order"] >= model.least)
+
+    def apart(x: Column, y: Column) -> Column:  # what x's notice has and y's has not, is it there?
+        rest = F.array_except(x["own"], y["own"])
+        return F.size(F.array_intersect(rest, F.col("grams"))) >= confirm * F.size(rest)
+
+    confirmed = F.filter("all", sure)
+    stands = F.filter(confirmed, lambda x: ~F.exists(
+        confirmed, lambda y: ((y["order"] < x["order"]) | ((y["order"] == x["order"]) & (y["family"] < x["family"]))) & ~apart(x, y)))
+    told = F.when(F.size(stands) > 0, F.transform(stands, lambda x: F.struct(
+        x["family"].alias("family"), (-x["order"]).alias("probability"), x["share"].alias("share"), F.lit(True).alias("confirmed"))))
+    likeliest = F.col("all")[0]
+    told = F.coalesce(told, F.array(F.struct(
+        F.when(-likeliest["order"] >= model.least, likeliest["family"]).otherwise(UNKNOWN).alias("family"),
+        (-likeliest["order"]).alias("probability"), likeliest["share"].alias("share"), F.lit(False).alias("confirmed"))))
+    found = by_piece.select("id", "line", F.explode(told).alias("n")).select(
+        F.col("id.row").alias("row"), F.col("id.sentence").alias("sentence"), "line", "n.*")
+    # pieces of one sentence may show a notice again: the one held most, of these the one that begins last
+    once = found.groupBy("row", "sentence", "family", "confirmed").agg(
+        F.max_by(F.struct("line", "probability", "share"), F.struct("share", "line", "probability")).alias("n"))
+    any_sure = F.max("confirmed").over(_sentences())
+    once = once.withColumn("any", any_sure).where("confirmed OR NOT any")
+    best = F.row_number().over(_sentences().orderBy(F.desc("n.probability"), "family"))
+    once = once.withColumn("turn", best).where("confirmed OR turn = 1")
+    told = F.struct(F.col("n.line").alias("paragraph"), "family", F.col("n.probability").alias("probability"), F.col("n.share").alias("share"), "confirmed")
+    return once.groupBy("row").agg(F.array_sort(F.collect_list(told)).cast(_NOTICES).alias("found"))
+
+
+def _sentences():
+    return Window.partitionBy("row", "sentence")
 
 
 def scan(docs: DataFrame, model: LicenceModel, confirm: float = CONFIRM) -> DataFrame:
     """``doc_id, n_paragraphs, notices`` for each row of ``docs``.
 
-    ``notices`` is an array of ``struct<paragraph, family, probability, share, confirmed>`` for the
-    paragraphs that could be confirmed, numbered from 0; ``family`` is ``unknown`` below the calibrated bound, and
-    ``confirmed`` says whether a notice of the family bears the prediction out. Null and empty texts
-    have no paragraphs. Rows that repeat others all come back. Further columns are ignored.
+    ``n_paragraphs`` counts lines. ``notices`` is an array of ``struct<paragraph, family, probability,
+    share, confirmed>``, where ``paragraph`` is the number, from 0, of the line where the notice's sentence
+    or line begins: every confirmed family of a sentence or, for sentences that could be confirmed but are
+    not, the likeliest family, ``unknown`` below the calibrated bound. ``probability`` is that of the
+    family against unknown. Null and empty texts have no paragraphs. Rows that repeat others, and rows
+    without a doc_id, all come back. Further columns are ignored. Texts are scanned once; rows that pass
+    the search are numbered, so that equal rows don't meet.
     """
-    spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lines = F.split(text, "\n")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(text == "", 0).otherwise(F.size(lines)).alias("n_paragraphs"),
-                       F.when(may_confirm(text, confirm), F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("paragraph"), x.alias("line"))),
-                                                       lambda x: may_confirm(x["line"], confirm))).alias("found"))
-    graded = rows.where("found IS NOT NULL").select(
-        "doc_id", "n_paragraphs", F.transform("found", lambda x: F.struct(x["paragraph"].alias("paragraph"), grams_of(x["line"]).alias("grams"))).alias("found"))
-    graded = graded.withColumn("found", F.transform("found", lambda x: F.struct(
-        x["paragraph"].alias("paragraph"), x["grams"].alias("grams"), _family(x["grams"], model).alias("best"))))
-
-    def share(x: Column) -> Column:
-        out = F.lit(0.0)
-        for family in NOTICES:
-            out = F.when(x["best"]["family"] == family, F.greatest(F.lit(0.0), *_shares(x["grams"], spark, family))).otherwise(out)
-        return out
-
-    graded = graded.withColumn("found", F.transform("found", lambda x: F.struct(
-        x["paragraph"].alias("paragraph"), F.when(x["best"]["probability"] >= model.least, x["best"]["family"]).otherwise(UNKNOWN).alias("family"),
-        x["best"]["probability"].alias("probability"), share(x).alias("share"))))
-    kind = "array<struct<paragraph:int,family:string,probability:double,share:double,confirmed:boolean>>"
-    notices = F.transform("found", lambda x: F.struct(
-        x["paragraph"], x["family"], x["probability"], x["share"],
-        ((x["family"] != UNKNOWN) & (x["share"] >= confirm)).alias("confirmed"))).cast(kind)
-    none = F.array().cast(kind)
-    return graded.select("doc_id", "n_paragraphs", notices.alias("notices")).unionByName(
-        rows.where("found IS NULL").select("doc_id", "n_paragraphs", none.alias("notices")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), letters_of(text).alias("plain"))
+    paragraphs = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.when(F.col("text") == "", 0).otherwise(paragraphs).alias("n_paragraphs"),
+                       F.when(may_confirm(F.col("plain"), confirm), F.col("text")).alias("text"))
+    rows = stored(rows, "licence-texts")
+    pieces = stored(_cut(rows.where("text IS NOT NULL").select("row", "text"), confirm), "licence-cut")
+    found = _judged(pieces, model, confirm)
+    none = F.array().cast(_NOTICES)
+    with_text = rows.where("text IS NOT NULL").select("row", "doc_id", "n_paragraphs").join(found, "row", "left")
+    return with_text.select("doc_id", "n_paragraphs", F.coalesce("found", none).alias("notices")).unionByName(
+        rows.where("text IS NULL").select("doc_id", "n_paragraphs", none.alias("notices")))
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
