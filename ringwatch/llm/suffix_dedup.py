@@ -15,8 +15,13 @@ a seed holds all passages around it: ``length - seed`` bytes before it, ``length
 
 * Strings are equal to others in most copies; those are repeated as a whole and sorted once.
 * Strings of seeds that occur but once, as most do, are not even cut out.
-* Seeds with more than ``most`` different strings aren't sorted in one task. Their passages
-  are counted by two 64-bit hashes each, a plain grouping with partial sums.
+* Seeds with more than ``most`` different strings aren't sorted in one task. Their columns are
+  halved and the strings dealt anew by the bytes that all passages of a half have in common, again
+  and again where groups stay too large; a single column's passages are compared as a whole.
+
+Seeds and strings are named by 64-bit hashes. Equal names of different seeds do no harm, since the
+sort compares bytes; of strings, whole ones that are told equal are taken to be so (a chance of
+about n**2 / 2**65 for n strings).
 """
 
 from __future__ import annotations
@@ -55,22 +60,6 @@ def _runs(raw: np.ndarray, width: int, base: int) -> np.ndarray:
     return mix64(value)
 
 
-def _window_hash(rows: np.ndarray, width: int, base: int) -> np.ndarray:
-    """Hash of the ``width`` columns from each column of each row."""
-    power = np.uint64(pow(base, width, 2**64))
-    count = rows.shape[1] - width + 1
-    out = np.zeros((len(rows), count), dtype=np.uint64)
-    value = np.zeros(len(rows), dtype=np.uint64)
-    symbols = rows.astype(np.uint64) + np.uint64(1)
-    for k in range(rows.shape[1]):
-        value = value * np.uint64(base) + symbols[:, k]
-        if k >= width:
-            value = value - symbols[:, k - width] * power
-        if k >= width - 1:
-            out[:, k - width + 1] = value
-    return mix64(out)
-
-
 def _least(keys: np.ndarray, width: int) -> np.ndarray:
     """Minimum of every ``width`` keys in a row."""
     n = len(keys) - width + 1
@@ -253,37 +242,52 @@ def _sorted(length: int, seed: int):
         rows = rows.combine_chunks()
         if not rows.num_rows:
             return _FOUND.empty_table()
-        data = b"".join(rows.column("bytes").to_pylist())
-        found = repeated_columns(np.frombuffer(data, dtype=np.uint8).reshape(rows.num_rows, -1), length)
-        found &= rows.column("single").to_numpy(zero_copy_only=False)[:, None]
-        row, begin, end = _spans(found, rows.column("place").to_numpy(), before, length)
-        at = pa.array(row)
-        return pa.Table.from_arrays([rows.column("doc").take(at), rows.column("text_key").take(at), pa.array(begin), pa.array(end)], schema=_FOUND)
+        out = []
+        lo, hi = rows.column("lo").to_numpy(), rows.column("hi").to_numpy()
+        for first, last in sorted({*zip(lo.tolist(), hi.tolist())}):
+            part = rows.filter(pa.array((lo == first) & (hi == last)))
+            data = b"".join(part.column("bytes").to_pylist())
+            strings = np.frombuffer(data, dtype=np.uint8).reshape(part.num_rows, -1)[:, first : last + length]
+            found = repeated_columns(strings, length)
+            found &= part.column("single").to_numpy(zero_copy_only=False)[:, None]
+            row, begin, end = _spans(found, part.column("place").to_numpy() + first, before, length)
+            at = pa.array(row)
+            out.append(pa.Table.from_arrays([part.column("doc").take(at), part.column("text_key").take(at), pa.array(begin), pa.array(end)], schema=_FOUND))
+        return pa.concat_tables(out)
 
     return run
 
 
-def _hashed(length: int, seed: int):
-    """All passages of the strings of hot seeds: two hashes and the column."""
-    before = length - seed
+def _halves(cut: DataFrame, length: int) -> DataFrame:
+    """Rows for either half of the columns from ``lo`` to ``hi``, with a new ``key``.
 
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                data = b"".join(part.column("bytes").to_pylist())
-                rows = np.frombuffer(data, dtype=np.uint8).reshape(part.num_rows, -1)
-                ends = np.zeros((len(rows), rows.shape[1] + 1), dtype=np.int32)
-                np.cumsum(rows == _END, axis=1, out=ends[:, 1:])
-                row, column = np.nonzero(ends[:, length:] == ends[:, :-length])
-                h1, h2 = (_window_hash(rows, length, b)[row, column].view(np.int64) for b in (_TURN, _OTHER))
-                pick = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h1), pa.array(h2), part.column("doc").take(pick), part.column("text_key").take(pick),
-                     pa.array(part.column("place").to_numpy()[row] - before + column), part.column("single").take(pick)],
-                    names=["h1", "h2", "doc", "text_key", "begin", "single"])
+    All passages that start in these columns hold the core from ``hi`` to ``lo + length``; equal ones have equal
+    cores. Rows whose core leaves the document hold no passage and go.
+    """
+    middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+    halves = F.explode(F.array(F.struct(F.col("lo").alias("lo"), middle.alias("hi")), F.struct((middle + 1).alias("lo"), F.col("hi").alias("hi"))))
+    rows = cut.drop("key").withColumn("half", halves).withColumns({"lo": F.col("half.lo"), "hi": F.col("half.hi")}).drop("half")
+    core = F.substring(F.col("bytes"), F.col("hi") + 1, F.col("lo") + length - F.col("hi"))
+    rows = rows.withColumn("core", core).where(~F.contains("core", F.lit(bytes([_END]))))
+    return rows.withColumn("key", F.xxhash64("core", "lo", "hi")).drop("core")
 
-    return run
+
+def _split(hot: DataFrame, length: int, most: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Strings of hot seeds in groups of at most ``most`` different ones, and single columns of larger groups.
+
+    Each round halves the columns of the strings whose groups are too large and deals them anew by what
+    all passages of a half have in common, until a column is left and its passage known as a whole.
+    """
+    groups, single = [], []
+    while hot is not None:
+        rows = stored(_halves(hot, length), "suffix-halves")
+        sizes = stored(rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "suffix-sizes")
+        groups.append(rows.join(sizes.where(F.col("m") <= most).select("key"), "key"))
+        large = rows.join(sizes.where(F.col("m") > most).select("key"), "key")
+        single.append(large.where("lo = hi"))
+        hot = large.where("lo < hi")
+        hot = hot if hot.limit(1).count() else None
+    return groups, single
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, batch: int = BATCH, most: int = MOST) -> DataFrame:
@@ -310,19 +314,23 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, batc
     cut = stored(cut, "suffix-cut")
 
     hot = shared.where(F.col("m") > most).select("seed")
-    groups = F.ceil(size / F.lit(batch))
-    mild = cut.join(hot, "seed", "left_anti").withColumn("task", F.pmod(F.xxhash64("seed"), groups))
-    spans = mild.groupBy("task").applyInArrow(_sorted(length, seed), "doc long, text_key long, begin long, end long")
+    whole = {"key": F.col("seed"), "lo": F.lit(0), "hi": F.lit(before)}
+    sorts = cut.join(hot, "seed", "left_anti").withColumns(whole).drop("seed")
+    spans = None
     if hot.limit(1).count():
-        windows = cut.join(hot, "seed").mapInArrow(
-            _hashed(length, seed), "h1 long, h2 long, doc long, text_key long, begin long, single boolean")
-        windows = stored(windows, "suffix-windows")
-        # a window around two hot seeds comes twice; other windows of equal hashes stand elsewhere
-        often = windows.groupBy("h1", "h2").agg(
-            F.min(F.struct("doc", "text_key", "begin")).alias("lo"), F.max(F.struct("doc", "text_key", "begin")).alias("hi")).where("lo <> hi")
-        more = windows.where("single").join(often.select("h1", "h2"), ["h1", "h2"]).select(
-            "doc", "text_key", "begin", (F.col("begin") + length).alias("end"))
-        spans = spans.unionByName(more)
+        groups, single = _split(cut.join(hot, "seed").withColumns(whole).drop("seed"), length, most)
+        for part in groups:
+            sorts = sorts.unionByName(part)
+        for part in single:  # one passage a row, compared as a whole
+            part = part.withColumn("core", F.substring(F.col("bytes"), F.col("lo") + 1, F.lit(length)))
+            often = part.groupBy("core", "lo").agg(F.count("*").alias("m")).where("m > 1").select("core", "lo")
+            begin = F.col("place") - before + F.col("lo")
+            found = part.where("single").join(often, ["core", "lo"]).select("doc", "text_key", begin.alias("begin"), (begin + length).alias("end"))
+            spans = found if spans is None else spans.unionByName(found)
+    tasks = F.ceil(size / F.lit(batch))
+    sorts = sorts.withColumn("task", F.pmod(F.xxhash64("key", "lo"), tasks))
+    found = sorts.groupBy("task").applyInArrow(_sorted(length, seed), "doc long, text_key long, begin long, end long")
+    spans = found if spans is None else spans.unionByName(found)
 
     bounds = copies.select(
         "doc", "text_key", F.greatest(F.col("place") - before, F.lit(0)).alias("begin"), (F.col("place") + length).alias("end"))
@@ -431,5 +439,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, batc
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of every document without the bytes of repeated 400-byte passages."""
-    return remove_repeats(table(spark, sf_dir, "documents"), 400, with_bytes=False).drop("kept")
+    """What is left of every document without the bytes of repeated 400-byte passages.
+
+    ``text`` is what remains; bytes of a character that a passage cuts stand as the replacement character.
+    """
+    left = remove_repeats(table(spark, sf_dir, "documents"), 400)
+    return left.withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")

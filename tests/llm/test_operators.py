@@ -121,6 +121,22 @@ def test_repeated_passages_equal_brute_force(spark, most):
     assert suffix_dedup.remove_repeats(_docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("most, piece", [(1, None), (7, 1 << 13), (40, None)])
+def test_passages_around_one_frequent_seed(spark, monkeypatch, most, piece):
+    if piece:
+        monkeypatch.setattr(suffix_dedup, "_PIECE", piece)
+    rng = random.Random(6)
+    core, left, right = _prose(21, 14), [_prose(k, 60) for k in range(22, 26)], [_prose(k, 60) for k in range(26, 30)]
+    rows = []
+    for k in range(90):  # one passage that all have, with more or less of a few surroundings
+        before, after = rng.choice(left)[-rng.randrange(330):], rng.choice(right)[: rng.randrange(330)]
+        rows.append((k, f"{_prose(200 + k, 60)} {before}{core}{after} {_prose(400 + k, 60)}"))
+    rows += [(200, _prose(31, 9000) + rows[3][1] + _prose(32, 3000)), (None, rows[5][1]), (201, _prose(31, 9000)), (None, None)]
+    want = _repeats([(t or "").encode() for _, t in rows], 400)
+    got = suffix_dedup.remove_repeats(_docs(spark, rows), 400, most=most).collect()
+    assert sorted(((r["doc_id"], *tuple(r)[1:5], bytes(r["kept"])) for r in got), key=repr) == sorted(((k, *w) for (k, _), w in zip(rows, want)), key=repr)
+
+
 def test_sorted_columns_mark_recurring_strings():
     rng = np.random.default_rng(2)
     rows = rng.integers(97, 99, (40, 14), dtype=np.uint8)
