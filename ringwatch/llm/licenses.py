@@ -104,7 +104,7 @@ SAMPLE_PIECES = 2000
 CONFIRM = 0.75
 #: Words of a window in a long sentence; twice as many as the longest notice has.
 WINDOW = 64
-_BREAK = "\uffff"
+_BREAK, _LINE = "\uffff", "\ufffe"
 
 
 @dataclass(frozen=True)
@@ -143,30 +143,44 @@ def grams_of(words: Column) -> Column:
 _COMMON = {"a", "and", "are", "as", "at", "by", "in", "into", "is", "it", "may", "of", "or", "that", "the", "this", "to", "under", "use", "with", "you"}
 
 
-def needed_pairs(confirm: float) -> list[tuple[list[str], int]]:
-    """For each notice its pairs of neighbouring words, rare ones first, and how many a text may lack that it confirms.
+def needed_words(confirm: float) -> list[str]:
+    """Strings of which every text, as ``letters_of`` gives it, that a notice could confirm holds one.
 
-    A text may lack ``m`` of a notice's words and pairs, so at most ``m`` of its pairs.
+    A text may lack ``m`` of a notice's words and pairs, so it holds one of any ``m + 1``, and of strings that
+    stand in so many of them. Most texts hold none of these few strings.
     """
+    found = ["licens"]
+    for notice in (n for notices in NOTICES.values() for n in notices):
+        grams = [g for g in _grams(_plain(notice)) if "#" not in g]
+        most = math.floor(len(_grams(_plain(notice))) * (1 - confirm) + 1e-6)
+        for more in sorted(grams, key=lambda g: (len(g) < 5, len(_COMMON & {*g.split()}), -sum(g in h for h in grams), -len(g), g)):
+            if sum(any(f in g for f in found) for g in grams) > most:
+                break
+            if not any(f in more for f in found):
+                found.append(more)
+        else:
+            if sum(any(f in g for f in found) for g in grams) <= most:
+                return [""]
+    return found
+
+
+def needed_pairs(confirm: float) -> list[tuple[list[str], int]]:
+    """For each notice its pairs of neighbouring words, and how many of them a text that it confirms holds at least."""
     out = []
     for notice in (n for notices in NOTICES.values() for n in notices):
         words = _plain(notice)
-        pairs = {(a, b) for a, b in zip(words, words[1:]) if "#" not in (a, b)}
-        rare = sorted(pairs, key=lambda p: (len(_COMMON & {*p}), -len(p[0] + p[1]), p))
-        out.append(([f"{a} {b}" for a, b in rare], math.floor(len(_grams(words)) * (1 - confirm) + 1e-6)))
+        pairs = sorted({f"{a} {b}" for a, b in zip(words, words[1:]) if "#" not in (a, b)})
+        out.append((pairs, len(pairs) - math.floor(len(_grams(words)) * (1 - confirm) + 1e-6)))
     return out
 
 
 def may_confirm(plain: Column, confirm: float) -> Column:
     """True for every text, as ``letters_of`` gives it, that a notice could confirm, and for few others.
 
-    Of any ``m + 1`` pairs of a notice the text holds one; most texts hold none of these. The others are
-    asked how many of all pairs they hold.
+    Most texts hold none of the needed words. The others are asked how many pairs of each notice they hold.
     """
-    needed = needed_pairs(confirm)
-    first = dict.fromkeys(p for pairs, most in needed for p in (pairs[: most + 1] if len(pairs) > most else [" "]))
-    one = F.exists(F.array(*[F.lit(p) for p in first]), lambda p: F.contains(plain, p))
-    notices = F.array(*[F.struct(F.array(*[F.lit(p) for p in pairs]).alias("pairs"), F.lit(len(pairs) - most).alias("least")) for pairs, most in needed])
+    one = F.exists(F.array(*[F.lit(w) for w in needed_words(confirm)]), lambda w: F.contains(plain, w))
+    notices = F.array(*[F.struct(F.array(*[F.lit(p) for p in pairs]).alias("pairs"), F.lit(least).alias("least")) for pairs, least in needed_pairs(confirm)])
     enough = F.exists(notices, lambda n: F.size(F.filter(n["pairs"], lambda p: F.contains(plain, p))) >= n["least"])
     return F.coalesce(one & enough, F.lit(False))
 
@@ -177,9 +191,14 @@ def letters_of(text: Column) -> Column:
 
 
 def sentences_of(text: Column) -> Column:
-    """Sentences with the blanks and line ends after them; blank lines end a sentence, too."""
-    marked = F.regexp_replace(text, "([.!?][\"')\\]]*\\s+)(?=[\"'(\\[]*\\p{Lu})", f"$1{_BREAK}")
-    return F.split(F.regexp_replace(marked, "(\n[ \t\r\x0b\f]*\n)", f"$1{_BREAK}"), _BREAK)
+    """Sentences (``line``, ``part``) with the number of the line where they begin; blank lines end one, too."""
+    clean = F.replace(F.replace(text, F.lit(_BREAK), F.lit(" ")), F.lit(_LINE), F.lit(" "))
+    marked = F.regexp_replace(clean, "([.!?][\"')\\]]*\\s+)(?=[\"'(\\[]*\\p{Lu})", f"$1{_BREAK}")
+    marked = F.regexp_replace(marked, "(\n[ \t\r\x0b\f]*\n\\s*)", f"$1{_BREAK}")
+    lines = F.transform(F.split(marked, "\n"), lambda x, i: F.replace(x, F.lit(_BREAK), F.concat(F.lit(_BREAK), i.cast("string"), F.lit(_LINE))))
+    parts = F.split(F.concat(F.lit(f"0{_LINE}"), F.array_join(lines, "\n")), _BREAK)
+    return F.transform(parts, lambda x: F.struct(
+        F.substring_index(x, _LINE, 1).cast("int").alias("line"), F.substring_index(x, _LINE, -1).alias("part")))
 
 
 def pieces_of(sentence: Column) -> Column:
@@ -222,10 +241,8 @@ def _cut(texts: DataFrame, confirm: float | None) -> DataFrame:
 
     ``line`` is the number of the piece's line in the text. ``id`` tells pieces apart.
     """
-    cut = texts.select("row", F.posexplode(sentences_of(F.col("text"))).alias("sentence", "part"))
-    ends = F.length("part") - F.length(F.replace("part", F.lit("\n"), F.lit("")))
-    before = Window.partitionBy("row").orderBy("sentence").rowsBetween(Window.unboundedPreceding, -1)
-    cut = cut.withColumn("first", F.coalesce(F.sum(ends).over(before), F.lit(0)).cast("int")).withColumn("plain", letters_of(F.col("part")))
+    cut = texts.select("row", F.posexplode(sentences_of(F.col("text"))).alias("sentence", "x")).select(
+        "row", "sentence", F.col("x.line").alias("first"), F.col("x.part").alias("part"), letters_of(F.col("x.part")).alias("plain"))
     if confirm is not None:
         cut = cut.where(may_confirm(F.col("plain"), confirm))
     # blanks before the first word of a sentence don't count for its line
@@ -251,7 +268,7 @@ def train(docs: DataFrame, confirm: float = CONFIRM, sample_docs: int = SAMPLE_D
     texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     place = F.pmod(F.xxhash64("doc_id", "text", F.lit(1)), F.lit(1_000_000_000))
     some = texts.where(place < max(1, int(1_000_000_000 * min(1.0, sample_docs / max(total, 1)))))
-    pieces = some.select(F.explode(sentences_of(F.col("text"))).alias("part")).select(F.explode(pieces_of(F.col("part"))).alias("x"))
+    pieces = some.select(F.explode(sentences_of(F.col("text"))).alias("x")).select(F.explode(pieces_of(F.col("x.part"))).alias("x"))
     pieces = pieces.select(F.col("x.words").alias("words")).distinct().orderBy(F.xxhash64("words", F.lit(2)), "words").limit(sample_pieces)
     pieces = pieces.select("words", F.struct("words").alias("id"), grams_of(F.col("words")).alias("grams"))
     like = _shares(pieces).where(F.col("share") >= confirm).select("id").distinct()
@@ -308,24 +325,22 @@ def _judged(pieces: DataFrame, model: LicenceModel, confirm: float) -> DataFrame
         return F.size(F.array_intersect(rest, F.col("grams"))) >= confirm * F.size(rest)
 
     confirmed = F.filter("all", sure)
-    stands = F.filter(confirmed, lambda x: ~F.exists(
-        confirmed, lambda y: ((y["order"] < x["order"]) | ((y["order"] == x["order"]) & (y["family"] < x["family"]))) & ~apart(x, y)))
-    told = F.when(F.size(stands) > 0, F.transform(stands, lambda x: F.struct(
-        x["family"].alias("family"), (-x["order"]).alias("probability"), x["share"].alias("share"), F.lit(True).alias("confirmed"))))
-    likeliest = F.col("all")[0]
-    told = F.coalesce(told, F.array(F.struct(
-        F.when(-likeliest["order"] >= model.least, likeliest["family"]).otherwise(UNKNOWN).alias("family"),
-        (-likeliest["order"]).alias("probability"), likeliest["share"].alias("share"), F.lit(False).alias("confirmed"))))
+    explained = lambda x: F.exists(
+        confirmed, lambda y: ((y["order"] < x["order"]) | ((y["order"] == x["order"]) & (y["family"] < x["family"]))) & ~apart(x, y))
+    told = F.transform("all", lambda x: F.struct(
+        x["family"].alias("family"), (-x["order"]).alias("probability"), x["share"].alias("share"), (sure(x) & ~explained(x)).alias("confirmed")))
     found = by_piece.select("id", "line", F.explode(told).alias("n")).select(
         F.col("id.row").alias("row"), F.col("id.sentence").alias("sentence"), "line", "n.*")
-    # pieces of one sentence may show a notice again: the one held most, of these the one that begins last
-    once = found.groupBy("row", "sentence", "family", "confirmed").agg(
-        F.max_by(F.struct("line", "probability", "share"), F.struct("share", "line", "probability")).alias("n"))
-    any_sure = F.max("confirmed").over(_sentences())
-    once = once.withColumn("any", any_sure).where("confirmed OR NOT any")
-    best = F.row_number().over(_sentences().orderBy(F.desc("n.probability"), "family"))
-    once = once.withColumn("turn", best).where("confirmed OR turn = 1")
-    told = F.struct(F.col("n.line").alias("paragraph"), "family", F.col("n.probability").alias("probability"), F.col("n.share").alias("share"), "confirmed")
+    # a window can end within a notice and show a part that resembles another one: of a family's pieces, the
+    # one that holds most decides; of equal ones an unconfirmed one, then the one that begins last
+    once = found.groupBy("row", "sentence", "family").agg(F.max_by(
+        F.struct("line", "probability", "share", "confirmed"), F.struct("share", ~F.col("confirmed"), "line", "probability")).alias("n"))
+    once = once.withColumn("any", F.max("n.confirmed").over(_sentences()))
+    once = once.withColumn("turn", F.row_number().over(_sentences().orderBy(F.desc("n.probability"), "family")))
+    once = once.where("n.confirmed OR (NOT any AND turn = 1)")
+    name = F.when(F.col("n.probability") >= model.least, F.col("family")).otherwise(UNKNOWN)
+    told = F.struct(F.col("n.line").alias("paragraph"), name.alias("family"), F.col("n.probability").alias("probability"),
+                    F.col("n.share").alias("share"), F.col("n.confirmed").alias("confirmed"))
     return once.groupBy("row").agg(F.array_sort(F.collect_list(told)).cast(_NOTICES).alias("found"))
 
 
