@@ -9,6 +9,7 @@ from ringwatch import catalog
 from ringwatch.catalog import ModelConfig
 from ringwatch.functions import scoring
 from ringwatch.operators import profiles
+from ringwatch.operators.kernel import KernelTable, kernel_tables
 from ringwatch.operators.quantiles import exact_percentiles
 from ringwatch.scratch import materialize
 
@@ -16,6 +17,8 @@ MIN_SCORES = 20
 MAD_SCALE = 1.4826
 NEWTON_STEPS = 60
 TOLERANCE = 1e-13
+#: Keys (soil strata) whose iteration the driver holds.
+MOST_KEYS = 1000
 
 
 def _median_and_deviation(cells: DataFrame, keys: list[str], weight: Column) -> DataFrame:
@@ -124,87 +127,81 @@ def _finite(score: str) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
 
 
+def _levels(config: ModelConfig) -> dict[str, float]:
+    levels = {"low": config.cdf_low, "medium": config.cdf_medium, "high": config.cdf_high}
+    if not 0.0 < levels["low"] < levels["medium"] < levels["high"] < 1.0:
+        raise ValueError("levels must rise within (0, 1)")
+    return levels
+
+
+def _newton(s: dict, table: KernelTable, targets: list[float]) -> None:
+    """Advance the thresholds of one key by bracketed Newton steps until they settle or leave the table."""
+    for i, target in enumerate(targets):
+        while not s["done"][i] and s["steps"][i] < NEWTON_STEPS:
+            x = s["x"][i]
+            got = table.at(x)
+            if got is None:
+                break
+            s["steps"][i] += 1
+            gap = (got[0] - s["base"]) / s["mass"] - target
+            slope = got[1] / s["mass"]
+            if gap > 0:
+                s["hi"][i] = x
+            else:
+                s["lo"][i] = x
+            step = x - gap / slope if slope > 0 else float("nan")
+            inside = s["lo"][i] < step < s["hi"][i]
+            new = step if inside else (s["lo"][i] + s["hi"][i]) / 2
+            s["done"][i] = abs(new - x) <= TOLERANCE or gap == 0.0
+            s["x"][i] = x if gap == 0.0 else new
+
+
 def kde_thresholds(scores: DataFrame, keys: list[str], config: ModelConfig = ModelConfig(), score: str = "risk_score") -> DataFrame:
     """Scores at which the kernel-density distribution on [0, 1] reaches each level.
 
-    All keys and levels advance together by a bracketed Newton iteration. Every step is
-    one distributed aggregate of the kernel sums at the current candidates; only the
-    candidates (three numbers per key) are held in between. ``status`` is 'ok', or why a
-    key has no thresholds.
+    One pass makes a bounded table of kernel bins per key around 0, 1 and the empirical quantiles,
+    which lie close to the thresholds; a bracketed Newton iteration then asks only the tables. A
+    further pass follows if a candidate leaves its table. ``status`` is 'ok', or why a key has no
+    thresholds. Tables of at most ``MOST_KEYS`` keys are held at a time.
     """
-    levels = {"low": config.cdf_low, "medium": config.cdf_medium, "high": config.cdf_high}
-    if not 0.0 < levels["low"] < levels["medium"] < levels["high"] < 1.0:
-        raise ValueError("levels must rise within (0, 1)")
+    levels = _levels(config)
+    targets = list(levels.values())
     spark = scores.sparkSession
     finite = scores.filter(_finite(score)).select(*keys, F.col(score).cast("double").alias("_s"))
     finite = materialize(finite)
     widths = silverman_bandwidth(finite, keys, "_s", {f"start_{k}": p for k, p in levels.items()})
+    key_ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in scores.select(*keys).schema)
 
-    def kernel_sums(candidates: DataFrame, n: int) -> list:
-        # the candidates are one row per key
-        z = finite.join(F.broadcast(candidates), keys).withColumns(
-            {f"z{i}": (F.col(f"x{i}") - F.col("_s")) / F.col("h") for i in range(n)}
-        )
-        phi = scoring.with_normal_cdf(z, {f"phi{i}": f"z{i}" for i in range(n)})
-        sums = []
-        for i in range(n):
-            density = F.exp(F.col(f"z{i}") * F.col(f"z{i}") * F.lit(-0.5)) * F.lit(0.3989422804014327) / F.col("h")
-            sums += [F.avg(f"phi{i}").alias(f"c{i}"), F.avg(density).alias(f"d{i}")]
-        return phi.groupBy(*keys).agg(*sums).collect()
-
-    # one row per key (six strata), so the iteration state lives on the driver
-    width_rows = widths.collect()
-    state = {}
-    failed = []
-    for r in width_rows:
+    state, rows = {}, []
+    found = widths.limit(MOST_KEYS + 1).collect()
+    if len(found) > MOST_KEYS:
+        raise ValueError(f"more than {MOST_KEYS} keys to find thresholds for")
+    for r in found:
         key = tuple(r[k] for k in keys)
         if r["n"] < MIN_SCORES:
-            failed.append((key, "too few scores"))
+            rows.append((*key, None, None, None, None, None, "too few scores"))
         elif r["bandwidth"] is None:
-            failed.append((key, "no dispersion"))
+            rows.append((*key, None, None, None, None, None, "no dispersion"))
         else:
-            # the empirical quantiles lie close to the smoothed ones
             start = [min(max(r[f"start_{k}"], 0.0), 1.0) for k in levels]
-            state[key] = {"h": r["bandwidth"], "n": r["n"], "x": start}
-    schema = scores.select(*keys).schema
-    key_ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
-    if state:
-        ends = spark.createDataFrame([(*k, s["h"], 0.0, 1.0) for k, s in state.items()], f"{key_ddl}, h double, x0 double, x1 double")
-        for r in kernel_sums(ends, 2):
-            s = state[tuple(r[k] for k in keys)]
-            s["base"], s["mass"] = r["c0"], r["c1"] - r["c0"]
-        for key in [k for k, s in state.items() if not s["mass"] > 1e-12]:
-            failed.append((key, "no mass in [0, 1]"))
-            del state[key]
-    for s in state.values():
-        s["lo"], s["hi"] = [0.0] * 3, [1.0] * 3
-        s["done"] = [False] * 3
-    targets = list(levels.values())
+            state[key] = {"h": r["bandwidth"], "n": r["n"], "x": start, "lo": [0.0] * 3, "hi": [1.0] * 3,
+                          "done": [False] * 3, "steps": [0] * 3, "base": None}
+    open_keys = dict(state)
     for _ in range(NEWTON_STEPS):
-        open_keys = {k: s for k, s in state.items() if not all(s["done"])}
         if not open_keys:
             break
-        now = spark.createDataFrame(
-            [(*k, s["h"], *s["x"]) for k, s in open_keys.items()], f"{key_ddl}, h double, x0 double, x1 double, x2 double"
-        )
-        for r in kernel_sums(now, 3):
-            s = state[tuple(r[k] for k in keys)]
-            for i, target in enumerate(targets):
-                if s["done"][i]:
+        asked = {k: (s["h"], [*s["x"], *([0.0, 1.0] if s["base"] is None else [])]) for k, s in open_keys.items()}
+        for key, table in kernel_tables(finite, keys, "_s", asked).items():
+            s = state[key]
+            if s["base"] is None:
+                s["base"] = table.at(0.0)[0]
+                s["mass"] = table.at(1.0)[0] - s["base"]
+                if not s["mass"] > 1e-12:
+                    rows.append((*key, None, None, None, None, None, "no mass in [0, 1]"))
+                    del state[key]
                     continue
-                x = s["x"][i]
-                gap = (r[f"c{i}"] - s["base"]) / s["mass"] - target
-                slope = r[f"d{i}"] / s["mass"]
-                if gap > 0:
-                    s["hi"][i] = x
-                else:
-                    s["lo"][i] = x
-                step = x - gap / slope if slope > 0 else float("nan")
-                inside = s["lo"][i] < step < s["hi"][i]
-                new = step if inside else (s["lo"][i] + s["hi"][i]) / 2
-                s["done"][i] = abs(new - x) <= TOLERANCE or gap == 0.0
-                s["x"][i] = x if gap == 0.0 else new
-    rows = []
+            _newton(s, table, targets)
+        open_keys = {k: s for k, s in state.items() if any(not d and n < NEWTON_STEPS for d, n in zip(s["done"], s["steps"]))}
     for key, s in state.items():
         low, medium, high = s["x"]
         if not all(s["done"]):
@@ -212,12 +209,28 @@ def kde_thresholds(scores: DataFrame, keys: list[str], config: ModelConfig = Mod
             continue
         status = "ok" if low < medium < high else "not strictly ordered"
         rows.append((*key, s["n"], s["h"], low, medium, high, status))
-    rows += [(*key, None, None, None, None, None, why) for key, why in failed]
     return spark.createDataFrame(
         rows, f"{key_ddl}, n bigint, bandwidth double, low double, medium double, high double, status string"
     )
 
 
+def threshold_levels(scores: DataFrame, thresholds: DataFrame, keys: list[str], score: str = "risk_score") -> DataFrame:
+    """Distribution on [0, 1] at each threshold, ``<level>_cdf``, from the kernels of all scores themselves.
+
+    One row per key with thresholds; a plain sum without bins, for checking :func:`kde_thresholds`.
+    """
+    names = ["low", "medium", "high"]
+    at = thresholds.filter("low IS NOT NULL").select(*keys, "bandwidth", *names)
+    if at.limit(MOST_KEYS + 1).count() > MOST_KEYS:
+        raise ValueError(f"more than {MOST_KEYS} keys to check thresholds of")
+    finite = scores.filter(_finite(score)).select(*keys, F.col(score).cast("double").alias("_s"))
+    points = {"low": F.col("low"), "medium": F.col("medium"), "high": F.col("high"), "zero": F.lit(0.0), "one": F.lit(1.0)}
+    z = finite.join(F.broadcast(at), keys).withColumns({f"z_{k}": (x - F.col("_s")) / F.col("bandwidth") for k, x in points.items()})
+    phi = scoring.with_normal_cdf(z, {f"p_{k}": f"z_{k}" for k in points})
+    sums = phi.groupBy(*keys).agg(*[F.avg(f"p_{k}").alias(k) for k in points])
+    return sums.select(*keys, *[((F.col(k) - F.col("zero")) / (F.col("one") - F.col("zero"))).alias(f"{k}_cdf") for k in names])
+
+
 def score_digest(scores: DataFrame, keys: list[str], id_cols: list[str], score: str = "risk_score") -> DataFrame:
     """Order-free digest and count of the calibration scores."""
     return scores.groupBy(*keys).agg(

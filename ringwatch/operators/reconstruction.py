@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ringwatch import catalog
 from ringwatch.catalog import ModelConfig
@@ -89,8 +90,32 @@ def pack_reconstruction(model: DataFrame, config: ModelConfig = ModelConfig()) -
     }
 
 
+def trend_matrix(z: np.ndarray, mask: np.ndarray, features: list[str], size: int) -> np.ndarray:
+    """Slope, change, curvature (0) and spread of every feature of every window, side by side, times its weight.
+
+    ``z`` and ``mask`` hold ``size`` positions per feature. All are 0 with fewer than three measured positions.
+    """
+    n = len(z)
+    y, ok = z.reshape(n, -1, size), mask.reshape(n, -1, size).astype(float)
+    count = ok.sum(axis=2)
+    many = np.maximum(count, 1)
+    at = np.arange(size, dtype=float)
+    i = (at - (ok @ at / many)[..., None]) * ok
+    off = (y - ((y * ok).sum(axis=2) / many)[..., None]) * ok
+    xx = (i * i).sum(axis=2)
+    slope = np.divide((i * off).sum(axis=2), xx, out=np.zeros_like(xx), where=xx > 1e-12)
+    first, last = ok.argmax(axis=2), size - 1 - ok[:, :, ::-1].argmax(axis=2)
+    pick = lambda place: np.take_along_axis(y, place[..., None], axis=2)[..., 0]
+    out = np.stack([slope, pick(last) - pick(first), np.zeros_like(slope), np.sqrt((off * off).sum(axis=2) / many)], axis=2)
+    weight = np.array([catalog.FEATURE_WEIGHTS.get(f, 1.0) for f in features])
+    out *= weight[None, :, None] * (count >= 3)[..., None]
+    return out.reshape(n, -1)
+
+
 def window_errors(windows: DataFrame, models: dict, keys: list[str], config: ModelConfig = ModelConfig()) -> DataFrame:
-    """Per window: weighted and plain sums of squared error over measured cells, and their count.
+    """Per window: weighted and plain sums of squared error over measured cells, their count, and ``trend``.
+
+    ``trend`` is the flat vector of the machine features' trends (geology does not vary in a window).
 
     Error of a sequence is the sum over its steps, so windows shared by several sequences
     are reconstructed once.
@@ -98,7 +123,8 @@ def window_errors(windows: DataFrame, models: dict, keys: list[str], config: Mod
     shared = windows.sparkSession.sparkContext.broadcast((models, np.array(flat_weights(catalog.FEATURES, config))))
     ids = list(dict.fromkeys(["stratum", *keys]))
     base = windows.select(*ids, "z", "mask", "gz", "pad")
-    schema = base.select(*ids).schema.add("weighted_error", "double").add("plain_error", "double").add("measured", "double")
+    schema = base.select(*ids).schema.add("weighted_error", "double").add("plain_error", "double").add("measured", "double").add("trend", ArrayType(DoubleType()))
+    cells = len(catalog.TBM_FEATURES) * config.window_points
 
     def errors(batches):
         models_, weights = shared.value
@@ -107,6 +133,7 @@ def window_errors(windows: DataFrame, models: dict, keys: list[str], config: Mod
                 continue
             x, mask = dense_vectors(pdf, config)
             out = np.full((len(pdf), 3), np.nan)
+            trends = trend_matrix(x[:, :cells], mask[:, :cells], catalog.TBM_FEATURES, config.window_points)
             strata = pdf["stratum"].to_numpy()
             for stratum in set(strata):
                 model = models_.get(stratum)
@@ -117,7 +144,7 @@ def window_errors(windows: DataFrame, models: dict, keys: list[str], config: Mod
                 rebuilt = (centred @ model["components"].T) @ model["components"]
                 square = (centred - rebuilt) ** 2 * mask[hit]
                 out[hit] = np.column_stack([square @ weights, square.sum(axis=1), mask[hit].sum(axis=1)])
-            yield pdf[ids].assign(weighted_error=out[:, 0], plain_error=out[:, 1], measured=out[:, 2])
+            yield pdf[ids].assign(weighted_error=out[:, 0], plain_error=out[:, 1], measured=out[:, 2], trend=list(trends))
 
     null = F.lit(None).cast("double")
     scored = base.mapInPandas(errors, schema)

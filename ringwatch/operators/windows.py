@@ -224,67 +224,84 @@ def flat_weights(features=None, config: ModelConfig = ModelConfig()) -> list[flo
     return [catalog.FEATURE_WEIGHTS.get(f, 1.0) for f in names for _ in range(config.window_points)]
 
 
-def trend_of(vals: Column, mask: Column, weight: float) -> Column:
-    """struct(slope, delta, curvature, spread) of one feature's window, times its weight.
+def _trend(n: Column, sums: dict[str, Column], ends: Column, weight: float) -> Column:
+    """struct(slope, delta, curvature, spread) from the sums over a window's measured positions, times the weight.
 
     Needs three measured positions, else all are 0; curvature is always 0.
     """
-    pos = F.sequence(F.lit(0), F.size(vals) - 1)
-    zipped = F.arrays_zip(pos.alias("i"), vals.alias("y"), mask.alias("ok"))
-    cells = F.transform(
-        F.filter(zipped, lambda c: c["ok"]),
-        lambda c: F.struct(c["i"].cast("double").alias("i"), c["y"].alias("y")),
-    )
-    return F.transform(F.array(cells), lambda cs: _trend_cells(cs, weight))[0]
-
-
-def _trend_cells(cells: Column, weight: float) -> Column:
-    n = F.size(cells).cast("double")
-
-    def total(f) -> Column:
-        return F.aggregate(cells, F.lit(0.0), lambda acc, c: acc + f(c))
-
-    means = F.struct((total(lambda c: c["i"]) / n).alias("i"), (total(lambda c: c["y"]) / n).alias("y"))
-
-    def with_means(m: Column) -> Column:
-        sums = F.aggregate(
-            cells,
-            F.struct(F.lit(0.0).alias("xx"), F.lit(0.0).alias("xy"), F.lit(0.0).alias("yy")),
-            lambda acc, c: F.struct(
-                (acc["xx"] + (c["i"] - m["i"]) * (c["i"] - m["i"])).alias("xx"),
-                (acc["xy"] + (c["i"] - m["i"]) * (c["y"] - m["y"])).alias("xy"),
-                (acc["yy"] + (c["y"] - m["y"]) * (c["y"] - m["y"])).alias("yy"),
-            ),
-        )
-        return F.transform(
-            F.array(sums),
-            lambda s: F.struct(
-                (F.when(s["xx"] > 1e-12, s["xy"] / s["xx"]).otherwise(0.0) * weight).alias("slope"),
-                ((F.element_at(cells, -1)["y"] - F.element_at(cells, 1)["y"]) * weight).alias("delta"),
-                F.lit(0.0).alias("curvature"),
-                (F.sqrt(s["yy"] / n) * weight).alias("spread"),
-            ),
-        )[0]
-
-    zero = F.lit(0.0)
-    none = F.struct(zero.alias("slope"), zero.alias("delta"), zero.alias("curvature"), zero.alias("spread"))
-    return F.when(F.size(cells) >= 3, F.transform(F.array(means), with_means)[0]).otherwise(none)
-
-
-def window_trends(
-    windows: DataFrame, vals: str, mask: str, features: list[str], config: ModelConfig = ModelConfig()
+    xx = n * sums["ii"] - sums["i"] * sums["i"]
+    xy = n * sums["iy"] - sums["i"] * sums["y"]
+    yy = F.greatest(n * sums["yy"] - sums["y"] * sums["y"], F.lit(0.0))
+    enough = n >= 3
+    out = {
+        "slope": F.when(enough & (xx / n > 1e-12), xy / xx * weight),
+        "delta": F.when(enough, ends * weight),
+        "curvature": F.lit(0.0),
+        "spread": F.when(enough, F.sqrt(yy) / n * weight),
+    }
+    return F.struct(*[F.coalesce(c, F.lit(0.0)).alias(k) for k, c in out.items()])
+
+
+def point_trends(
+    df: DataFrame,
+    keys: list[str],
+    features: list[str],
+    config: ModelConfig = ModelConfig(),
+    seconds: int = SLICE_SECONDS,
+    block: int = BLOCK,
+    time_col: str = "time",
 ) -> DataFrame:
-    """Add ``trends``: one trend struct per feature of the window."""
-    size = config.window_points
-    parts = [
-        trend_of(
-            F.slice(vals, j * size + 1, size),
-            F.slice(mask, j * size + 1, size),
-            catalog.FEATURE_WEIGHTS.get(f, 1.0),
-        )
-        for j, f in enumerate(features)
-    ]
-    return windows.withColumn("trends", F.array(*parts))
+    """``trends`` of the windows of every ring, one struct per feature, without building the windows.
+
+    Points of a block carry running sums of n, i, i * i, y, i * y and y * y over measured values; a
+    window is the difference of the rows at its two ends. Values are taken from the block's first one,
+    so that a steady signal on a high level loses no digits.
+    """
+    size, stride = config.window_points, config.window_stride
+    if block % stride or block < size:
+        raise ValueError("block must be a multiple of the stride and hold a window")
+    half = config.smoothing_window // 2
+    rows = df.select(*dict.fromkeys([*keys, time_col, "point_id", *features]))
+    blocked = into_blocks(fill_forward(rows, keys, features, seconds, time_col), size + half, half, block)
+    points = smooth(blocked, keys, features, config.smoothing_window)
+    order = Window.partitionBy(*keys, "block").orderBy("idx")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy(*keys, "block").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, 0)
+    first = F.col("block") * block
+    points = points.select(
+        *keys, "block", "idx", "n", F.col(time_col).alias("end_time"), (F.col("idx") - first).cast("double").alias("i"),
+        *[F.when(F.col(f"{f}_ok"), F.col(f"{f}_s") - F.first(f"{f}_s").over(so_far)).alias(f"y{j}") for j, f in enumerate(features)],
+    )
+    i = F.col("i")
+    sums = {}
+    for j in range(len(features)):
+        y = F.col(f"y{j}")
+        measured = F.when(y.isNotNull(), i)
+        sums |= {f"n{j}": F.when(y.isNotNull(), 1.0), f"i{j}": measured, f"ii{j}": measured * i, f"y{j}": y, f"iy{j}": i * y, f"yy{j}": y * y}
+    run = F.struct(*[F.coalesce(F.sum(c).over(so_far), F.lit(0.0)).alias(k) for k, c in sums.items()])
+    last = F.struct(*[F.last(f"y{j}", ignorenulls=True).over(so_far).alias(f"y{j}") for j in range(len(features))])
+    ahead = F.struct(*[F.last(f"y{j}", ignorenulls=True).over(back).alias(f"y{j}") for j in range(len(features))])
+    opening = F.struct(*[F.first(f"y{j}", ignorenulls=True).over(so_far).alias(f"y{j}") for j in range(len(features))])
+    points = points.select(*keys, "block", "idx", "n", "end_time", run.alias("run"), last.alias("last"), ahead.alias("ahead"), opening.alias("opening"))
+    points = points.withColumns({"before": F.lag("run", size).over(order), "ahead": F.lag("ahead", size - 1).over(order)})
+    start = F.col("idx") - (size - 1)
+    whole = (F.col("n") >= size) & (start >= 0) & (start % stride == 0) & (F.floor(start / block) == F.col("block"))
+    partial = (F.col("n") < size) & (F.col("idx") == F.col("n") - 1)
+    ends = points.filter(whole | partial)
+
+    def trend(j: int, feature: str) -> Column:
+        part = {k: F.col("run")[f"{k}{j}"] - F.coalesce(F.col("before")[f"{k}{j}"], F.lit(0.0)) for k in ("n", "i", "ii", "y", "iy", "yy")}
+        opened = F.when(F.col("n") < size, F.col("opening")[f"y{j}"]).otherwise(F.col("ahead")[f"y{j}"])
+        return _trend(part["n"], part, F.col("last")[f"y{j}"] - opened, catalog.FEATURE_WEIGHTS.get(feature, 1.0))
+
+    return ends.select(
+        *keys,
+        F.col("n").alias("ring_points"),
+        F.when(F.col("n") < size, F.lit(0)).otherwise(start / stride).cast("bigint").alias("window_idx"),
+        (F.col("n") < size).alias("partial"),
+        "end_time",
+        F.array(*[trend(j, f) for j, f in enumerate(features)]).alias("trends"),
+    )
 
 
 def trend_interactions(windows: DataFrame, features: list[str]) -> DataFrame:

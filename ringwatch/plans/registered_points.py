@@ -201,15 +201,16 @@ def p9_filter_by_stratum(spark, sf_dir):
 @register(
     "p10_available_strata",
     oracle_ctes("fx_geo")
-    + """, have AS (SELECT DISTINCT CAST(cluster_label AS VARCHAR) AS stratum FROM fx_geo WHERE cluster_label IS NOT NULL AND cluster_label <> 4),
-want AS (SELECT CAST(range AS VARCHAR) AS stratum FROM range(6))
+    + """, have AS (SELECT DISTINCT CAST(cluster_label AS VARCHAR) AS stratum FROM fx_geo WHERE cluster_label IS NOT NULL),
+want AS (SELECT CAST(range AS VARCHAR) AS stratum FROM range(8))
 SELECT stratum, 'present' AS state FROM have UNION ALL
 SELECT stratum, 'missing' AS state FROM want WHERE stratum NOT IN (SELECT stratum FROM have)""",
 )
 def p10_available_strata(spark, sf_dir):
-    geo = view(spark, sf_dir, "fx_geo").filter("cluster_label <> 4")
+    geo = view(spark, sf_dir, "fx_geo")
+    wanted = [str(k) for k in range(8)]  # two more than there are
     present = cleaning.available_strata(geo).withColumn("state", F.lit("present"))
-    return present.unionByName(cleaning.missing_strata(geo).withColumn("state", F.lit("missing")))
+    return present.unionByName(cleaning.missing_strata(geo, wanted).withColumn("state", F.lit("missing")))
 
 
 def _values(rows) -> str:

@@ -97,8 +97,8 @@ def _windows_sql(keys: str) -> str:
     blanks = " UNION ALL ".join(
         f"SELECT {keys}, 0 AS window_idx, true AS partial, '{f}' AS feature, range AS pos, 0.0e0 AS value, false AS ok FROM short, range(48) r WHERE range < 48 - n" for f in TBM
     )
-    return f"""placed AS (SELECT s.*, w.range AS window_idx, false AS partial, idx - w.range * 8 AS pos FROM smoothed s, range(100000) w
-  WHERE n >= 48 AND w.range * 8 <= n - 48 AND idx >= w.range * 8 AND idx < w.range * 8 + 48
+    return f"""placed AS (SELECT *, idx - window_idx * 8 AS pos FROM (SELECT s.*, unnest(range(greatest(0, (idx - 40) // 8), least(idx // 8, (n - 48) // 8) + 1)) AS window_idx, false AS partial
+  FROM smoothed s WHERE n >= 48)
   UNION ALL SELECT s.*, 0 AS window_idx, true AS partial, 48 - n + idx AS pos FROM smoothed s WHERE n < 48),
 short AS (SELECT DISTINCT {keys}, n FROM smoothed WHERE n < 48),
 cells AS ({cells} UNION ALL {blanks})"""
@@ -120,13 +120,10 @@ def window_cells(wins, keys):
     )
 
 
-_LIMIT_RANGE = "range(100000)"
-
-
 @register(
     "w4_sliding_windows",
     POINTS
-    + f", {_fill_sql('fx_points', 'shield_id, ring')}, {_smooth_sql('shield_id, ring')}, {_windows_sql('shield_id, ring').replace(_LIMIT_RANGE, 'range(200)')} SELECT * FROM cells",
+    + f", {_fill_sql('fx_points', 'shield_id, ring')}, {_smooth_sql('shield_id, ring')}, {_windows_sql('shield_id, ring')} SELECT * FROM cells",
 )
 def w4_sliding_windows(spark, sf_dir):
     pts = view(spark, sf_dir, "fx_points").select(*RING, "time", "point_id", *TBM)
@@ -136,7 +133,7 @@ def w4_sliding_windows(spark, sf_dir):
 _FKEYS = "stratum, data_source, ring"
 _FUSED_CELLS = (
     FUSED
-    + f", {_fill_sql('fx_fused', _FKEYS)}, {_smooth_sql(_FKEYS)}, {_windows_sql(_FKEYS).replace(_LIMIT_RANGE, 'range(200)')}"
+    + f", {_fill_sql('fx_fused', _FKEYS)}, {_smooth_sql(_FKEYS)}, {_windows_sql(_FKEYS)}"
 )
 
 _SPLIT_SQL = """ringlist AS (SELECT stratum, data_source, ring, count(*) AS ring_points FROM fx_fused GROUP BY ALL),
@@ -158,9 +155,9 @@ def w10_split_rings(spark, sf_dir):
 _SCALER_SQL = f"""train_cells AS (SELECT c.stratum, c.feature, c.pos, c.value FROM cells c JOIN split_rings s ON c.stratum = s.stratum AND c.data_source = s.data_source AND c.ring = s.ring
   WHERE s.split = 'train' AND NOT c.partial AND c.ok
   UNION ALL SELECT g.stratum, g.feature, p.range AS pos, g.value FROM
-    (SELECT * FROM (SELECT DISTINCT f.stratum, f.ring, {', '.join('f.' + x for x in catalog.GEO_FEATURES)}, CAST(floor((s.ring_points - 48) / 8) AS BIGINT) + 1 AS w
+    (SELECT *, unnest(range(w)) AS again FROM (SELECT DISTINCT f.stratum, f.ring, {', '.join('f.' + x for x in catalog.GEO_FEATURES)}, CAST(floor((s.ring_points - 48) / 8) AS BIGINT) + 1 AS w
       FROM fx_fused f JOIN split_rings s ON f.stratum = s.stratum AND f.ring = s.ring WHERE s.split = 'train' AND s.ring_points >= 48)
-     UNPIVOT (value FOR feature IN ({', '.join(catalog.GEO_FEATURES)}))) g, range(48) p, range(200) r WHERE r.range < g.w),
+     UNPIVOT (value FOR feature IN ({', '.join(catalog.GEO_FEATURES)}))) g, range(48) p),
 med AS (SELECT stratum, feature, pos, quantile_cont(value, 0.5) AS median FROM train_cells GROUP BY ALL),
 mads AS (SELECT t.stratum, t.feature, t.pos, quantile_cont(abs(t.value - m.median), 0.5) AS raw FROM train_cells t JOIN med m USING (stratum, feature, pos) GROUP BY ALL),
 scalers AS (SELECT stratum, feature, pos, median, CASE WHEN raw > 0 THEN raw * 1.4826e0 ELSE 1.0e0 END AS mad FROM med JOIN mads USING (stratum, feature, pos))"""
@@ -213,31 +210,36 @@ def w7_feature_weights(spark, sf_dir):
 
 
 _WEIGHT_SQL = f"weight(feature, w, fi) AS (VALUES {', '.join(f'({chr(39)}{f}{chr(39)}, {catalog.FEATURE_WEIGHTS[f]}e0, {i})' for i, f in enumerate(TBM))})"
-_TREND_SQL = f"""{_WEIGHT_SQL}, trends AS (SELECT c.shield_id, c.ring, c.window_idx, c.feature, w.fi, w.w,
-  CASE WHEN count(*) FILTER (c.ok) >= 3 THEN coalesce(regr_slope(c.value, c.pos) FILTER (c.ok), 0.0e0) * w.w ELSE 0.0e0 END AS slope,
-  CASE WHEN count(*) FILTER (c.ok) >= 3 THEN (arg_max(c.value, c.pos) FILTER (c.ok) - arg_min(c.value, c.pos) FILTER (c.ok)) * w.w ELSE 0.0e0 END AS delta,
-  CASE WHEN count(*) FILTER (c.ok) >= 3 THEN stddev_pop(c.value) FILTER (c.ok) * w.w ELSE 0.0e0 END AS spread
-  FROM cells c JOIN weight w ON c.feature = w.feature GROUP BY c.shield_id, c.ring, c.window_idx, c.feature, w.fi, w.w)"""
+# sums instead of regr_slope and stddev_pop, whose running means lose the last digits of exact values
+_TREND_SQL = f"""{_WEIGHT_SQL}, trend_sums AS (SELECT c.shield_id, c.ring, c.window_idx, c.feature, w.fi, w.w, CAST(count(*) FILTER (c.ok) AS DOUBLE) AS n,
+  sum(c.pos) FILTER (c.ok) AS i, sum(c.pos * c.pos) FILTER (c.ok) AS ii, sum(c.value) FILTER (c.ok) AS y, sum(c.pos * c.value) FILTER (c.ok) AS iy,
+  sum(c.value * c.value) FILTER (c.ok) AS yy, arg_max(c.value, c.pos) FILTER (c.ok) - arg_min(c.value, c.pos) FILTER (c.ok) AS ends
+  FROM cells c JOIN weight w ON c.feature = w.feature GROUP BY c.shield_id, c.ring, c.window_idx, c.feature, w.fi, w.w),
+trends AS (SELECT shield_id, ring, window_idx, feature, fi, w,
+  CASE WHEN n >= 3 AND n * ii > i * i THEN (n * iy - i * y) / (n * ii - i * i) * w ELSE 0.0e0 END AS slope,
+  CASE WHEN n >= 3 THEN ends * w ELSE 0.0e0 END AS delta,
+  CASE WHEN n >= 3 THEN sqrt(n * yy - y * y) / n * w ELSE 0.0e0 END AS spread
+  FROM trend_sums)"""
 _POINT_CELLS = (
     POINTS
-    + f", {_fill_sql('fx_points', 'shield_id, ring')}, {_smooth_sql('shield_id, ring')}, {_windows_sql('shield_id, ring').replace(_LIMIT_RANGE, 'range(200)')}"
+    + f", {_fill_sql('fx_points', 'shield_id, ring')}, {_smooth_sql('shield_id, ring')}, {_windows_sql('shield_id, ring')}"
 )
 
 
 @register(
     "w8_trend_features",
     _POINT_CELLS
-    + f""", {_TREND_SQL} SELECT shield_id, ring, window_idx, feature, {round_sql('slope', 6)} AS slope, {round_sql('delta', 6)} AS delta, 0.0e0 AS curvature,
-  {round_sql('spread', 6)} AS spread FROM trends""",
+    + f""", {_TREND_SQL} SELECT shield_id, ring, window_idx, feature, {round_sql('slope', 9)} AS slope, {round_sql('delta', 9)} AS delta, 0.0e0 AS curvature,
+  {round_sql('spread', 9)} AS spread FROM trends""",
 )
 def w8_trend_features(spark, sf_dir):
     pts = view(spark, sf_dir, "fx_points").select(*RING, "time", "point_id", *TBM)
-    trended = windows.window_trends(windows.sliding_windows(pts, RING, TBM), "vals", "mask", TBM)
+    trended = windows.point_trends(pts, RING, TBM)
     names = F.array(*[F.lit(f) for f in TBM])
     long = trended.select(*RING, "window_idx", F.posexplode("trends").alias("j", "t")).select(
         *RING, "window_idx", F.get(names, "j").alias("feature"), "t.slope", "t.delta", "t.curvature", "t.spread"
     )
-    return with_rounded(long, {"slope": 6, "delta": 6, "spread": 6})
+    return with_rounded(long, {"slope": 9, "delta": 9, "spread": 9})
 
 
 @register(
@@ -249,7 +251,7 @@ FROM trends a JOIN trends b ON a.shield_id = b.shield_id AND a.ring = b.ring AND
 )
 def w9_trend_interactions(spark, sf_dir):
     pts = view(spark, sf_dir, "fx_points").select(*RING, "time", "point_id", *TBM)
-    trended = windows.window_trends(windows.sliding_windows(pts, RING, TBM), "vals", "mask", TBM)
+    trended = windows.point_trends(pts, RING, TBM)
     both = windows.trend_interactions(trended, TBM)
     pairs = [(a, b) for i, a in enumerate(TBM) for b in TBM[i + 1 :]]
     entries = [
@@ -273,8 +275,8 @@ def _groups_sql(source: str, keys: str, name: str) -> str:
 {name}_g AS (SELECT {', '.join('g.' + k.strip() for k in keys.split(','))}, g.i AS group_idx, count(*) AS members, arg_max(u.ring, u.i) AS end_ring,
     CASE WHEN arg_max(u.is_latest, u.i) THEN arg_max(u.windows, u.i) ELSE min(u.windows) END AS sequences
   FROM {name}_u g JOIN {name}_u u ON {on} AND u.i BETWEEN g.i AND g.i + 5 GROUP BY ALL HAVING count(*) = 6),
-{name}_s AS (SELECT g.*, w.range AS window_idx, row_number() OVER (PARTITION BY {', '.join('g.' + k.strip() for k in keys.split(','))} ORDER BY group_idx, w.range) - 1 AS seq_no,
-    count(*) OVER (PARTITION BY {', '.join('g.' + k.strip() for k in keys.split(','))}) AS seq_count FROM {name}_g g, range(200) w WHERE w.range < g.sequences)"""
+{name}_s AS (SELECT g.*, row_number() OVER (PARTITION BY {', '.join('g.' + k.strip() for k in keys.split(','))} ORDER BY group_idx, window_idx) - 1 AS seq_no,
+    count(*) OVER (PARTITION BY {', '.join('g.' + k.strip() for k in keys.split(','))}) AS seq_count FROM (SELECT *, unnest(range(sequences)) AS window_idx FROM {name}_g) g)"""
 
 
 @register(
@@ -451,6 +453,25 @@ def a15_kde_thresholds(spark, sf_dir):
     return calibration.kde_thresholds(_combined(spark, sf_dir), ["stratum"])
 
 
+@register(
+    "a15_threshold_levels",
+    SCORES
+    + f""", {_COMBINED_SQL} SELECT stratum, count(*) AS n, 'ok' AS status, true AS low_hits, true AS medium_hits, true AS high_hits, true AS ordered
+FROM risk WHERE isfinite(risk_score) GROUP BY stratum HAVING count(*) >= 20 AND stddev_samp(risk_score) > 1e-12""",
+)
+def a15_threshold_levels(spark, sf_dir):
+    scores = materialize(_combined(spark, sf_dir))
+    found = calibration.kde_thresholds(scores, ["stratum"])
+    levels = calibration.threshold_levels(scores, found, ["stratum"])
+    config = ModelConfig()
+    hits = [
+        (F.abs(F.col(f"{k}_cdf") - F.lit(p)) <= 1e-9).alias(f"{k}_hits")
+        for k, p in (("low", config.cdf_low), ("medium", config.cdf_medium), ("high", config.cdf_high))
+    ]
+    ordered = ((F.col("low") < F.col("medium")) & (F.col("medium") < F.col("high"))).alias("ordered")
+    return found.join(levels, "stratum").select("stratum", "n", "status", *hits, ordered)
+
+
 @register(
     "a16_risk_level_counts",
     SCORES

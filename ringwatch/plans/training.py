@@ -118,12 +118,9 @@ class TrainedModels:
 
 
 def window_inputs(normal: DataFrame, config: ModelConfig = ModelConfig()) -> DataFrame:
-    """Model columns of normalised windows: cells, padding and the flat trend values."""
-    trended = windows.window_trends(normal, "z", "mask", TBM, config)
-    # geology is constant in a window, so its trends are all 0 and carry no split
-    flat = F.flatten(F.transform("trends", lambda t: F.array(t["slope"], t["delta"], t["curvature"], t["spread"])))
+    """Model columns of normalised windows: cells and padding."""
     pad = F.greatest(F.lit(config.window_points) - F.col("ring_points"), F.lit(0)).cast("int")
-    return trended.withColumns({"trend": flat, "pad": pad}).drop("trends", "vals", "ring_points")
+    return normal.withColumn("pad", pad).drop("vals", "ring_points")
 
 
 def all_sequences(rings: DataFrame, config: ModelConfig = ModelConfig()) -> DataFrame:
@@ -169,8 +166,7 @@ def train_models(fused: DataFrame, config: ModelConfig = ModelConfig()) -> Train
     inputs = materialize(window_inputs(normal, config))
     model = materialize(reconstruction.fit_reconstruction(inputs.filter("weight > 0"), config))
     keys = [*RING_KEYS, "window_idx"]
-    errors = reconstruction.window_errors(inputs, reconstruction.pack_reconstruction(model, config), keys, config)
-    rows = materialize(inputs.select(*keys, "trend", "end_time").join(errors, keys))
+    rows = materialize(reconstruction.window_errors(inputs, reconstruction.pack_reconstruction(model, config), [*keys, "end_time"], config))
     seq_rows = materialize(sequence_inputs(steps, rows, keys, SEQ_KEYS, config))
     trees = materialize(forest.fit_forest(fit_rows(seq_rows), SEQ_KEYS, config))
     raw = materialize(forest.score_forest(seq_rows, forest.pack_forest(trees, config)))
@@ -254,8 +250,7 @@ def score_shields(points: DataFrame, candidates: DataFrame, geo: DataFrame, mode
     model_wins = wins.join(labelled.drop("cluster_label"), keys).join(wanted, [*keys, "window_idx"])
     inputs = materialize(window_inputs(normalized_windows(model_wins, models.scalers, config), config))
     row_keys = [*keys, "window_idx", "stratum"]
-    errors = reconstruction.window_errors(inputs, reconstruction.pack_reconstruction(models.reconstruction, config), row_keys, config)
-    rows = inputs.select(*row_keys, "trend", "end_time").join(errors, row_keys)
+    rows = reconstruction.window_errors(inputs, reconstruction.pack_reconstruction(models.reconstruction, config), [*row_keys, "end_time"], config)
     seq_rows = sequence_inputs(steps, rows, row_keys, [*center_keys, "window_idx"], config)
     raw = materialize(forest.score_forest(seq_rows, forest.pack_forest(models.forest, config)))
     anomalies = raw.join(F.broadcast(models.offsets), "stratum").withColumn("if_anomaly", F.col("if_raw") - F.col("if_offset"))
