@@ -9,6 +9,7 @@ from ringwatch import catalog
 from ringwatch.catalog import ModelConfig
 from ringwatch.functions import scoring
 from ringwatch.operators import profiles
+from ringwatch.operators.binned import KEYS, MOST_STRATA, cell_medians
 from ringwatch.operators.kernel import KernelTable, kernel_tables
 from ringwatch.operators.quantiles import exact_percentiles
 from ringwatch.scratch import materialize
@@ -31,28 +32,6 @@ def _median_and_deviation(cells: DataFrame, keys: list[str], weight: Column) ->
     return medians.join(spread, keys).select(*keys, "median", mad.alias("mad"))
 
 
-def point_cells(points: DataFrame, config: ModelConfig = ModelConfig()) -> DataFrame:
-    """Measured cells (feature, pos, value) of all full windows, straight from smoothed points.
-
-    A point lies in up to six windows; it is copied to those positions without building
-    the windows.
-    """
-    size, stride = config.window_points, config.window_stride
-    first = F.ceil((F.col("idx") - (size - 1)) / stride).cast("bigint")
-    last = F.least(F.floor(F.col("idx") / stride), F.floor((F.col("n") - size) / stride)).cast("bigint")
-    first = F.greatest(first, F.lit(0).cast("bigint"))
-    starts = F.explode(F.when(last >= first, F.sequence(first, last)))
-    cells = F.array(
-        *[F.struct(F.lit(f).alias("feature"), F.col(f"{f}_s").alias("value"), F.col(f"{f}_ok").alias("ok")) for f in catalog.TBM_FEATURES]
-    )
-    placed = points.filter(F.col("n") >= size).withColumn("_start", starts)
-    return (
-        placed.select("stratum", (F.col("idx") - F.col("_start") * stride).cast("int").alias("pos"), F.explode(cells).alias("c"))
-        .filter("c.ok")
-        .select("stratum", "c.feature", "pos", "c.value")
-    )
-
-
 def robust_scalers(points: DataFrame, geo_rings: DataFrame, config: ModelConfig = ModelConfig()) -> DataFrame:
     """Median and scaled deviation per (stratum, feature, position) over training windows.
 
@@ -60,26 +39,25 @@ def robust_scalers(points: DataFrame, geo_rings: DataFrame, config: ModelConfig
     ring with ``ring_points`` and the geology features. Geology repeats over a ring's
     windows, so each ring counts with its number of windows and all positions agree.
     """
-    machine = _median_and_deviation(point_cells(points, config), ["stratum", "feature", "pos"], F.lit(1))
+    spark = points.sparkSession
+    cells = materialize(points.select("stratum", "idx", "n", *[f"{f}{end}" for f in catalog.TBM_FEATURES for end in ("_s", "_ok")]))
+    medians, spread = cell_medians(cells, catalog.TBM_FEATURES, config)
     weights = geo_rings.withColumn("_w", profiles.estimated_windows(F.col("ring_points"), config)).filter("_w > 0")
     long = weights.unpivot(["stratum", "_w"], catalog.GEO_FEATURES, "feature", "value")
     geology = _median_and_deviation(long, ["stratum", "feature"], F.col("_w"))
-    spread = F.explode(F.sequence(F.lit(0), F.lit(config.window_points - 1))).alias("pos")
-    geology = geology.select("stratum", "feature", spread, "median", "mad")
-    found = materialize(machine.unionByName(geology))
-    grid = (
-        found.select("stratum").distinct()
-        .crossJoin(F.broadcast(_feature_grid(found.sparkSession, config)))  # fixed 768 rows per stratum
-    )
-    keys = ["stratum", "feature", "pos"]
-    return grid.join(found, keys, "left").select(
-        *keys, F.coalesce("median", F.lit(0.0)).alias("median"), F.coalesce("mad", F.lit(1.0)).alias("mad")
-    )
-
-
-def _feature_grid(spark, config: ModelConfig) -> DataFrame:
-    features = F.explode(F.array(*[F.lit(f) for f in catalog.FEATURES])).alias("feature")
-    return spark.range(config.window_points).select(F.col("id").cast("int").alias("pos"), features)
+    # 768 rows per stratum at most, of a checked number of strata
+    raw = {tuple(r[k] for k in KEYS): r["median"] for r in spread.collect()}
+    found = {}
+    for r in medians.collect():
+        key = tuple(r[k] for k in KEYS)
+        found[key] = (r["median"], raw[key] * MAD_SCALE if raw[key] > 0 else 1.0)
+    for r in geology.limit(MOST_STRATA * len(catalog.GEO_FEATURES)).collect():
+        found |= {(r["stratum"], r["feature"], pos): (r["median"], r["mad"]) for pos in range(config.window_points)}
+    rows = [
+        (stratum, feature, pos, *found.get((stratum, feature, pos), (0.0, 1.0)))
+        for stratum in sorted({k[0] for k in found if k[0] is not None}) for feature in catalog.FEATURES for pos in range(config.window_points)
+    ]
+    return spark.createDataFrame(rows, "stratum string, feature string, pos int, median double, mad double")
 
 
 def score_bounds(scores: DataFrame, keys: list[str], config: ModelConfig = ModelConfig()) -> DataFrame:
@@ -152,7 +130,9 @@ def _newton(s: dict, table: KernelTable, targets: list[float]) -> None:
             step = x - gap / slope if slope > 0 else float("nan")
             inside = s["lo"][i] < step < s["hi"][i]
             new = step if inside else (s["lo"][i] + s["hi"][i]) / 2
-            s["done"][i] = abs(new - x) <= TOLERANCE or gap == 0.0
+            # fine against narrow kernels as well, but no finer than doubles are
+            fine = max(min(TOLERANCE, 1e-10 * s["h"]), 2.3e-16 * abs(x))
+            s["done"][i] = abs(new - x) <= fine or gap == 0.0
             s["x"][i] = x if gap == 0.0 else new
 
 

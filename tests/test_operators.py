@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ringwatch.catalog import TBM_FEATURES
 from ringwatch.functions import scoring, text
 from ringwatch.functions.rounding import round_exact
-from ringwatch.operators import calibration, forest, triggers, windows
+from ringwatch.operators import binned, calibration, forest, kernel, reconstruction, triggers, windows
 from ringwatch.operators.quantiles import exact_percentiles
 
 
@@ -151,3 +151,86 @@ def test_each_file_is_read_by_its_own_header(spark, tmp_path):
     machine, geology = split_by_kind(spark, f"{tmp_path}/x/*.csv")
     assert sorted(r["file_name"] for r in machine.collect()) == ["one.csv", "two.csv"]
     assert [r["file_name"] for r in geology.collect()] == ["geo.csv"]
+
+
+def _kernel_levels(scores, h, xs):
+    cdf = lambda x: sum(0.5 * math.erfc((s - x) / h / math.sqrt(2)) for s in scores) / len(scores)
+    return [cdf(x) for x in xs]
+
+
+def test_kernel_tables_equal_the_plain_sums(spark):
+    rng = np.random.default_rng(3)
+    scores = {"a": rng.beta(2, 5, 700), "b": np.concatenate([rng.normal(0.5, 1e-4, 400), rng.lognormal(0, 4, 300), [-1e9, 1e12]])}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in scores.items() for v in vs], "k string, s double").repartition(5)
+    asked = {("a",): (0.02, [0.0, 1.0, 0.3]), ("b",): (3e-5, [0.0, 1.0, 0.5, 0.5001])}
+    tables = kernel.kernel_tables(df, ["k"], "s", asked)
+    for (key,), (h, anchors) in asked.items():
+        table = tables[key,]
+        assert table.size == len(scores[key]) and len(table.centre) <= kernel.ANCHORS * 2 * (kernel.REACH + kernel.TAIL) / kernel.STEP + 5
+        for x in [a + d * h for a in anchors for d in (-40, -3.3, 0, 0.26, 17, 63)]:
+            want, step = _kernel_levels(scores[key], h, [x])[0], 1e-3 * h
+            slope = (_kernel_levels(scores[key], h, [x + step])[0] - _kernel_levels(scores[key], h, [x - step])[0]) / (2 * step)
+            got = table.at(x)
+            assert abs(got[0] - want) < 1e-13 and abs(got[1] - slope) <= 1e-5 * max(abs(slope), 1.0)
+    assert tables["b",].at(0.25) is None
+
+
+def test_thresholds_of_narrow_and_odd_scores_hit_their_levels(spark):
+    rng = np.random.default_rng(9)
+    scores = {"wide": rng.beta(2, 5, 3000), "narrow": 0.4 + 1e-6 * rng.normal(size=500), "outside": rng.normal(3, 0.1, 100), "flat": np.full(50, 0.5),
+              "few": rng.random(10), "tail": np.concatenate([rng.normal(0.3, 1e-5, 800), rng.random(60)])}
+    rows = [(k, float(v)) for k, vs in scores.items() for v in vs] + [("wide", float("nan")), ("wide", None), ("wide", float("inf"))]
+    df = spark.createDataFrame(rows, "k string, s double")
+    found = calibration.kde_thresholds(df, ["k"], score="s")
+    status = {r["k"]: r["status"] for r in found.collect()}
+    assert status == {"wide": "ok", "narrow": "ok", "tail": "ok", "outside": "no mass in [0, 1]", "flat": "no dispersion", "few": "too few scores"}
+    levels = calibration.threshold_levels(df, found, ["k"], "s").collect()
+    assert len(levels) == 3
+    for r in levels:
+        assert all(abs(r[f"{k}_cdf"] - p) < 1e-9 for k, p in (("low", 0.95), ("medium", 0.995), ("high", 0.999)))
+
+
+def _points(spark, rings, hole=7):
+    rng = np.random.default_rng(1)
+    rows = []
+    for stratum, ring, n in rings:
+        for i in range(n):
+            values = [None if (i * 5 + k) % hole == 0 else float(rng.integers(0, 40) + 100 * k) for k in range(len(TBM_FEATURES))]
+            rows.append((stratum, ring, datetime(2024, 1, 1) + timedelta(seconds=i), i, *values))
+    return spark.createDataFrame(rows, "stratum string, ring long, time timestamp_ntz, point_id long, " + ", ".join(f"{f} double" for f in TBM_FEATURES))
+
+
+def test_binned_medians_equal_those_of_all_window_cells(spark, monkeypatch):
+    monkeypatch.setattr(binned, "BINS", 8)
+    points = _points(spark, [("a", 1, 48), ("a", 2, 47), ("a", 3, 131), ("a", 4, 700), ("b", 1, 56)])
+    smoothed = windows.smoothed_points(points, ["stratum", "ring"], TBM_FEATURES)
+    cells = {}
+    for r in windows.sliding_windows(points, ["stratum", "ring"], TBM_FEATURES).filter("NOT partial").collect():
+        for at, (v, ok) in enumerate(zip(r["vals"], r["mask"])):
+            if ok:
+                cells.setdefault((r["stratum"], TBM_FEATURES[at // 48], at % 48), []).append(v)
+    medians, spread = binned.cell_medians(smoothed, TBM_FEATURES)
+    got = {tuple(r)[:3]: r["median"] for r in medians.collect()}
+    assert got == {k: float(np.median(v)) for k, v in cells.items()}
+    off = {tuple(r)[:3]: r["median"] for r in spread.collect()}
+    assert off == {k: float(np.median(np.abs(np.array(v) - np.median(v)))) for k, v in cells.items()}
+
+
+def test_trends_from_running_sums_and_from_batches_agree_with_plain_ones(spark):
+    points = _points(spark, [("a", 1, 48), ("a", 2, 3), ("a", 3, 200), ("b", 1, 20)], hole=3)
+    points = points.withColumn(TBM_FEATURES[0], F.lit(1e7 + 0.1))  # steady, high
+    keys = ["stratum", "ring"]
+    wins = {(r["stratum"], r["ring"], r["window_idx"]): r for r in windows.sliding_windows(points, keys, TBM_FEATURES).collect()}
+    got = windows.point_trends(points, keys, TBM_FEATURES, block=64).collect()
+    assert {(r["stratum"], r["ring"], r["window_idx"]) for r in got} == set(wins)
+    for r in got:
+        w = wins[r["stratum"], r["ring"], r["window_idx"]]
+        assert (r["partial"], r["end_time"]) == (w["partial"], w["end_time"])
+        batch = reconstruction.trend_matrix(np.array([w["vals"]]), np.array([w["mask"]]), TBM_FEATURES, 48)[0]
+        for j, (t, f) in enumerate(zip(r["trends"], TBM_FEATURES)):
+            i = [k for k in range(48) if w["mask"][48 * j + k]]
+            y = [w["vals"][48 * j + k] for k in i]
+            weight = {"thrust_spd": 1.5, "ch_spd": 0.7, "ch_torque": 0.7, "thrust_force": 1.5, "ch_contact_force": 1.5}[f]
+            want = [weight * np.polyfit(i, y, 1)[0], weight * (y[-1] - y[0]), 0.0, weight * np.std(y)] if len(i) >= 3 else [0.0] * 4
+            np.testing.assert_allclose(list(t), want, rtol=1e-7, atol=1e-7)
+            np.testing.assert_allclose(batch[4 * j : 4 * j + 4], want, rtol=1e-7, atol=1e-7)
