@@ -19,7 +19,7 @@ RING_KEYS = ["shield_id", "ring", "risk_type"]
 THRESHOLDS = (4, 3, 2)
 
 
-def _slice_summaries(scored: DataFrame, n: int, seconds: int) -> DataFrame:
+def slice_summaries(scored: DataFrame, n: int) -> DataFrame:
     """One row per (ring, risk, slice, threshold): break count, border runs, first inner run."""
     part = [*RING_KEYS, "slice"]
     order = Window.partitionBy(*part).orderBy("time", "point_id")
@@ -66,8 +66,15 @@ def _slice_summaries(scored: DataFrame, n: int, seconds: int) -> DataFrame:
 def warning_runs(scored: DataFrame, n: int = catalog.TRIGGER_LENGTH, seconds: int = SLICE_SECONDS) -> DataFrame:
     """Per (ring, risk): point totals and the first run of ``n`` points at each threshold."""
     sliced = scored.withColumn("slice", time_slice(scored, "time", seconds))
-    summary = _slice_summaries(sliced, n, seconds)
-    earlier = Window.partitionBy(*RING_KEYS, "level").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    return merged_runs(slice_summaries(sliced, n), n, ["slice"])
+
+
+def merged_runs(summary: DataFrame, n: int, order: list[str]) -> DataFrame:
+    """Totals and first runs from the summaries of pieces that follow each other by ``order``.
+
+    The merge is associative: pieces may come from anywhere, as long as their spans do not overlap.
+    """
+    earlier = Window.partitionBy(*RING_KEYS, "level").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     placed = summary.withColumn("offset", F.coalesce(F.sum("nb").over(earlier), F.lit(0)))
 
     def piece(b, name):
@@ -110,10 +117,13 @@ def warning_runs(scored: DataFrame, n: int = catalog.TRIGGER_LENGTH, seconds: in
 def ring_risk(scored: DataFrame, n: int = catalog.TRIGGER_LENGTH, seconds: int = SLICE_SECONDS) -> DataFrame:
     """Final level, probability, score and first warning time of every ring and rule risk.
 
-    Isolated medium or high points without low or calm ones end as no risk but keep
-    their probability.
+    Isolated medium or high points without low or calm ones end as no risk but keep their probability.
     """
-    runs = warning_runs(scored, n, seconds)
+    return run_results(warning_runs(scored, n, seconds))
+
+
+def run_results(runs: DataFrame) -> DataFrame:
+    """Level, probability, score and first warning time from totals and first runs."""
     priority = (
         F.when(F.col("high_p").isNotNull(), 4)
         .when(F.col("medium_p").isNotNull(), 3)

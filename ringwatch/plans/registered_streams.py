@@ -31,10 +31,9 @@ def st1_stream_scores(spark, sf_dir):
 
 
 def st2_stream_ring_risk(spark, sf_dir):
-    out = new_folder(spark, "ring-risk")
-    results = stream_triggers.ring_risk_stream(_point_stream(spark, sf_dir))
-    _finish(stream_triggers.write_results(results, out, out + "-state"))
-    return stream_triggers.latest_results(spark.read.parquet(out))
+    folder = new_folder(spark, "ring-risk")
+    _finish(stream_triggers.run_trigger(_point_stream(spark, sf_dir), folder))
+    return stream_triggers.latest_results(spark, folder)
 
 
 QUERIES["st1_stream_scores"] = st1_stream_scores

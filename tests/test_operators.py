@@ -234,3 +234,34 @@ def test_trends_from_running_sums_and_from_batches_agree_with_plain_ones(spark):
             want = [weight * np.polyfit(i, y, 1)[0], weight * (y[-1] - y[0]), 0.0, weight * np.std(y)] if len(i) >= 3 else [0.0] * 4
             np.testing.assert_allclose(list(t), want, rtol=1e-7, atol=1e-7)
             np.testing.assert_allclose(batch[4 * j : 4 * j + 4], want, rtol=1e-7, atol=1e-7)
+
+
+def test_stream_trigger_merges_batches_late_slices_and_late_points(spark, tmp_path):
+    from ringwatch.operators.triggers import ring_risk
+    from ringwatch.streaming import triggers as stream
+
+    rng = random.Random(7)
+    start, points = datetime(2024, 1, 1), []
+    for ring, many in ((1, 400), (2, 30), (3, 6)):  # ring 1 holds most points and many slices
+        for k in range(many):
+            points.append(("s", ring, "clog", 1000 * ring + k, start + timedelta(minutes=20 * k + ring), rng.choice([1, 1, 2, 3, 4, 4, 4]), rng.randrange(100) / 100))
+    schema = "shield_id string, ring long, risk_type string, point_id long, time timestamp_ntz, priority int, probability double"
+    batches = [[], [], [], []]
+    for at, p in enumerate(points):
+        k = p[3] % 1000
+        if p[1] == 1:
+            batch = 2 if k % 23 == 5 else 3 if 90 <= k < 130 else 0 if k < 201 else 1  # late points, late slices, a border within a slice
+        else:
+            batch = at % 2
+        batches[batch].append(p)
+    folder = str(tmp_path / "trigger")
+    for k, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, schema)
+        df = df.withColumn("slice", stream.time_slice(df, "time"))
+        stream.advance(df, k, folder)
+        if k == 1:
+            stream.advance(df, k, folder)  # the same batch again
+        seen = spark.createDataFrame([p for b in batches[: k + 1] for p in b], schema)
+        want = sorted(map(tuple, ring_risk(seen).collect()), key=repr)
+        got = stream.latest_results(spark, folder).select(*ring_risk(seen).columns)
+        assert sorted(map(tuple, got.collect()), key=repr) == want
