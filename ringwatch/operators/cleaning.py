@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,6 +94,24 @@ def missing_strata(df: DataFrame, expected=None, label_col: str = "cluster_label
     return wanted.join(available_strata(df, label_col), "stratum", "left_anti")
 
 
+def check_strata(df: DataFrame, expected=None) -> DataFrame:
+    """Rows of ``df`` (``stratum``) with an expected label; fails if an expected label has no row.
+
+    The check is part of the plan of one aggregate, which also counts the rows of other labels; their
+    number is logged and they are left out.
+    """
+    labels = list(expected or catalog.EXPECTED_STRATA)
+    wanted = F.array(*[F.lit(s) for s in labels])
+    found = df.agg(F.collect_set(F.when(F.col("stratum").isin(labels), F.col("stratum"))).alias("have"),
+                   F.count_if(~F.col("stratum").isin(labels)).alias("extra"))
+    missing = F.array_except(wanted, "have")
+    said = F.concat(F.lit("missing strata: "), F.array_join(missing, ", "))
+    extra = found.select("extra", F.assert_true(F.size(missing) == 0, said).alias("ok")).first()["extra"]
+    if extra:
+        logging.getLogger(__name__).warning("%d rows of other strata are left out", extra)
+    return df.filter(F.col("stratum").isin(labels))
+
+
 def round_columns(df: DataFrame, columns, digits: int = 2) -> DataFrame:
     """Numbers and numeric text to ``digits`` decimals; other text stays as it is.
 

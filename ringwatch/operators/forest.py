@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from ringwatch.catalog import ModelConfig
 from ringwatch.operators.quantiles import exact_percentiles
 
+#: Cells that a tree draws.
+CELLS = 32
+MOST_STRATA = 100
 TREE_SCHEMA = (
     "stratum string, tree int, sample_size int, feature array<int>, threshold array<double>, "
     "left array<int>, right array<int>, path array<double>"
@@ -68,24 +71,32 @@ def fit_forest(rows: DataFrame, id_cols: list[str], config: ModelConfig = ModelC
 
     ``samples_per_tree`` is the subsampling of the algorithm itself; trees draw from all rows.
 
-    A row joins a tree when its ticket for that tree is small enough to yield slightly more
-    than the wanted sample; the tree then keeps exactly the smallest tickets.
+    Rows fall into cells by a hash of their ids, so many that ``CELLS`` cells hold slightly more than the
+    wanted sample. A tree draws its cells and keeps the rows of smallest tickets from them. A row costs one
+    hash and one look-up, however many trees there are; only drawn rows move.
     """
     wanted, seed = config.samples_per_tree, config.seed
-    sizes = rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("_n"))
-    want = F.least(F.col("_n"), F.lit(wanted)).cast("double")
-    share = F.least(F.lit(1.0), (want + F.sqrt(want) * 8 + 16) / F.col("_n"))
-    cutoff = (share * F.lit(float(2**62))).cast("bigint")
-
-    def ticket(tree):
-        return F.shiftrightunsigned(F.xxhash64(*[F.col(c) for c in id_cols], tree, F.lit(seed)), 2)
-
-    trees = F.filter(F.sequence(F.lit(0), F.lit(config.trees - 1)), lambda t: ticket(t) <= cutoff)
-    drawn = (
-        rows.join(F.broadcast(sizes), "stratum")  # one row per stratum
-        .select("stratum", "vec", *[c for c in id_cols if c != "stratum"], F.explode(trees).alias("tree"))
-    )
-    drawn = drawn.select("stratum", "tree", "vec", ticket(F.col("tree")).alias("ticket"))
+    spark = rows.sparkSession
+    sizes = rows.filter("stratum IS NOT NULL").groupBy("stratum").agg(F.count(F.lit(1)).alias("n")).limit(MOST_STRATA + 1).collect()
+    if len(sizes) > MOST_STRATA:
+        raise ValueError(f"more than {MOST_STRATA} strata")
+    drawn_cells = []
+    for r in sorted(sizes, key=lambda r: r["stratum"]):
+        want = min(r["n"], wanted)
+        cells = max(CELLS, int(CELLS * r["n"] / (want + 8 * math.sqrt(want) + 16)))
+        for tree in range(config.trees):
+            rng = np.random.default_rng([seed, 1, tree, *r["stratum"].encode()])
+            drawn_cells += [(r["stratum"], cells, int(c), tree) for c in rng.choice(cells, CELLS, replace=False)]
+    plan = spark.createDataFrame(drawn_cells, "stratum string, cells bigint, cell bigint, tree int")
+    many = plan.select("stratum", "cells").distinct()
+    trees = plan.groupBy("stratum", "cell").agg(F.collect_list("tree").alias("trees"))
+    others = [c for c in id_cols if c != "stratum"]
+    # both sides of a fixed size: one row per stratum, and strata x trees x cells of a tree
+    placed = rows.join(F.broadcast(many), "stratum").select(
+        "stratum", "vec", *others, F.pmod(F.xxhash64(*[F.col(c) for c in id_cols], F.lit(seed)), F.col("cells")).alias("cell"))
+    drawn = placed.join(F.broadcast(trees), ["stratum", "cell"]).select("stratum", "vec", *others, F.explode("trees").alias("tree"))
+    ticket = F.xxhash64(*[F.col(c) for c in id_cols], "tree", F.lit(seed + 1))
+    drawn = drawn.select("stratum", "tree", "vec", ticket.alias("ticket"))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ticket", kind="stable").head(wanted)

@@ -307,21 +307,16 @@ def a6_feature_coverage(spark, sf_dir):
     return profiles.feature_coverage(view(spark, sf_dir, "fx_fused"), ["stratum"])
 
 
-_STRATUM_SUMMARY = """ SELECT stratum, CAST(sum(points) AS BIGINT) AS rows, count(*) AS rings, min(ring) AS ring_min, max(ring) AS ring_max, min(points) AS points_per_ring_min,
+STRATUM_SUMMARY = """ SELECT stratum, CAST(sum(points) AS BIGINT) AS rows, count(*) AS rings, min(ring) AS ring_min, max(ring) AS ring_max, min(points) AS points_per_ring_min,
   median(points) AS points_per_ring_median, max(points) AS points_per_ring_max, 16 AS features, 768 AS feature_dim
 FROM (SELECT stratum, ring, count(*) AS points FROM fx_fused GROUP BY stratum, ring) GROUP BY stratum"""
 
 
-@register("a7_stratum_summary", FUSED + _STRATUM_SUMMARY)
+@register("a7_stratum_summary", FUSED + STRATUM_SUMMARY)
 def a7_stratum_summary(spark, sf_dir):
     return profiles.stratum_summary(view(spark, sf_dir, "fx_fused"))
 
 
-@register("q8_training_data_summary", FUSED + _STRATUM_SUMMARY)
-def q8_training_data_summary(spark, sf_dir):
-    return reports.training_data_summary(view(spark, sf_dir, "fx_points"), view(spark, sf_dir, "fx_geo"))
-
-
 @register(
     "a8_alignment_summary",
     oracle_ctes("fx_points", "fx_geo")

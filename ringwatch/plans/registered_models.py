@@ -1,4 +1,4 @@
-"""Registered queries of the model jobs. Models are trained once per session and data folder."""
+"""Registered queries of the model jobs. Models are trained and stored once per session and data folder, and read from the store."""
 
 from __future__ import annotations
 
@@ -6,14 +6,15 @@ from pyspark.sql import functions as F
 
 from ringwatch.catalog import ModelConfig
 from ringwatch.operators import calibration, profiles
-from ringwatch.plans import reports, training
-from ringwatch.plans.registered_joins import source_candidates
+from ringwatch.plans import reports, store, training
+from ringwatch.plans.registered_joins import STRATUM_SUMMARY, source_candidates
+from ringwatch.scratch import new_folder
 from ringwatch.sources import tables
 from ringwatch.sources.adapters import oracle_ctes, view
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-_TRAINED: dict = {}
+_STORES: dict[tuple, str] = {}
 
 
 def register(name: str, sql: str | None = None):
@@ -26,12 +27,20 @@ def register(name: str, sql: str | None = None):
     return wrap
 
 
-def trained(spark, sf_dir) -> training.TrainedModels:
+def store_of(spark, sf_dir) -> str:
+    """Folder of the models trained from the files made of ``sf_dir``; trained and stored at first use."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _TRAINED:
-        _TRAINED.clear()
-        _TRAINED[key] = training.train_models(view(spark, sf_dir, "fx_fused"), ModelConfig())
-    return _TRAINED[key]
+    if key not in _STORES:
+        files = training_folders(spark, sf_dir, one_file=True)
+        models = training.train_models(training.training_input(spark, f"{files}/*/*/*.csv"), ModelConfig())
+        root = new_folder(spark, "models")
+        store.save_models(models, root)
+        _STORES[key] = root
+    return _STORES[key]
+
+
+def trained(spark, sf_dir) -> training.TrainedModels:
+    return store.load_models(spark, store_of(spark, sf_dir))
 
 
 def _geo(spark, sf_dir):
@@ -90,11 +99,8 @@ def m8_score_by_stratum(spark, sf_dir):
 
 @register("m9_train_strata")
 def m9_train_strata(spark, sf_dir):
-    models = trained(spark, sf_dir)
-    digest = calibration.score_digest(models.scores, ["stratum"], training.SEQ_KEYS)
-    stored = models.thresholds.filter("status = 'ok'").join(digest, "stratum")
-    audit = calibration.audit_calibration(models.scores, stored, ["stratum"], training.SEQ_KEYS, models.config)
-    return training.training_metrics(models).join(audit, "stratum", "left")
+    root = store_of(spark, sf_dir)
+    return training.training_metrics(store.load_models(spark, root)).join(store.audit_models(spark, root), "stratum", "left")
 
 
 @register("m10_training_report")
@@ -114,21 +120,26 @@ def q7_train_strata(spark, sf_dir):
     return training.training_metrics(trained(spark, sf_dir))
 
 
-def _folders(spark, sf_dir):
-    """Training folders as text files, written from the given tables: one per stratum."""
-    from ringwatch.scratch import new_folder
+def training_folders(spark, sf_dir, one_file: bool = False):
+    """Training folders as text files, written from the given tables: one per stratum.
 
+    With ``one_file`` a folder has one machine and one geology file, as pairs of files are data sources.
+    """
     root = new_folder(spark, "aligned")
     pts, geo = view(spark, sf_dir, "fx_points"), view(spark, sf_dir, "fx_geo").filter("cluster_label IS NOT NULL")
     areas = F.concat(F.lit("cluster_"), "cluster_label")
     labelled = geo.select("ring", areas.alias("area"))
     tbm = pts.join(labelled, "ring").select("area", "ring_no", "time", "point_id", *training.TBM)
     tbm = tbm.withColumnRenamed("ring_no", "RING")
+    if one_file:
+        tbm = tbm.repartition("area")
     # one area's files have their columns in another order
     turned = F.col("area") == "cluster_1"
     tbm.filter(~turned).write.partitionBy("area").option("header", True).csv(f"{root}/machine")
     tbm.filter(turned).select(*reversed(tbm.columns)).write.mode("append").partitionBy("area").option("header", True).csv(f"{root}/machine")
-    renamed = geo.withColumnsRenamed({"ring": "Ring_Index", "cluster_label": "Cluster_Label"}).withColumn("area", areas)
+    renamed = geo.withColumnsRenamed({"ring": "Ring_Index", "cluster_label": "Cluster_Label"}).withColumn("area", F.concat(F.lit("cluster_"), "Cluster_Label"))
+    if one_file:
+        renamed = renamed.repartition("area")
     renamed.write.partitionBy("area").option("header", True).csv(f"{root}/geology")
     return root
 
@@ -147,7 +158,7 @@ _LABELLED = (
     _LABELLED + "SELECT folder, point_id, CAST(ring_no AS DOUBLE) AS ring, thrust_spd, ch_torque FROM labelled",
 )
 def s1_read_table(spark, sf_dir):
-    root = _folders(spark, sf_dir)
+    root = training_folders(spark, sf_dir)
     rows = tables.read_delimited(spark, f"{root}/machine/*/*.csv")
     numbers = [F.col(c).try_cast("double").alias(a) for c, a in (("RING", "ring"), ("thrust_spd", "thrust_spd"), ("ch_torque", "ch_torque"))]
     return rows.select("folder", F.col("point_id").cast("bigint").alias("point_id"), *numbers)
@@ -161,7 +172,7 @@ def s1_read_table(spark, sf_dir):
 SELECT kind, folder, true AS found FROM kinds""",
 )
 def s3_split_by_kind(spark, sf_dir):
-    root = _folders(spark, sf_dir)
+    root = training_folders(spark, sf_dir)
     tbm, geo = tables.split_by_kind(spark, f"{root}/*/*/*.csv")
     both = tbm.withColumn("kind", F.lit("machine")).unionByName(geo.withColumn("kind", F.lit("geology")))
     return both.groupBy("kind", "folder").agg((F.count(F.lit(1)) > 0).alias("found"))
@@ -169,7 +180,6 @@ def s3_split_by_kind(spark, sf_dir):
 
 @register("s12_score_frame_sink")
 def s12_score_frame_sink(spark, sf_dir):
-    from ringwatch.scratch import new_folder
     from ringwatch.sources import sinks
 
     path = new_folder(spark, "score-frame")
@@ -179,7 +189,6 @@ def s12_score_frame_sink(spark, sf_dir):
 
 @register("s13_document_sinks")
 def s13_document_sinks(spark, sf_dir):
-    from ringwatch.scratch import new_folder
     from ringwatch.sources import sinks
 
     models = trained(spark, sf_dir)
@@ -191,3 +200,9 @@ def s13_document_sinks(spark, sf_dir):
     sinks.write_documents(sinks.manifest(metrics, path), f"{path}/manifest")
     strata = spark.read.json(f"{path}/manifest").select(F.explode("strata").alias("s")).select("s.*")
     return strata.select("stratum", "data_size", "sequence_count", "status")
+
+
+@register("q8_training_data_summary", oracle_ctes("fx_fused") + STRATUM_SUMMARY)
+def q8_training_data_summary(spark, sf_dir):
+    files = training_folders(spark, sf_dir, one_file=True)
+    return reports.training_data_summary(spark, f"{files}/*/*/*.csv")

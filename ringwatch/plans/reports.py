@@ -11,6 +11,7 @@ from ringwatch.functions import text
 from ringwatch.functions.rounding import with_rounded
 from ringwatch.operators import cleaning, joins, profiles, records, rules, sequences, triggers
 from ringwatch.operators.ordered import add_index, first_per_key, time_slice
+from ringwatch.plans import training
 from ringwatch.scratch import materialize
 from ringwatch.sources import tables
 
@@ -101,13 +102,9 @@ def parameter_history(
     return rows.select(*keep, local, F.explode(cells).alias("c")).select(*keep, "time", "c.*")
 
 
-def training_data_summary(points: DataFrame, geo: DataFrame) -> DataFrame:
-    """Dry run of the training input: fuse, check strata, summarise."""
-    label = text.stratum_key(F.col("cluster_label"))
-    per_ring = cleaning.normalize_geo(geo.withColumn("_o", F.col("ring")), "_o")
-    keyed = per_ring.select("ring", label.alias("stratum")).filter("stratum IS NOT NULL")
-    fused = points.select("ring").join(keyed, "ring")
-    return profiles.stratum_summary(fused)
+def training_data_summary(spark, files: str, expected=None) -> DataFrame:
+    """Dry run of the training input: read, fuse and check the files, summarise their strata."""
+    return profiles.stratum_summary(training.training_input(spark, files, expected))
 
 
 def key_parameters(points: DataFrame, k: int = 6, sample: int = KEY_PARAMETER_SAMPLE) -> DataFrame:

@@ -3,22 +3,44 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringwatch import catalog
 from ringwatch.catalog import ModelConfig
 from ringwatch.functions import text
 from ringwatch.functions.rounding import with_rounded
-from ringwatch.operators import calibration, forest, joins, profiles, reconstruction, rules, sequences, windows
+from ringwatch.operators import calibration, cleaning, forest, joins, profiles, reconstruction, rules, sequences, windows
 from ringwatch.scratch import materialize
+from ringwatch.sources import tables
 
 SOURCE_KEYS = ["stratum", "data_source"]
 RING_KEYS = [*SOURCE_KEYS, "ring"]
 TBM = catalog.TBM_FEATURES
 
 
+def training_input(spark: SparkSession, files: str, expected=None) -> DataFrame:
+    """Fused points of training folders: every machine file with every geology file of its folder.
+
+    ``files`` is a glob over delimited files. Files are told apart by their header, cleaned, matched on ring
+    and checked: every expected stratum must be there, rows of others are left out.
+    """
+    machine, geology = tables.split_by_kind(spark, files)
+    paths = [[unquote(r["path"]) for r in kind.select("path").orderBy("path").collect()] for kind in (machine, geology)]
+    if not all(paths):
+        raise FileNotFoundError(f"machine and geology files are needed under {files}")
+    tbm = cleaning.normalize_tbm(tables.read_delimited(spark, paths[0])).withColumnRenamed("file_name", "tbm_file")
+    tbm = tbm.withColumns({"time": F.col("time").try_cast("timestamp_ntz"), "point_id": F.col("point_id").try_cast("bigint")})
+    geo = tables.read_delimited(spark, paths[1]).withColumnRenamed("Cluster_Label", "cluster_label")
+    geo = cleaning.normalize_geo(geo, "file_order", ("folder", "file_name")).withColumnRenamed("file_name", "geo_file")
+    fused = joins.fuse(tbm.select("folder", "tbm_file", "ring", "time", "point_id", *TBM), geo)
+    labelled = fused.withColumn("stratum", text.stratum_key(F.col("cluster_label"))).filter("stratum IS NOT NULL")
+    rows = cleaning.drop_all_null_features(labelled.select(*RING_KEYS, "time", "point_id", *TBM, *catalog.GEO_FEATURES))
+    return cleaning.check_strata(rows, expected)
+
+
 def ring_list(fused: DataFrame) -> DataFrame:
     """Rings of each source with their number of points."""
     return fused.groupBy(*RING_KEYS).agg(F.count(F.lit(1)).alias("ring_points"))

@@ -21,7 +21,7 @@ BOM = "﻿"
 SUMMARY_TABLES = ["sum", "sum_old"]
 
 
-def headers_of(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+def headers_of(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8") -> DataFrame:
     """``path, file_name, header`` of delimited files; the header is one line, without byte-order mark.
 
     Line numbers come from the file's own partitions: the first row of the block at position 0.
@@ -35,8 +35,8 @@ def headers_of(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataF
     return heads.withColumn("header", F.regexp_replace("header", f"^{BOM}", ""))
 
 
-def read_delimited(spark: SparkSession, path: str, columns: list[str] | None = None, encoding: str = "UTF-8") -> DataFrame:
-    """Delimited text with a header from one path or glob; every column is read as text.
+def read_delimited(spark: SparkSession, path: str | list[str], columns: list[str] | None = None, encoding: str = "UTF-8") -> DataFrame:
+    """Delimited text with a header from a path, a glob or a list of paths; every column is read as text.
 
     Each file is read by its own header: files are grouped by header line, each group is read with
     that header as its schema, and the groups are united by name, absent columns NULL. ``columns``

@@ -265,3 +265,70 @@ def test_stream_trigger_merges_batches_late_slices_and_late_points(spark, tmp_pa
         want = sorted(map(tuple, ring_risk(seen).collect()), key=repr)
         got = stream.latest_results(spark, folder).select(*ring_risk(seen).columns)
         assert sorted(map(tuple, got.collect()), key=repr) == want
+
+
+def test_forest_samples_are_exact_and_independent_of_partitions(spark):
+    from ringwatch.catalog import ModelConfig
+
+    config = ModelConfig(trees=12, samples_per_tree=64)
+    rng = np.random.default_rng(2)
+    rows = [(s, k, rng.normal(size=3).tolist()) for s, n in (("big", 5000), ("small", 40), ("even", 64)) for k in range(n)] + [(None, 1, [0.0] * 3)]
+    df = spark.createDataFrame(rows, "stratum string, seq long, vec array<double>")
+    one = forest.fit_forest(df.coalesce(1), ["stratum", "seq"], config).collect()
+    many = forest.fit_forest(df.repartition(13), ["stratum", "seq"], config).collect()
+    assert sorted(map(tuple, one), key=repr) == sorted(map(tuple, many), key=repr)
+    assert {(r["stratum"], r["sample_size"]) for r in one} == {("big", 64), ("small", 40), ("even", 64)} and len(one) == 36
+    assert len({tuple(r["threshold"]) for r in one if r["stratum"] == "big"}) == 12
+
+
+def _training_folders(root, strata, rings=24, points=60):
+    """One machine and one geology file per stratum, as text."""
+    from ringwatch.catalog import GEO_FEATURES
+
+    rng = random.Random(3)
+    for label in strata:
+        folder = root / f"cluster_{label}"
+        folder.mkdir()
+        lines = ["Ring.No,time,point_id," + ",".join(TBM_FEATURES)]
+        for ring in range(rings):
+            for k in range(points):
+                at = datetime(2024, 1, 1) + timedelta(seconds=1000 * ring + k)
+                lines.append(f"{ring}.25,{at},{ring * points + k}," + ",".join(str(round(rng.gauss(50, 5), 3)) for _ in TBM_FEATURES))
+        (folder / "tbm.csv").write_text("\n".join(lines) + "\n")
+        head = "Ring_Index,Cluster_Label," + ",".join(GEO_FEATURES)
+        (folder / "geo.csv").write_text("\n".join([head] + [f"{ring},{label}," + ",".join(str(ring % 5 + 1) for _ in GEO_FEATURES) for ring in range(rings)]) + "\n")
+
+
+def test_training_from_files_checks_strata_and_models_come_back_from_their_store(spark, tmp_path):
+    import pytest
+
+    from ringwatch.catalog import ModelConfig
+    from ringwatch.plans import reports, store, training
+
+    (tmp_path / "data").mkdir()
+    _training_folders(tmp_path / "data", ["0", "1", "7"])
+    files = str(tmp_path / "data" / "*" / "*.csv")
+    with pytest.raises(Exception, match="missing strata: 4"):
+        training.training_input(spark, files, ["0", "4"])
+    summary = reports.training_data_summary(spark, files, ["0", "1"]).collect()  # 7 is left out
+    assert {r["stratum"] for r in summary} == {"0", "1"}
+    fused = training.training_input(spark, files, ["0", "1"])
+    assert fused.count() == 2 * 24 * 60
+    config = ModelConfig(trees=5, samples_per_tree=32, components=4)
+    models = training.train_models(fused, config)
+    root = str(tmp_path / "models")
+    assert store.latest_version(spark, root) is None
+    assert store.save_models(models, root) == 1
+    fresh = spark.newSession()
+    again = store.load_models(fresh, root)
+    assert again.config == config
+    columns = models.scores.columns
+    assert sorted(map(tuple, again.scores.select(columns).collect()), key=repr) == sorted(map(tuple, models.scores.collect()), key=repr)
+    audit = store.audit_models(fresh, root).collect()
+    assert len(audit) == 2 and all(r["count_ok"] and r["digest_ok"] and r["thresholds_ok"] for r in audit)
+    told = store.stored_documents(fresh, root).collect()
+    assert all(r["score_count"] == r["train_sequences"] + r["val_sequences"] + r["test_sequences"] for r in told)
+    spark.createDataFrame([(1,)], "x int").write.json(f"{root}/version=2/documents")  # never completed
+    assert store.latest_version(spark, root) == 1
+    with pytest.raises(FileNotFoundError):
+        store.load_models(spark, str(tmp_path / "nothing"))
