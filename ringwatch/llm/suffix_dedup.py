@@ -17,10 +17,10 @@ a seed holds all passages around it: ``length - seed`` bytes before it, ``length
 * Strings of seeds that occur but once, as most do, are not even cut out.
 * Seeds with more than ``most`` different strings aren't sorted in one task. Their columns are
   halved and the strings dealt anew by the bytes that all passages of a half have in common, again
-  and again where groups stay too large; a single column's passages are compared as a whole.
+  and again where groups stay too large. Of strings that are equal in a half, one goes on.
 
 Seeds and strings are named by 64-bit hashes. Equal names of different seeds do no harm, since the
-sort compares bytes; of strings, whole ones that are told equal are taken to be so (a chance of
+sort compares bytes; of strings, those whose hashes are equal are taken to be so (a chance of
 about n**2 / 2**65 for n strings).
 """
 
@@ -259,35 +259,44 @@ def _sorted(length: int, seed: int):
 
 
 def _halves(cut: DataFrame, length: int) -> DataFrame:
-    """Rows for either half of the columns from ``lo`` to ``hi``, with a new ``key``.
+    """Rows for either half of the columns from ``lo`` to ``hi``, with a new ``key`` and ``string``.
 
     All passages that start in these columns hold the core from ``hi`` to ``lo + length``; equal ones have equal
-    cores. Rows whose core leaves the document hold no passage and go.
+    cores, whose hash is the ``key``. ``string`` is the hash of all bytes of these passages. Rows whose core
+    leaves the document hold no passage and go.
     """
     middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
     halves = F.explode(F.array(F.struct(F.col("lo").alias("lo"), middle.alias("hi")), F.struct((middle + 1).alias("lo"), F.col("hi").alias("hi"))))
-    rows = cut.drop("key").withColumn("half", halves).withColumns({"lo": F.col("half.lo"), "hi": F.col("half.hi")}).drop("half")
+    rows = cut.drop("key").withColumn("half", halves).withColumns({"lo": F.col("half.lo"), "hi": F.col("half.hi")}).drop("half").where("lo <= hi")
     core = F.substring(F.col("bytes"), F.col("hi") + 1, F.col("lo") + length - F.col("hi"))
     rows = rows.withColumn("core", core).where(~F.contains("core", F.lit(bytes([_END]))))
-    return rows.withColumn("key", F.xxhash64("core", "lo", "hi")).drop("core")
+    own = F.substring(F.col("bytes"), F.col("lo") + 1, F.col("hi") + length - F.col("lo"))
+    return rows.withColumns({"key": F.xxhash64("core", "lo", "hi"), "string": F.xxhash64(own, F.col("lo"), F.col("hi"))}).drop("core")
 
 
-def _split(hot: DataFrame, length: int, most: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Strings of hot seeds in groups of at most ``most`` different ones, and single columns of larger groups.
+def _split(hot: DataFrame, length: int, before: int, most: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Strings of hot seeds in groups of at most ``most`` different ones, and the spans of equal ones.
 
-    Each round halves the columns of the strings whose groups are too large and deals them anew by what
-    all passages of a half have in common, until a column is left and its passage known as a whole.
+    Each round halves the columns of the strings whose groups are too large and deals them anew by
+    what all passages of a half have in common. Strings that are equal in a half are repeated there as a
+    whole, and one of them goes on, so that many near copies shrink to their differences; in a single
+    column nothing but equal ones are left.
     """
-    groups, single = [], []
+    groups, spans = [], []
+    place = ["doc", "text_key", "place"]
     while hot is not None:
         rows = stored(_halves(hot, length), "suffix-halves")
-        sizes = stored(rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "suffix-sizes")
-        groups.append(rows.join(sizes.where(F.col("m") <= most).select("key"), "key"))
-        large = rows.join(sizes.where(F.col("m") > most).select("key"), "key")
-        single.append(large.where("lo = hi"))
-        hot = large.where("lo < hi")
+        names = stored(rows.groupBy("key", "string").agg(F.count("*").alias("n"), F.min(F.struct(*place)).alias("first")), "suffix-names")
+        begin = F.col("place") - before
+        spans.append(rows.where("single").select("key", "string", *place, "lo", "hi").join(names.where("n > 1").select("key", "string"), ["key", "string"]).select(
+            "doc", "text_key", F.greatest(begin + F.col("lo"), F.lit(0)).alias("begin"), (begin + F.col("hi") + length).alias("end")))
+        sizes = stored(names.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "suffix-sizes")
+        once = names.join(sizes, "key").select("key", "m", "n", *[F.col(f"first.{c}").alias(c) for c in place])
+        left = stored(rows.drop("string").join(once, ["key", *place]).withColumn("single", F.col("single") & (F.col("n") == 1)).drop("n"), "suffix-left")
+        groups.append(left.where(F.col("m") <= most).drop("m"))
+        hot = left.where(F.col("m") > most).drop("m")
         hot = hot if hot.limit(1).count() else None
-    return groups, single
+    return groups, spans
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, batch: int = BATCH, most: int = MOST) -> DataFrame:
@@ -318,15 +327,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, batc
     sorts = cut.join(hot, "seed", "left_anti").withColumns(whole).drop("seed")
     spans = None
     if hot.limit(1).count():
-        groups, single = _split(cut.join(hot, "seed").withColumns(whole).drop("seed"), length, most)
+        groups, equal = _split(cut.join(hot, "seed").withColumns(whole).drop("seed"), length, before, most)
         for part in groups:
             sorts = sorts.unionByName(part)
-        for part in single:  # one passage a row, compared as a whole
-            part = part.withColumn("core", F.substring(F.col("bytes"), F.col("lo") + 1, F.lit(length)))
-            often = part.groupBy("core", "lo").agg(F.count("*").alias("m")).where("m > 1").select("core", "lo")
-            begin = F.col("place") - before + F.col("lo")
-            found = part.where("single").join(often, ["core", "lo"]).select("doc", "text_key", begin.alias("begin"), (begin + length).alias("end"))
-            spans = found if spans is None else spans.unionByName(found)
+        for part in equal:
+            spans = part if spans is None else spans.unionByName(part)
     tasks = F.ceil(size / F.lit(batch))
     sorts = sorts.withColumn("task", F.pmod(F.xxhash64("key", "lo"), tasks))
     found = sorts.groupBy("task").applyInArrow(_sorted(length, seed), "doc long, text_key long, begin long, end long")
