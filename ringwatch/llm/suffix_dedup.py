@@ -41,7 +41,7 @@ SEED = 64
 #: Different strings that one task sorts together.
 BATCH = 8192
 #: Different strings of one seed up to which they are sorted in one task.
-MOST = 32768
+MOST = 8192
 _END = 255  # outside the document; no byte of UTF-8
 _BITS = 24
 _LOW = np.uint64((1 << _BITS) - 1)
@@ -234,20 +234,26 @@ def _spans(found: np.ndarray, place: np.ndarray, before: int, length: int) -> tu
     return row, place[row] - before + first, place[row] - before + last - 1 + length
 
 
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Strings of one width as rows of bytes, without a copy of the column."""
+    column = column.combine_chunks()
+    column = column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks)
+    ends = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]].reshape(len(column), -1)
+
+
 def _sorted(length: int, seed: int):
     """Spans of the strings of one batch of seeds."""
     before = length - seed
 
     def run(rows):
-        rows = rows.combine_chunks()
         if not rows.num_rows:
             return _FOUND.empty_table()
         out = []
         lo, hi = rows.column("lo").to_numpy(), rows.column("hi").to_numpy()
         for first, last in sorted({*zip(lo.tolist(), hi.tolist())}):
             part = rows.filter(pa.array((lo == first) & (hi == last)))
-            data = b"".join(part.column("bytes").to_pylist())
-            strings = np.frombuffer(data, dtype=np.uint8).reshape(part.num_rows, -1)[:, first : last + length]
+            strings = _matrix(part.column("bytes"))[:, first : last + length]
             found = repeated_columns(strings, length)
             found &= part.column("single").to_numpy(zero_copy_only=False)[:, None]
             row, begin, end = _spans(found, part.column("place").to_numpy() + first, before, length)
