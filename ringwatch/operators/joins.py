@@ -9,6 +9,20 @@ from ringwatch import catalog
 from ringwatch.operators.ordered import add_index, ring_slice
 
 GEO_COLUMNS = ["cluster_label", *catalog.GEO_FEATURES]
+SALTS = 16
+
+
+def join_rings(points: DataFrame, rings: DataFrame, keys: list[str], how: str = "inner", tie: str = "point_id", salts: int = SALTS) -> DataFrame:
+    """Points with the row of their ring; ``rings`` has one row per ring.
+
+    Each ring stands once per salt and its points are dealt over the salts by ``tie``, so a ring
+    with very many points is spread over that many tasks. Adaptive execution broadcasts the rings
+    instead where their measured size allows it.
+    """
+    deal_by = [tie] if tie in points.columns else points.columns
+    dealt = points.withColumn("_salt", F.pmod(F.xxhash64(*deal_by), F.lit(salts)))
+    copies = rings.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    return dealt.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
 def fuse(tbm: DataFrame, geo: DataFrame) -> DataFrame:
@@ -47,7 +61,7 @@ def geo_for_rings(rings: DataFrame, candidates: DataFrame, geo: DataFrame) -> Da
 def enrich_geo(points: DataFrame, candidates: DataFrame, geo: DataFrame) -> DataFrame:
     """Points with the geology of their ring. The lookup runs once per ring, not per point."""
     rings = points.select("shield_id", "ring").distinct()
-    return points.join(geo_for_rings(rings, candidates, geo), ["shield_id", "ring"], "left")
+    return join_rings(points, geo_for_rings(rings, candidates, geo), ["shield_id", "ring"], "left")
 
 
 def attach_texts(results: DataFrame) -> DataFrame:
@@ -100,4 +114,4 @@ def last_k_rings_of(points: DataFrame, center: int, k: int = 6) -> DataFrame:
     rings = near.select("shield_id", "ring").distinct()
     rank = F.row_number().over(Window.partitionBy("shield_id").orderBy(F.col("ring").desc()))
     wanted = rings.withColumn("_r", rank).filter(F.col("_r") <= k).drop("_r")
-    return near.join(wanted, ["shield_id", "ring"], "left_semi")
+    return join_rings(near, wanted, ["shield_id", "ring"], "left_semi")

@@ -9,14 +9,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import TimestampNTZType
+from pyspark.sql.types import IntegralType, TimestampNTZType
 
 SLICE_SECONDS = 6 * 3600
 RING_SPAN = 4096
+TIE_SPAN = 4096
+UNTIMED = 2**60
 
 
-def time_slice(df: DataFrame, time_col: str = "time", seconds: int = SLICE_SECONDS) -> Column:
-    """Number of the fixed-width time span a row falls into; rises with time, unknown times last."""
+def time_slice(df: DataFrame, time_col: str = "time", seconds: int = SLICE_SECONDS, tie: str = "point_id", span: int = TIE_SPAN) -> Column:
+    """Number of the fixed-width time span a row falls into; rises with time, unknown times last.
+
+    Rows without a time are ordered by ``tie`` alone; they fall into spans of its values (null first),
+    so that a group of them is cut as well. A tie that is absent or no whole number leaves one slice.
+    """
     c = F.col(time_col)
     if isinstance(df.schema[time_col].dataType, TimestampNTZType):
         days = F.datediff(c.cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
@@ -24,7 +30,10 @@ def time_slice(df: DataFrame, time_col: str = "time", seconds: int = SLICE_SECON
         epoch = days * 86400 + in_day
     else:
         epoch = F.unix_seconds(c)
-    return F.coalesce(F.floor(epoch / F.lit(seconds)).cast("bigint"), F.lit(2**40))
+    untimed = F.lit(UNTIMED)
+    if tie in df.columns and isinstance(df.schema[tie].dataType, IntegralType):
+        untimed = untimed + F.coalesce(F.floor(F.col(tie) / F.lit(span)).cast("bigint"), F.lit(-(2**55)))
+    return F.coalesce(F.floor(epoch / F.lit(seconds)).cast("bigint"), untimed)
 
 
 def ring_slice(ring: Column, span: int = RING_SPAN) -> Column:

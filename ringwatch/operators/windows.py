@@ -51,7 +51,7 @@ def fill_forward(
     whether the value was measured.
     """
     part = [*keys, "_slice"]
-    sliced = df.withColumn("_slice", time_slice(df, time_col, seconds))
+    sliced = df.withColumn("_slice", time_slice(df, time_col, seconds, tie))
     order = Window.partitionBy(*part).orderBy(F.col(time_col).asc_nulls_last(), tie)
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -11,7 +11,8 @@ from ringwatch.operators import cleaning, joins, networks, profiles, records, se
 from ringwatch.operators.ordered import add_index, time_slice
 from ringwatch.plans import reports
 from ringwatch.plans.registered_points import RUNS_SQL, SCORED_SQL, _values, round_sql
-from ringwatch.sources import tables
+from ringwatch.scratch import new_folder, stored
+from ringwatch.sources import point_store, tables
 from ringwatch.sources.adapters import oracle_ctes, table, view
 
 QUERIES: dict = {}
@@ -250,6 +251,14 @@ def s11_history_scan(spark, sf_dir):
     return tables.history_scan(history, "2024-01-05", "2024-01-25")
 
 
+@register("s11_history_by_day", f"SELECT event_id, ts AS time, value FROM events WHERE {_SCAN_FILTER}")
+def s11_history_by_day(spark, sf_dir):
+    """The same request from a history written by day."""
+    path = new_folder(spark, "history")
+    point_store.write_history(table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("time"), "value"), path)
+    return tables.history_scan(point_store.read_history(spark, path), "2024-01-05", "2024-01-25").drop("day")
+
+
 @register(
     "q5_available_parameters",
     oracle_ctes("fx_point_info")
@@ -583,3 +592,40 @@ def d5_score_to_probability(spark, sf_dir):
     for key, risk in catalog.RISKS.items():
         expr = F.when(F.col("risk_type") == key, scoring.score_to_probability(F.col("risk_score"), risk.score_points)).otherwise(expr)
     return with_rounded(latest.select("risk_type", "project_code", expr.alias("probability")), {"probability": 3})
+
+
+_CLEAN = oracle_ctes("fx_points_raw").replace("fx_points_raw AS", "fx_raw AS", 1) + """, fx_points_clean AS (
+  SELECT * EXCLUDE dn FROM (SELECT *, row_number() OVER (PARTITION BY shield_id, time ORDER BY point_id) AS dn FROM fx_raw) WHERE dn = 1)"""
+
+
+def _key_totals_sql() -> str:
+    cells = {key: " + ".join(f"coalesce({round_sql('s.' + f, 2)}, 0e0)" for f in catalog.RISKS[key].key_fields) for key in catalog.RISKS}
+    return " UNION ALL ".join(
+        f"SELECT k.shield_id, k.center_ring AS ring, '{key}' AS risk_type, s.time, s.point_id, 0e0 + {total} AS total, {len(catalog.RISKS[key].key_fields)} AS n_values FROM near k"
+        " JOIN sampled s ON k.shield_id = s.shield_id AND k.ring = s.ring"
+        for key, total in cells.items()
+    )
+
+
+@register(
+    "q1_report_key_parameters",
+    _CLEAN
+    + f""", {_INDEXED.replace('fx_points', 'fx_points_clean')}, {_sample_sql(20)}, {_LAST_K.replace('fx_points', 'fx_points_clean')}, near AS (SELECT * FROM last_k),
+t AS ({_key_totals_sql()})
+SELECT shield_id, ring, risk_type, concat('P_', shield_id) AS project_code,
+  row_number() OVER (PARTITION BY shield_id, ring, risk_type ORDER BY time, point_id) - 1 AS position,
+  strftime(time + INTERVAL 8 HOUR, '%Y/%-m/%-d %-H:%M:%S') AS time, CAST(n_values AS BIGINT) AS n_values, total
+FROM t""",
+)
+def q1_report_key_parameters(spark, sf_dir):
+    """Entries of the report's ``key_parameters``, each with the sum of its values."""
+    pts = stored(cleaning.dedupe_by_time(view(spark, sf_dir, "fx_points_raw")), "report-points")
+    shields = pts.select("shield_id").distinct().withColumn("project_code", F.concat(F.lit("P_"), "shield_id"))
+    rows = joins.rings_with_index(pts).select("shield_id", "ring", F.explode(F.array(*[F.lit(r) for r in catalog.RISKS])).alias("risk_type"))
+    report = reports.with_request_parts(rows, pts, shields, sample=20)
+    entries = report.select("shield_id", "ring", "risk_type", "project_code", F.posexplode("key_parameters").alias("position", "e"))
+    total = F.aggregate(F.map_values("e.values"), F.lit(0.0), lambda s, x: s + F.coalesce(x["value"], F.lit(0.0)))
+    return entries.select(
+        "shield_id", "ring", "risk_type", "project_code", F.col("position").cast("bigint").alias("position"),
+        F.col("e.time").alias("time"), F.size("e.values").cast("bigint").alias("n_values"), total.alias("total"),
+    )

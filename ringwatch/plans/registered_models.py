@@ -112,7 +112,8 @@ def m10_training_report(spark, sf_dir):
 def q1_ring_risk_report(spark, sf_dir):
     raw = view(spark, sf_dir, "fx_points_raw")
     pts = view(spark, sf_dir, "fx_points")
-    return reports.ring_risk_report(raw, source_candidates(pts), _geo(spark, sf_dir), trained(spark, sf_dir))
+    shields = pts.select("shield_id").distinct().withColumn("project_code", F.concat(F.lit("P_"), "shield_id"))
+    return reports.ring_risk_report(raw, source_candidates(pts), _geo(spark, sf_dir), trained(spark, sf_dir), shields)
 
 
 @register("q7_train_strata")

@@ -9,7 +9,8 @@ from ringwatch import catalog
 from ringwatch.functions import scoring, text
 from ringwatch.functions.rounding import round_exact
 from ringwatch.operators import cleaning, rules, triggers
-from ringwatch.sources import tables
+from ringwatch.scratch import new_folder
+from ringwatch.sources import point_store, tables
 from ringwatch.sources.adapters import oracle_ctes, view
 
 QUERIES: dict = {}
@@ -67,6 +68,17 @@ def s6_ring_range_points(spark, sf_dir):
     return tables.ring_range_points(raw, bounds["lo"], bounds["hi"], ["work_prs", "exc_prs"])
 
 
+@register("s6_stored_ring_range", ORACLES["s6_ring_range_points"])
+def s6_stored_ring_range(spark, sf_dir):
+    """The same request from points written by shield and ring."""
+    path = new_folder(spark, "points")
+    raw = view(spark, sf_dir, "fx_points_raw")
+    point_store.write_points(raw.select("shield_id", "ring", "point_id", "time", "work_prs", "exc_prs"), path, span=16)
+    top = point_store.read_points(spark, path).agg(F.max("ring")).first()[0]
+    near = point_store.read_points(spark, path, start=top // 4, end=top * 3 // 4)
+    return tables.ring_range_points(near, top // 4, top * 3 // 4, ["work_prs", "exc_prs"])
+
+
 # ---------------------------------------------------------------- cleaning
 
 

@@ -12,7 +12,7 @@ from ringwatch.functions.rounding import with_rounded
 from ringwatch.operators import cleaning, joins, profiles, records, rules, sequences, triggers
 from ringwatch.operators.ordered import add_index, first_per_key, time_slice
 from ringwatch.plans import training
-from ringwatch.scratch import materialize
+from ringwatch.scratch import materialize, stored
 from ringwatch.sources import tables
 
 KEY_PARAMETER_SAMPLE = 300
@@ -112,6 +112,10 @@ def key_parameters(points: DataFrame, k: int = 6, sample: int = KEY_PARAMETER_SA
 
     Rings are sampled once each; only the samples are copied to the centers they serve.
     """
+    return _key_samples(points, k, sample).drop("time")
+
+
+def _key_samples(points: DataFrame, k: int, sample: int) -> DataFrame:
     fields = catalog.key_parameter_fields()
     pts = points.select("shield_id", "ring", "time", "point_id", *fields)
     sliced = pts.withColumn("_s", time_slice(pts))
@@ -119,12 +123,48 @@ def key_parameters(points: DataFrame, k: int = 6, sample: int = KEY_PARAMETER_SA
     sampled = sequences.evenly_sampled(indexed, sample).withColumn(
         "time_text", text.format_time_local(text.shift_to_local(F.col("time")))
     )
-    rounded = cleaning.round_columns(sampled.select("shield_id", "ring", "point_id", "time_text", *fields), fields)
+    rounded = cleaning.round_columns(sampled.select("shield_id", "ring", "point_id", "time", "time_text", *fields), fields)
     near = joins.last_k_rings(joins.rings_with_index(points), k)
     return near.join(rounded, ["shield_id", "ring"]).select(
-        "shield_id", "center_ring", "ring", "point_id", "time_text", *fields
+        "shield_id", "center_ring", "ring", "point_id", "time", "time_text", *fields
+    )
+
+
+def key_parameter_lists(points: DataFrame, risks: list[str] | None = None, k: int = 6, sample: int = KEY_PARAMETER_SAMPLE) -> DataFrame:
+    """``shield_id, ring, risk_type, key_parameters`` for every ring and risk.
+
+    ``key_parameters`` is an array in time order of ``time`` (local text) and ``values``, a map from
+    a field's label to its value and unit. It holds the samples of the last ``k`` rings, so at most
+    ``k * sample`` entries whatever the size of a ring; entries without a time come last.
+    """
+    fields = catalog.key_parameter_fields()
+    entry = F.struct(F.col("time").isNull().alias("untimed"), "time", "point_id", "time_text", *fields)
+    lists = _key_samples(points, k, sample).groupBy("shield_id", F.col("center_ring").alias("ring")).agg(
+        F.sort_array(F.collect_list(entry)).alias("samples")  # k * sample entries at most
     )
 
+    def shown(risk: str):
+        own = catalog.RISKS[risk].key_fields
+        labels = F.array(*[F.lit(catalog.FIELD_LABELS[f]) for f in own])
+
+        def item(x):
+            cells = [F.struct(x[f].cast("double").alias("value"), F.lit(catalog.field_unit(f)).alias("unit")) for f in own]
+            return F.struct(x["time_text"].alias("time"), F.map_from_arrays(labels, F.array(*cells)).alias("values"))
+
+        return F.transform("samples", item)
+
+    per_risk = [F.struct(F.lit(r).alias("risk_type"), shown(r).alias("key_parameters")) for r in risks or list(catalog.RISKS)]
+    return lists.select("shield_id", "ring", F.explode(F.array(*per_risk)).alias("e")).select("shield_id", "ring", "e.*")
+
+
+def with_request_parts(report: DataFrame, points: DataFrame, shields: DataFrame, risks: list[str] | None = None, sample: int = KEY_PARAMETER_SAMPLE) -> DataFrame:
+    """Report rows with the project code of their shield and the key parameters of their risk.
+
+    ``shields`` is (shield_id, project_code); an unlisted shield has a null code.
+    """
+    lists = key_parameter_lists(points, risks, sample=sample)
+    return report.join(shields.select("shield_id", "project_code"), "shield_id", "left").join(lists, ["shield_id", "ring", "risk_type"], "left")
+
 
 def warning_parameter_text(risk_type, fields_by_risk: dict):
     """'label=value+unit' cells of a risk's fields, in display order."""
@@ -140,7 +180,10 @@ def warning_parameter_text(risk_type, fields_by_risk: dict):
 
 def ring_rule_report(raw_points: DataFrame) -> DataFrame:
     """One row per (shield, ring, rule risk) with level, score, texts and first warning."""
-    points = cleaning.dedupe_by_time(raw_points)
+    return _rule_rows(cleaning.dedupe_by_time(raw_points))
+
+
+def _rule_rows(points: DataFrame) -> DataFrame:
     # one row per ring and risk, read twice below
     result = materialize(triggers.ring_risk(rules.score_points(points)))
     fields = list(dict.fromkeys(f for r in catalog.RULE_RISKS for f in catalog.RISKS[r].fields))
@@ -159,8 +202,8 @@ def ring_rule_report(raw_points: DataFrame) -> DataFrame:
     with_params = result.join(at_warning, ["shield_id", "ring", "risk_type"], "left")
     texts = joins.attach_texts(with_params)
     return (
-        texts.join(_labels(raw_points.sparkSession), "risk_type")
-        .join(F.broadcast(impact_parameters(raw_points.sparkSession)), "risk_type")
+        texts.join(_labels(points.sparkSession), "risk_type")
+        .join(F.broadcast(impact_parameters(points.sparkSession)), "risk_type")
         .withColumns(
             {
                 "risk_level": text.level_symbol(F.col("safety_level")),
@@ -179,12 +222,14 @@ def impact_parameters(spark) -> DataFrame:
     )
 
 
-def ring_risk_report(raw_points: DataFrame, candidates: DataFrame, geo: DataFrame, models) -> DataFrame:
-    """All four risks per (shield, ring). Mud cake parameters come from the ring's first point."""
-    from ringwatch.plans import training
+def ring_risk_report(raw_points: DataFrame, candidates: DataFrame, geo: DataFrame, models, shields: DataFrame | None = None, sample: int = KEY_PARAMETER_SAMPLE) -> DataFrame:
+    """All four risks per (shield, ring). Mud cake parameters come from the ring's first point.
 
-    points = cleaning.dedupe_by_time(raw_points)
-    rule_rows = ring_rule_report(raw_points)
+    With ``shields`` (shield_id, project_code) the rows also bear ``project_code`` and ``key_parameters``.
+    Points are deduplicated once, into a table that all parts of the report read.
+    """
+    points = stored(cleaning.dedupe_by_time(raw_points), "report-points")
+    rule_rows = _rule_rows(points)
     scores = training.score_shields(points, candidates, geo, models)
     mud = training.mud_cake_results(points, scores, models)
     fields = list(catalog.RISKS["mud_cake"].fields)
@@ -210,4 +255,5 @@ def ring_risk_report(raw_points: DataFrame, candidates: DataFrame, geo: DataFram
         "shield_id", "ring", "risk_type", "risk_label", "safety_level", "risk_level", "probability", "risk_score", "potential_risk",
         "fault_cause", "fault_reason", "fault_reason_analysis", "fault_measures", "impact_parameters", "warning_text", "warning_parameters",
     ]
-    return rule_rows.select(*columns).unionByName(mud_rows.select(*columns))
+    rows = rule_rows.select(*columns).unionByName(mud_rows.select(*columns))
+    return rows if shields is None else with_request_parts(rows, points, shields, sample=sample)

@@ -55,7 +55,7 @@ def scalers(fused: DataFrame, config: ModelConfig = ModelConfig()) -> DataFrame:
     """Robust scalers from full windows of the training rings."""
     rings = sequences.split_rings(ring_list(fused), SOURCE_KEYS).filter("split = 'train'")
     train = rings.select(*RING_KEYS, "ring_points")
-    rows = fused.select(*RING_KEYS, "time", "point_id", *TBM).join(train.select(*RING_KEYS), RING_KEYS, "left_semi")
+    rows = joins.join_rings(fused.select(*RING_KEYS, "time", "point_id", *TBM), train.select(*RING_KEYS), RING_KEYS, "left_semi")
     smoothed = windows.smoothed_points(rows, RING_KEYS, TBM, config.smoothing_window)
     geo = fused.groupBy(*RING_KEYS).agg(*[F.first(f).alias(f) for f in catalog.GEO_FEATURES]).join(train, RING_KEYS)
     return calibration.robust_scalers(smoothed, geo, config)
@@ -183,7 +183,7 @@ def train_models(fused: DataFrame, config: ModelConfig = ModelConfig()) -> Train
     wanted = steps.groupBy(*RING_KEYS, F.col("step_window_idx").alias("window_idx")).agg(
         F.count_if(F.col("split") == "train").cast("double").alias("weight")
     )
-    used = fused.join(steps.select(*RING_KEYS).distinct(), RING_KEYS, "left_semi")
+    used = joins.join_rings(fused, steps.select(*RING_KEYS).distinct(), RING_KEYS, "left_semi")
     normal = normalized_windows(windows_of(used, config).join(wanted, [*RING_KEYS, "window_idx"]), scaler_rows, config)
     inputs = materialize(window_inputs(normal, config))
     model = materialize(reconstruction.fit_reconstruction(inputs.filter("weight > 0"), config))
@@ -266,7 +266,7 @@ def score_shields(points: DataFrame, candidates: DataFrame, geo: DataFrame, mode
         sequences.sequence_steps(sequences.sequences(groups, center_keys), center_keys).drop("group_idx", "end_ring")
     )
     wanted = steps.select("shield_id", "ring", F.col("step_window_idx").alias("window_idx"), "stratum").distinct()
-    used = points.join(steps.select(*keys).distinct(), keys, "left_semi")
+    used = joins.join_rings(points, steps.select(*keys).distinct(), keys, "left_semi")
     labelled = joins.geo_for_rings(used.select(*keys).distinct(), candidates, geo)
     wins = windows.sliding_windows(used, keys, TBM, config)
     model_wins = wins.join(labelled.drop("cluster_label"), keys).join(wanted, [*keys, "window_idx"])

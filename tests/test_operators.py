@@ -332,3 +332,91 @@ def test_training_from_files_checks_strata_and_models_come_back_from_their_store
     assert store.latest_version(spark, root) == 1
     with pytest.raises(FileNotFoundError):
         store.load_models(spark, str(tmp_path / "nothing"))
+
+
+def test_rows_without_a_time_are_cut_into_slices(spark):
+    from ringwatch.operators.ordered import add_index, time_slice
+
+    rng = random.Random(8)
+    rows = []
+    for i in range(9000):
+        ring = 1 if i % 3 == 0 else 2 + i % 40
+        at = None if i % 2 else datetime(2024, 1, 1) + timedelta(seconds=rng.randrange(10**6))
+        rows.append((ring, at, i - 300, None if rng.random() < 0.3 else float(rng.randrange(100))))
+    rows.append((1, None, None, 5.0))
+    df = spark.createDataFrame(rows, "ring bigint, time timestamp_ntz, point_id bigint, v double")
+    slices = df.filter("ring = 1 AND time IS NULL").select(time_slice(df, span=256).alias("s")).groupBy("s").count().collect()
+    assert len(slices) > 30 and max(r["count"] for r in slices) <= 256
+    order = sorted(rows, key=lambda r: (r[0], r[1] is None, r[1] or datetime.min, r[2] is not None, r[2] or 0))
+    want, last, at = {}, None, 0
+    for k, (ring, _, pid, v) in enumerate(order):
+        if k == 0 or order[k - 1][0] != ring:
+            last, at = 0.0, 0
+        last = last if v is None else v
+        want[ring, pid] = (at, last)
+        at += 1
+    got = {(r.ring, r.point_id): (r.idx, r.v_fill) for r in windows.fill_forward(df, ["ring"], ["v"]).collect()}
+    assert got == want
+    sliced = df.withColumn("_s", time_slice(df, span=64))
+    numbered = add_index(sliced, ["ring"], "_s", [F.col("time").asc_nulls_last(), "point_id"]).collect()
+    assert {(r.ring, r.point_id): r.idx for r in numbered} == {k: v[0] for k, v in want.items()}
+
+
+def test_salted_ring_join_is_a_join(spark):
+    from ringwatch.operators.joins import join_rings
+
+    points = spark.createDataFrame([("s", 1 if i % 3 else i % 50, i) for i in range(3000)] + [("s", None, 9000)], "shield_id string, ring bigint, point_id bigint")
+    rings = spark.createDataFrame([("s", r, r * 2) for r in range(0, 50, 2)] + [("s", 1, 7)], "shield_id string, ring bigint, x bigint")
+    keys = ["shield_id", "ring"]
+    for how in ("inner", "left", "left_semi"):
+        own, plain = join_rings(points, rings, keys, how), points.join(rings, keys, how)
+        assert own.columns == plain.columns
+        assert sorted(map(tuple, own.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+    assert join_rings(points.drop("point_id"), rings, keys).count() == points.join(rings, keys).count()
+
+
+def test_point_store_prunes_folders_and_row_groups(spark, tmp_path):
+    from ringwatch.sources import point_store, tables
+
+    rows = [(f"0{s}", ring, datetime(2024, 1, 1) + timedelta(hours=ring, seconds=i), 1000 * ring + i, float(i))
+            for s in range(2) for ring in range(40) for i in range(200 if ring == 7 else 10)]
+    rows += [("00", None, None, 1, 1.0), ("01", -3, datetime(2023, 12, 31), 2, 2.0)]
+    points = spark.createDataFrame(rows, "shield_id string, ring bigint, time timestamp_ntz, point_id bigint, v double")
+    path = str(tmp_path / "points")
+    point_store.write_points(points, path, span=8)
+    assert sorted(map(repr, point_store.read_points(spark, path).select(points.columns).collect())) == sorted(map(repr, points.collect()))
+    part = point_store.read_points(spark, path, "01", 6, 17).select(points.columns)
+    assert sorted(map(tuple, part.collect())) == sorted(r for r in rows if r[0] == "01" and r[1] is not None and 6 <= r[1] < 17)
+    folders = {r[0].rsplit("/points/", 1)[-1].rsplit("/", 1)[0] for r in part.select(F.col("_metadata.file_path")).distinct().collect()}
+    assert folders == {f"shield_id=01/ring_span={k}" for k in (0, 1, 2)}
+    plan = part._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(" in plan and "ring_span" in plan.split("PartitionFilters")[1] and "GreaterThanOrEqual(ring,6)" in plan
+    assert [r["ring"] for r in point_store.read_points(spark, path, start=-8, end=0).collect()] == [-3]
+
+    history = str(tmp_path / "history")
+    point_store.write_history(points.select("point_id", "time", "v"), history)
+    found = tables.history_scan(point_store.read_history(spark, history), "2024-01-01", "2024-01-01")
+    low, high = datetime(2023, 12, 31, 16), datetime(2024, 1, 1, 16)
+    assert sorted(r["time"] for r in found.collect()) == sorted(r[2] for r in rows if r[2] is not None and low <= r[2] < high)
+    assert "day" in found._jdf.queryExecution().toString().split("PartitionFilters")[1]
+    assert point_store.read_history(spark, history).count() == len(rows)
+
+
+def test_report_parts_per_ring_and_risk(spark):
+    from ringwatch import catalog
+    from ringwatch.plans import reports
+
+    fields = catalog.key_parameter_fields()
+    rows = [("a", ring, None if i == 3 else datetime(2024, 1, 1) + timedelta(hours=ring, seconds=i), 100 * ring + i, *[float(i) if i else None for _ in fields])
+            for ring in range(9) for i in range(12)]
+    points = spark.createDataFrame(rows, "shield_id string, ring bigint, time timestamp_ntz, point_id bigint, " + ", ".join(f"{f} double" for f in fields))
+    report = spark.createDataFrame([("a", 8, "clog"), ("a", 0, "mud_cake"), ("b", 1, "clog")], "shield_id string, ring bigint, risk_type string")
+    shields = spark.createDataFrame([("a", "P_a")], "shield_id string, project_code string")
+    got = {(r.shield_id, r.ring): r for r in reports.with_request_parts(report, points, shields, sample=5).collect()}
+    assert got["a", 8].project_code == "P_a" and got["b", 1].project_code is None and got["b", 1].key_parameters is None
+    assert len(got["a", 0].key_parameters) == 5 and len(got["a", 8].key_parameters) == 30
+    first = got["a", 8].key_parameters[0]
+    assert first["time"] == "2024/1/1 11:0:0" or first["time"].startswith("2024/1/1 11:")
+    own = catalog.RISKS["clog"].key_fields
+    assert set(first["values"]) == {catalog.FIELD_LABELS[f] for f in own}
+    assert all(v["value"] is None and v["unit"] == catalog.field_unit(f) for f, v in ((f, first["values"][catalog.FIELD_LABELS[f]]) for f in own))
