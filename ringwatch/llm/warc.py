@@ -15,6 +15,8 @@ single gzip members, or plain in files whose name doesn't end in ``.gz``.
 
 from __future__ import annotations
 
+import io
+import struct
 import uuid
 import zlib
 from dataclasses import dataclass
@@ -26,11 +28,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, StringStartsWith, WriterCommitMessage)
 
-from ringwatch.llm.base import table
+from ringwatch.llm.base import stored, table
 from ringwatch.scratch import new_folder
 
 SPLIT = 32 << 20
 LEAST = 1000
+_PIECE = 1 << 16
+# a gzip header with one extra field "sl": the member's length and that of its plain bytes
+_SKIP = struct.Struct("<3sBIBBH2sHII")
 _SCHEMA = ("record_type string, target_uri string, record_id string, date string, refers_to string, content_type string, "
            "content_length long, payload_digest string, headers map<string,string>, payload binary")
 _HEADERS = {"record_type": "warc-type", "target_uri": "warc-target-uri", "record_id": "warc-record-id", "date": "warc-date",
@@ -52,74 +57,93 @@ class _Part(InputPartition):
 
 
 class _Bytes:
-    """The plain bytes of a file from one place on, whether its records are gzip members or not."""
+    """The plain bytes of a file from one place on, whether its records are gzip members or not.
+
+    A member whose header tells its length is left by a seek; of one that does not, the rest is
+    inflated in pieces that are not kept.
+    """
 
     def __init__(self, file, packed: bool):
-        self.file, self.packed = file, packed
-        self.have = b""
-        self.at = file.tell()
+        self.file, self.packed = io.BufferedReader(file, _PIECE), packed
+        self.have, self.pos = bytearray(), 0
+        self.end: int | None = None
         self.unpack = None
 
     def begin(self) -> int | None:
         """Place of the next record; none at the end of the file."""
         if not self.packed:
-            return self.at if self._fill(1) else None
-        if self.unpack is not None:  # rest of the member
-            while not self.unpack.eof:
-                if not self._more():
-                    return None
-            left = self.unpack.unused_data
-        else:
-            left = b""
-        self.have = b""
-        if not left:
-            left = self.file.read(1 << 16)
-        if not left:
+            return self.file.tell() - self._left() if self._fill(1) else None
+        if self.unpack is not None:
+            if self.end is None:
+                while not self.unpack.eof:
+                    self._drop()
+                    if not self._more():
+                        return None
+                self.end = self.file.tell() - len(self.unpack.unused_data)
+            self.file.seek(self.end)
+        place = self.file.tell()
+        head = self.file.read(_SKIP.size)
+        if not head:
             return None
-        place = self.file.tell() - len(left)
+        self.end = None
+        if len(head) == _SKIP.size:
+            magic, flags, _, _, _, extra, name, size, length, _ = _SKIP.unpack(head)
+            if (magic, extra, name, size) == (b"\x1f\x8b\x08", 12, b"sl", 8) and flags == 4 and length > _SKIP.size:
+                self.end = place + length
+        self.file.seek(place)
+        self._drop()
         self.unpack = zlib.decompressobj(31)
-        self.have = self.unpack.decompress(left)
         return place
 
+    def _left(self) -> int:
+        return len(self.have) - self.pos
+
+    def _drop(self) -> None:
+        self.have, self.pos = bytearray(), 0
+
     def _more(self) -> bool:
-        data = self.file.read(1 << 16)
-        if data:
-            self.have += self.unpack.decompress(data) if self.packed else data
-        return bool(data)
+        if self.pos > _PIECE:
+            del self.have[: self.pos]
+            self.pos = 0
+        if not self.packed:
+            data = self.file.read(_PIECE)
+            self.have += data
+            return bool(data)
+        data = self.unpack.unconsumed_tail or self.file.read(_PIECE // 8)
+        plain = self.unpack.decompress(data, _PIECE)
+        self.have += plain
+        return bool(data or plain)
 
     def _fill(self, n: int) -> bool:
-        while len(self.have) < n:
+        while self._left() < n:
             if (self.packed and self.unpack.eof) or not self._more():
                 return False
         return True
 
     def line(self) -> bytes:
-        while (end := self.have.find(b"\n")) < 0:
-            if not self._fill(len(self.have) + 1):
-                end = len(self.have) - 1
+        seen = 0
+        while (at := self.have.find(b"\n", self.pos + seen)) < 0:
+            seen = self._left()
+            if not self._fill(seen + 1):
+                at = len(self.have) - 1
                 break
-        line, self.have = self.have[: end + 1], self.have[end + 1 :]
-        self.at += len(line)
+        line = bytes(self.have[self.pos : at + 1])
+        self.pos = at + 1
         return line.rstrip(b"\r\n")
 
     def take(self, n: int) -> bytes:
         self._fill(n)
-        data, self.have = self.have[:n], self.have[n:]
-        self.at += len(data)
+        data = bytes(self.have[self.pos : self.pos + n])
+        self.pos += len(data)
         return data
 
     def skip(self, n: int) -> None:
-        """Pass over ``n`` bytes without keeping them."""
-        own = min(n, len(self.have))
-        self.have = self.have[own:]
-        self.at += n
-        n -= own
-        if n and not self.packed:
-            self.file.seek(n, 1)
-        while n and self.packed and not self.unpack.eof and self._more():
-            own = min(n, len(self.have))
-            self.have = self.have[own:]
-            n -= own
+        """Pass over ``n`` bytes without keeping them; in a member the next :meth:`begin` passes over the rest."""
+        if self.packed:
+            return
+        own = min(n, self._left())
+        self.pos += own
+        self.file.seek(n - own, 1)
 
 
 def records(file, packed: bool, end: int | None, wanted, with_payload: bool):
@@ -273,8 +297,7 @@ class WarcWriter(DataSourceArrowWriter):
                 for headers, payload in zip(batch.column("headers").to_pylist(), batch.column("payload")):
                     data = record(dict(headers), payload.as_py() or b"")
                     if self.packed:
-                        pack = zlib.compressobj(6, zlib.DEFLATED, 31)
-                        data = pack.compress(data) + pack.flush()
+                        data = member(data)
                     if last is None or at - last >= self.split:
                         places.append(at)
                         last = at
@@ -309,21 +332,38 @@ def record(headers: dict[str, str], payload: bytes) -> bytes:
     return b"WARC/1.1\r\n" + "\r\n".join(lines).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
 
 
+def member(data: bytes) -> bytes:
+    """A gzip member that tells its own length in an extra field, so that readers can seek past it."""
+    pack = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = pack.compress(data) + pack.flush()
+    size = _SKIP.size + len(body) + 8
+    if max(size, len(data)) < 1 << 32:
+        head = _SKIP.pack(b"\x1f\x8b\x08", 4, 0, 0, 255, 12, b"sl", 8, size, len(data))
+    else:
+        head = struct.pack("<3sBIBB", b"\x1f\x8b\x08", 0, 0, 0, 255)
+    return head + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+
+
 def archive_rows(pages: DataFrame, date: str = "2020-01-01T00:00:00Z", least: int = LEAST) -> DataFrame:
     """Records of ``pages`` (``page_id, url, html``) as rows for the writer.
 
     Of pages with equal payloads of at least ``least`` bytes, that of the largest page_id is the
-    response; the others are revisits of it, without payload. Rows that repeat its page_id are
-    responses too. A null html is an empty payload, a null url no target. Pages without an id are
-    responses.
+    response; the others are revisits of it, without payload. Payloads are equal if their size,
+    SHA-1 and SHA-256 are. Rows that repeat its page_id are responses too. A null html is an empty
+    payload, a null url no target. Pages without an id are responses.
+
+    Groups are found on ids and digests alone, and a page then asks by its own id and digest
+    whether it is a revisit: a payload that very many pages share is no key that payloads meet by.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                         F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload")).withColumn("size", F.length("payload").cast("long"))
-    groups = rows.where(F.col("size") >= least).groupBy("digest", "size").agg(F.max("page_id").alias("first"), F.count("*").alias("n"))
-    groups = groups.where((F.col("n") > 1) & F.col("first").isNotNull()).drop("n")
-    rows = rows.join(groups, ["digest", "size"], "left")
-    again = F.coalesce(F.col("first") != F.col("page_id"), F.lit(False))
+    rows = rows.withColumns({"digest": F.sha1("payload"), "strong": F.unhex(F.sha2("payload", 256)), "size": F.length("payload").cast("long")})
+    same = ["digest", "strong", "size"]
+    light = stored(rows.where((F.col("size") >= least) & F.col("page_id").isNotNull()).select("page_id", *same).distinct(), "page-digests")
+    groups = light.groupBy(*same).agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    revisits = light.join(groups, same).where("page_id <> first")
+    rows = rows.join(revisits, ["page_id", *same], "left")
+    again = F.col("first").isNotNull()
     names = lambda c: F.concat(F.lit("<urn:page:"), c, F.lit(">"))
     headers = {
         "WARC-Type": F.when(again, "revisit").otherwise("response"),

@@ -9,6 +9,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ringwatch.llm import language, periodic_runs, vector_codes
 
@@ -234,3 +235,57 @@ def test_long_periodic_texts_end_soon():
     part = [b"w%d" % rng.randrange(50) for _ in range(15_000)]
     assert periodic_runs.text_runs(part * 4) == [(0, 60_000, 15_000)]
     assert periodic_runs.text_runs([b"x"] * 60_000) == [(0, 60_000, 1)]
+
+
+def _packed(headers, payload, told=True):
+    import gzip
+
+    from ringwatch.llm import warc
+
+    data = warc.record(headers, payload)
+    return warc.member(data) if told else gzip.compress(data)
+
+
+def test_large_payloads_are_read_in_linear_time_and_rejected_ones_are_not_inflated():
+    import io
+    import os
+    import time
+
+    from ringwatch.llm import warc
+
+    big = os.urandom(1 << 20) * 64
+    for packed in (True, False):
+        make = _packed if packed else lambda h, p: warc.record(h, p)
+        data = make({"WARC-Type": "response"}, big) + make({"WARC-Type": "last"}, b"x")
+        begin = time.time()
+        got = [(h["warc-type"], p) for h, p in warc.records(io.BytesIO(data), packed, None, lambda h: True, True)]
+        assert got == [("response", big), ("last", b"x")] and time.time() - begin < 20
+    noise = os.urandom(400_000)
+    spoilt = bytearray(_packed({"WARC-Type": "response", "A": "1"}, noise))
+    spoilt[200_000:200_400] = os.urandom(400)
+    for told in (True, False):
+        body = bytes(spoilt) if told else _packed({"WARC-Type": "response", "A": "1"}, noise, False)
+        data = _packed({"WARC-Type": "info"}, b"", told) + body + _packed({"WARC-Type": "revisit"}, b"y" * 70_000, told) + body + _packed({"WARC-Type": "end"}, b"z")
+        got = [(h["warc-type"], p) for h, p in warc.records(io.BytesIO(data), True, None, lambda h: h["warc-type"] != "response", True)]
+        assert got == [("info", b""), ("revisit", b"y" * 70_000), ("end", b"z")]
+        heads = [h["warc-type"] for h, _ in warc.records(io.BytesIO(data), True, None, lambda h: True, False)]
+        assert heads == ["info", "response", "revisit", "response", "end"]
+    cut = _packed({"WARC-Type": "info"}, b"a") + _packed({"WARC-Type": "response"}, noise)[:300_000]
+    assert [h["warc-type"] for h, _ in warc.records(io.BytesIO(cut), True, None, lambda h: True, True)] == ["info"]
+    import gzip
+
+    assert gzip.decompress(_packed({"A": "b"}, noise)) == warc.record({"A": "b"}, noise)
+
+
+def test_revisits_of_a_page_that_a_third_of_all_rows_share(spark, tmp_path):
+    from ringwatch.llm import warc
+
+    hot = "h" * 1200
+    rows = [(k, f"http://a/{k}", hot if k % 3 == 0 else f"{k}" * 400) for k in range(600)] + [(None, "http://n", hot), (0, "http://again", hot), (300, "http://other", "o" * 1500)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = warc.archive_rows(pages).select(F.col("headers")["WARC-Target-URI"].alias("url"), F.col("headers")["WARC-Refers-To"].alias("to"), F.length("payload").alias("n")).collect()
+    assert len(got) == len(rows)
+    by = {r["url"]: (r["to"], r["n"]) for r in got}
+    for page_id, url, html in rows:
+        again = html == hot and page_id is not None and page_id != 597
+        assert by[url] == (("<urn:page:597>", 0) if again else (None, len(html)))
