@@ -107,9 +107,12 @@ def combined_risk(scaled_reconstruction: Column, scaled_isolation: Column, w_rec
     return F.lit(w_rec / total) * scaled_reconstruction + F.lit(w_iso / total) * scaled_isolation
 
 
-def check_thresholds(low: float, medium: float, high: float) -> None:
-    if not (0.0 <= low < medium < high <= 1.0):
-        raise ValueError("thresholds must rise strictly within [0, 1]")
+def checked_thresholds(limits: DataFrame, name: str = "stratum") -> DataFrame:
+    """Thresholds ``low, medium, high`` that must be finite and rise strictly within [0, 1]; other rows fail the job."""
+    rising = (F.col("low") >= 0) & (F.col("low") < F.col("medium")) & (F.col("medium") < F.col("high")) & (F.col("high") <= 1)
+    text = F.concat(F.lit("thresholds must rise strictly within [0, 1]: "), F.coalesce(F.col(name).cast("string"), F.lit("null")))
+    bad = F.raise_error(text).cast("double")
+    return limits.withColumns({c: F.when(F.coalesce(rising, F.lit(False)), F.col(c)).otherwise(bad) for c in ("low", "medium", "high")})
 
 
 # Rational coefficients of the error function, W. J. Cody,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ringwatch import catalog
 from ringwatch.catalog import ModelConfig
 from ringwatch.operators.quantiles import exact_percentiles
+from ringwatch.scratch import broadcast_if_small
 
 
 def unpivot(df: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
@@ -159,7 +160,7 @@ def risk_histogram(scored: DataFrame, keys: list[str], bins: int = 60, score: st
     )
     width = F.col("_hi") - F.col("_lo")
     at = F.floor((F.col(score) - F.col("_lo")) / width * bins)
-    # one row of edges per group of a report, joined after a broadcast-size decision by Spark
+    edges = broadcast_if_small(edges)  # a row per group of a report
     binned = known.join(edges, keys).withColumn("bin", F.least(at, F.lit(bins - 1)).cast("bigint"))
     counts = binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("count"))
     return counts.join(edges, keys).select(
@@ -171,6 +172,28 @@ def risk_histogram(scored: DataFrame, keys: list[str], bins: int = 60, score: st
     )
 
 
+def score_density(scored: DataFrame, keys: list[str], x: str = "ae_error", y: str = "if_anomaly", bins: int = 60) -> DataFrame:
+    """Scatter of two scores as counts on a grid between each group's extremes: ``x_bin, y_bin, count, x_left, y_left``.
+
+    At most ``bins * bins`` cells a group whatever its rows. The top edges are inclusive; an axis with one
+    single value gets a unit-wide range around it. Rows without a finite pair are left out.
+    """
+    finite = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")) for c in (x, y)]
+    known = scored.filter(finite[0] & finite[1])
+    edges = known.groupBy(*keys).agg(*[f(c).alias(f"_{n}{c}") for c in (x, y) for f, n in ((F.min, "a"), (F.max, "b"))])
+    spans = []
+    for c, n in ((x, "x"), (y, "y")):
+        a, b = F.col(f"_a{c}"), F.col(f"_b{c}")
+        spans += [F.when(a == b, a - 0.5).otherwise(a).alias(f"_{n}_lo"), F.when(a == b, b + 0.5).otherwise(b).alias(f"_{n}_hi")]
+    edges = broadcast_if_small(edges.select(*keys, *spans))
+    width = {n: F.col(f"_{n}_hi") - F.col(f"_{n}_lo") for n in "xy"}
+    cell = {n: F.least(F.floor((F.col(c) - F.col(f"_{n}_lo")) / width[n] * bins), F.lit(bins - 1)).cast("bigint") for c, n in ((x, "x"), (y, "y"))}
+    placed = known.join(edges, keys).select(*keys, cell["x"].alias("x_bin"), cell["y"].alias("y_bin"))
+    counts = placed.groupBy(*keys, "x_bin", "y_bin").agg(F.count(F.lit(1)).alias("count"))
+    left = {n: F.col(f"_{n}_lo") + F.col(f"{n}_bin") * width[n] / bins for n in "xy"}
+    return counts.join(edges, keys).select(*keys, "x_bin", "y_bin", "count", left["x"].alias("x_left"), left["y"].alias("y_left"))
+
+
 def window_score_aggregates(scores: DataFrame, keys: list[str], score: str = "risk_score", config: ModelConfig = ModelConfig()) -> DataFrame:
     """All aggregation modes of a ring's window scores: max, mean, median, quantile, top-k mean.
 

@@ -108,6 +108,11 @@ def m10_training_report(spark, sf_dir):
     return profiles.risk_histogram(trained(spark, sf_dir).scores, ["stratum", "split"], 60)
 
 
+@register("m10_report_parts")
+def m10_report_parts(spark, sf_dir):
+    return training.training_report(trained(spark, sf_dir), new_folder(spark, "training-report"))
+
+
 @register("q1_ring_risk_report")
 def q1_ring_risk_report(spark, sf_dir):
     raw = view(spark, sf_dir, "fx_points_raw")

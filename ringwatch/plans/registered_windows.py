@@ -509,6 +509,20 @@ def a19_risk_histogram(spark, sf_dir):
     return with_rounded(out, {"left_edge": 9, "density": 9})
 
 
+@register(
+    "m10_score_density",
+    SCORES
+    + f""", e AS (SELECT stratum, split, min(ae_error) AS xl, max(ae_error) AS xh, min(if_anomaly) AS yl, max(if_anomaly) AS yh FROM fx_scores GROUP BY ALL),
+b AS (SELECT s.stratum, s.split, xl, xh, yl, yh, least(19, CAST(floor((s.ae_error - xl) / (xh - xl) * 20) AS BIGINT)) AS x_bin,
+  least(19, CAST(floor((s.if_anomaly - yl) / (yh - yl) * 20) AS BIGINT)) AS y_bin FROM fx_scores s JOIN e ON s.stratum = e.stratum AND s.split = e.split)
+SELECT stratum, split, x_bin, y_bin, count(*) AS count, {round_sql('xl + x_bin * (xh - xl) / 20', 9)} AS x_left, {round_sql('yl + y_bin * (yh - yl) / 20', 9)} AS y_left
+FROM b GROUP BY stratum, split, x_bin, y_bin, xl, xh, yl, yh""",
+)
+def m10_score_density(spark, sf_dir):
+    out = profiles.score_density(_scores(spark, sf_dir), ["stratum", "split"], bins=20)
+    return with_rounded(out, {"x_left": 9, "y_left": 9})
+
+
 @register(
     "a18_calibration_audit",
     SCORES

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from ringwatch import catalog
 from ringwatch.catalog import ModelConfig
-from ringwatch.functions import text
+from ringwatch.functions import scoring, text
 from ringwatch.functions.rounding import with_rounded
 from ringwatch.operators import calibration, cleaning, forest, joins, profiles, reconstruction, rules, sequences, windows
-from ringwatch.scratch import materialize
-from ringwatch.sources import tables
+from ringwatch.scratch import broadcast_if_small, materialize
+from ringwatch.sources import sinks, tables
 
 SOURCE_KEYS = ["stratum", "data_source"]
 RING_KEYS = [*SOURCE_KEYS, "ring"]
@@ -226,6 +226,38 @@ def training_metrics(models: TrainedModels) -> DataFrame:
     )
 
 
+def training_report(models: TrainedModels, root: str, bins: int = 60) -> DataFrame:
+    """Write the report of a training in four parts and return a row per part and stratum.
+
+    ``scores`` holds the score frame, ``metrics`` a document per stratum with the settings, sizes,
+    rates and thresholds, ``histogram`` the risk scores per split beside the thresholds, ``density``
+    the two scores that make up the risk on a grid. All but the scores are bounded by the strata.
+    """
+    config = models.config
+    limits = broadcast_if_small(scoring.checked_thresholds(models.thresholds.filter("status = 'ok'").select("stratum", "low", "medium", "high")))
+    settings = {
+        "window_points": config.window_points, "window_stride": config.window_stride, "rings_per_sequence": config.rings_per_sequence,
+        "feature_names": ",".join(catalog.FEATURES)}
+    parts = {
+        "scores": score_frame(models),
+        "metrics": training_metrics(models).withColumns({k: F.lit(v) for k, v in settings.items()}),
+        "histogram": profiles.risk_histogram(models.scores, ["stratum", "split"], bins).join(limits, "stratum", "left"),
+        "density": profiles.score_density(models.scores, ["stratum", "split"], bins=bins),
+    }
+    spark = models.scores.sparkSession
+    sinks.write_score_frame(parts["scores"], f"{root}/scores")
+    sinks.write_metrics(parts["metrics"], f"{root}/metrics")
+    told = None
+    for name, frame in parts.items():
+        if name in ("histogram", "density"):
+            frame.write.mode("overwrite").partitionBy("stratum").parquet(f"{root}/{name}")
+        saved = spark.read.json(f"{root}/{name}") if name == "metrics" else spark.read.parquet(f"{root}/{name}")
+        rows = saved.groupBy(F.col("stratum").cast("string").alias("stratum")).agg(F.count(F.lit(1)).alias("rows"))
+        rows = rows.select(F.lit(name).alias("part"), "stratum", "rows")
+        told = rows if told is None else told.unionByName(rows)
+    return told
+
+
 def score_shields(points: DataFrame, candidates: DataFrame, geo: DataFrame, models: TrainedModels) -> DataFrame:
     """Window scores of every eligible ring by the model of its stratum.
 
@@ -285,7 +317,8 @@ def score_shields(points: DataFrame, candidates: DataFrame, geo: DataFrame, mode
 
 def mud_cake_results(points: DataFrame, window_scores: DataFrame, models: TrainedModels) -> DataFrame:
     """Final mud cake result of each scored ring in report form."""
-    limits = F.broadcast(models.thresholds.select("stratum", "low", "medium", "high"))
+    usable = models.thresholds.filter("status = 'ok'").select("stratum", "low", "medium", "high")
+    limits = broadcast_if_small(scoring.checked_thresholds(usable))
     scored = window_scores.filter("status = 'scored'")
     final = calibration.ring_result(scored, ["shield_id", "ring"], limits, config=models.config)
     out = final.select(

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,6 +34,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """The computed frame, marked for broadcast only if it has at most ``rows`` rows; else it joins by shuffle."""
+    kept = materialize(df)
+    return F.broadcast(kept) if kept.limit(rows + 1).count() <= rows else kept
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Compute a frame once and cut its lineage with a reliable checkpoint."""
     spark = df.sparkSession

@@ -316,6 +316,11 @@ def test_training_from_files_checks_strata_and_models_come_back_from_their_store
     assert fused.count() == 2 * 24 * 60
     config = ModelConfig(trees=5, samples_per_tree=32, components=4)
     models = training.train_models(fused, config)
+    told = {(r["part"], r["stratum"]): r["rows"] for r in training.training_report(models, str(tmp_path / "report"), bins=10).collect()}
+    assert {p for p, _ in told} == {"scores", "metrics", "histogram", "density"} and {g for _, g in told} == {"0", "1"}
+    assert sum(n for (p, _), n in told.items() if p == "scores") == models.scores.count() and told["metrics", "0"] == 1
+    saved = spark.read.parquet(str(tmp_path / "report" / "density"))
+    assert saved.agg(F.sum("count")).first()[0] == models.scores.count()
     root = str(tmp_path / "models")
     assert store.latest_version(spark, root) is None
     assert store.save_models(models, root) == 1
@@ -420,3 +425,23 @@ def test_report_parts_per_ring_and_risk(spark):
     own = catalog.RISKS["clog"].key_fields
     assert set(first["values"]) == {catalog.FIELD_LABELS[f] for f in own}
     assert all(v["value"] is None and v["unit"] == catalog.field_unit(f) for f, v in ((f, first["values"][catalog.FIELD_LABELS[f]]) for f in own))
+
+
+def test_thresholds_must_rise_and_small_tables_alone_are_broadcast(spark):
+    import pytest
+
+    from ringwatch.operators import profiles
+    from ringwatch.scratch import broadcast_if_small
+
+    schema = "stratum string, low double, medium double, high double"
+    good = spark.createDataFrame([("0", 0.1, 0.2, 1.0), ("1", 0.0, 0.5, 0.6)], schema)
+    assert sorted(map(tuple, scoring.checked_thresholds(good).collect())) == sorted(map(tuple, good.collect()))
+    for bad in ((0.1, 0.1, 0.2), (0.1, 0.2, 1.1), (-0.1, 0.2, 0.3), (0.1, float("nan"), 0.3), (0.1, 0.2, None)):
+        with pytest.raises(Exception, match="rise strictly"):
+            scoring.checked_thresholds(spark.createDataFrame([("5", *bad)], schema)).collect()
+    hint = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString()
+    assert hint(broadcast_if_small(spark.range(5), 5)) and not hint(broadcast_if_small(spark.range(6), 5))
+    rows = [("a", 0.5, 1.0), ("a", 0.5, 3.0), ("a", 0.5, None), ("a", float("nan"), 1.0), ("b", 0.0, 0.0), ("b", 1.0, 1.0), ("b", 0.49, 0.51)]
+    got = profiles.score_density(spark.createDataFrame(rows, "g string, ae_error double, if_anomaly double"), ["g"], bins=2).collect()
+    assert sorted((r.g, r.x_bin, r.y_bin, r["count"], r.x_left, r.y_left) for r in got) == [
+        ("a", 1, 0, 1, 0.5, 1.0), ("a", 1, 1, 1, 0.5, 2.0), ("b", 0, 0, 1, 0.0, 0.0), ("b", 0, 1, 1, 0.0, 0.5), ("b", 1, 1, 1, 0.5, 0.5)]
