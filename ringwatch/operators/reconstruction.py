@@ -14,7 +14,9 @@ from ringwatch.catalog import ModelConfig
 from ringwatch.operators.windows import flat_weights
 
 SALTS = 32
-PART_SCHEMA = "stratum string, row int, salt int, values array<double>"
+#: Rows of a moment matrix that travel together.
+CHUNK = 64
+PART_SCHEMA = "stratum string, chunk int, salt int, values array<double>"
 MODEL_SCHEMA = "stratum string, rows double, mean array<double>, components array<double>"
 
 
@@ -37,8 +39,9 @@ def dense_vectors(pdf: pd.DataFrame, config: ModelConfig = ModelConfig()) -> tup
 def fit_reconstruction(windows: DataFrame, config: ModelConfig = ModelConfig()) -> DataFrame:
     """Mean and leading components per stratum from ``(stratum, z, mask, gz, pad, weight)``.
 
-    Tasks add up second moments of their windows; rows of the moment matrices are summed
-    in two steps and only 769 summed rows per stratum reach the eigenvector step.
+    Tasks add up second moments of their windows, as many tasks as there are cores, so that what they send
+    does not grow with the windows; chunks of the moment matrices are summed in two steps and only one
+    summed matrix per stratum reaches the eigenvector step. ``windows`` should be a written table.
     """
     dim = len(catalog.FEATURES) * config.window_points
 
@@ -57,14 +60,15 @@ def fit_reconstruction(windows: DataFrame, config: ModelConfig = ModelConfig())
                 totals[stratum] = totals[stratum] + part if stratum in totals else part
         salt = TaskContext.get().partitionId() % SALTS
         for stratum, m in totals.items():
-            yield pd.DataFrame({"stratum": stratum, "row": np.arange(dim + 1, dtype=np.int32), "salt": salt, "values": list(m)})
+            chunks = range(-(-(dim + 1) // CHUNK))
+            yield pd.DataFrame({"stratum": stratum, "chunk": chunks, "salt": salt, "values": [m[c * CHUNK : (c + 1) * CHUNK].ravel() for c in chunks]})
 
     def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.stack(pdf["values"].to_numpy()).sum(axis=0)
-        return pd.DataFrame([{"stratum": pdf["stratum"].iloc[0], "row": pdf["row"].iloc[0], "salt": 0, "values": total}])
+        return pd.DataFrame([{"stratum": pdf["stratum"].iloc[0], "chunk": pdf["chunk"].iloc[0], "salt": 0, "values": total}])
 
     def decompose(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.stack(pdf.sort_values("row")["values"].to_numpy())
+        m = np.concatenate(pdf.sort_values("chunk")["values"].to_numpy()).reshape(dim + 1, dim + 1)
         n = m[dim, dim]
         mean = m[dim, :dim] / n
         covariance = m[:dim, :dim] / n - np.outer(mean, mean)
@@ -75,9 +79,10 @@ def fit_reconstruction(windows: DataFrame, config: ModelConfig = ModelConfig())
         )
 
     used = windows.select("stratum", "z", "mask", "gz", "pad", "weight")
-    parts = used.mapInPandas(moments, PART_SCHEMA)
-    halfway = parts.groupBy("stratum", "row", "salt").applyInPandas(add_up, PART_SCHEMA)
-    summed = halfway.groupBy("stratum", "row").applyInPandas(add_up, PART_SCHEMA)
+    cores = max(1, windows.sparkSession.sparkContext.defaultParallelism)
+    parts = used.coalesce(cores).mapInPandas(moments, PART_SCHEMA)
+    halfway = parts.groupBy("stratum", "chunk", "salt").applyInPandas(add_up, PART_SCHEMA)
+    summed = halfway.groupBy("stratum", "chunk").applyInPandas(add_up, PART_SCHEMA)
     return summed.groupBy("stratum").applyInPandas(decompose, MODEL_SCHEMA)
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ringwatch import catalog
 from ringwatch.catalog import ModelConfig
 from ringwatch.operators.ordered import SLICE_SECONDS, time_slice
+from ringwatch.scratch import materialize
 
 BLOCK = 2048
 
@@ -149,12 +150,14 @@ def sliding_windows(
     block: int = BLOCK,
     time_col: str = "time",
     carry: list[str] = (),
+    wanted: DataFrame | None = None,
 ) -> DataFrame:
     """Windows of every ring: ``window_idx``, ``end_time``, ``partial``, ``vals`` and ``mask``.
 
     ``vals`` and ``mask`` are feature-major, one window length per feature. A ring shorter
     than a window gives one right-aligned window padded with zeros (``partial``). ``carry``
-    names columns that are constant within ``keys``.
+    names columns that are constant within ``keys``. With ``wanted`` (keys, ``window_idx`` and any other
+    columns) only the windows named there are built, one for each of its rows, with its other columns.
     """
     size, stride = config.window_points, config.window_stride
     if block % stride or block < size:
@@ -164,43 +167,53 @@ def sliding_windows(
     blocked = into_blocks(
         fill_forward(df.select(*dict.fromkeys(columns)), keys, features, seconds, time_col), size + half, half, block
     )
+    others = []
+    if wanted is not None:
+        others = [c for c in wanted.columns if c not in (*keys, "window_idx")]
+        begin = (F.col("window_idx") * stride).cast("bigint")
+        asked = wanted.select(*keys, F.floor(begin / block).cast("bigint").alias("block"), F.struct(begin.alias("start"), *others).alias("w"))
+        # bounded: a block has at most block / stride windows
+        asked = materialize(asked.groupBy(*keys, "block").agg(F.collect_list("w").alias("asked")))
+        blocked = blocked.join(asked.select(*keys, "block"), [*keys, "block"], "left_semi")
     points = smooth(blocked, keys, features, config.smoothing_window)
-    item = F.struct(
-        "idx",
-        F.col(time_col).alias("t"),
-        F.array(*[f"{f}_s" for f in features]).alias("v"),
-        F.array(*[f"{f}_ok" for f in features]).alias("m"),
-    )
+    lanes = {f"v{j}": (F.col(f"{f}_s"), F.lit(0.0)) for j, f in enumerate(features)}
+    lanes |= {f"m{j}": (F.col(f"{f}_ok"), F.lit(False)) for j, f in enumerate(features)}
+    item = F.struct("idx", F.col(time_col).alias("t"), *[c.alias(name) for name, (c, _) in lanes.items()])
     # bounded: a block holds at most block + size + 2 * half points
     blocks = points.groupBy(*keys, "block").agg(
         F.sort_array(F.collect_list(item)).alias("pts"),
         F.max("n").alias("n"),
         *[F.first(c).alias(c) for c in carry],
     )
-    first = F.col("block") * block
-    last = F.least(first + (block - stride), F.col("n") - size)
-    starts = F.when(F.col("n") < size, F.when(F.col("block") == 0, F.array(F.lit(0).cast("bigint")))).when(
-        last >= first, F.sequence(first, last, F.lit(stride).cast("bigint"))
-    )
-    cut = blocks.select(*keys, *carry, "n", "block", "pts", F.explode(starts).alias("start"))
-    base = F.element_at("pts", 1)["idx"]
-    segment = F.slice("pts", (F.col("start") - base + 1).cast("int"), F.least(F.lit(size), F.col("n")).cast("int"))
     pad = (F.lit(size) - F.least(F.lit(size), F.col("n"))).cast("int")
-    cut = cut.select(*keys, *carry, "n", "start", segment.alias("seg"), pad.alias("pad"))
-
-    def lane(j: int, name: str, blank) -> Column:
-        values = F.transform("seg", lambda x: F.get(x[name], F.lit(j)))
-        return F.concat(F.array_repeat(blank, F.col("pad")), values)
+    # a lane per feature, once for the block; a window is a slice of each
+    laned = blocks.select(
+        *keys, *carry, "n", "block", F.element_at("pts", 1)["idx"].alias("_base"), F.col("pts")["t"].alias("_t"),
+        *[F.concat(F.array_repeat(blank, pad), F.col("pts")[name]).alias(f"_{name}") for name, (_, blank) in lanes.items()],
+    )
+    short, first = F.col("n") < size, F.col("block") * block
+    if wanted is None:
+        last = F.least(first + (block - stride), F.col("n") - size)
+        starts = F.when(short, F.when(F.col("block") == 0, F.array(F.lit(0).cast("bigint")))).when(
+            last >= first, F.sequence(first, last, F.lit(stride).cast("bigint"))
+        )
+        cut = laned.withColumn("start", F.explode(starts))
+    else:
+        cut = laned.join(asked, [*keys, "block"]).withColumn("w", F.explode("asked")).withColumn("start", F.col("w.start"))
+        cut = cut.filter((F.col("start") >= 0) & (F.col("start") <= F.greatest(F.col("n") - size, F.lit(0))))
+    at = (F.col("start") - F.col("_base") + 1).cast("int")
+    whole = lambda kind: F.concat(*[F.slice(f"_{kind}{j}", at, F.lit(size)) for j in range(len(features))])
 
     return cut.select(
         *keys,
         *carry,
         F.col("n").alias("ring_points"),
         (F.col("start") / stride).cast("bigint").alias("window_idx"),
-        (F.col("pad") > 0).alias("partial"),
-        F.element_at("seg", -1)["t"].alias("end_time"),
-        F.concat(*[lane(j, "v", F.lit(0.0)) for j in range(len(features))]).alias("vals"),
-        F.concat(*[lane(j, "m", F.lit(False)) for j in range(len(features))]).alias("mask"),
+        short.alias("partial"),
+        F.get("_t", (at + F.least(F.lit(size), F.col("n")) - 2).cast("int")).alias("end_time"),
+        whole("v").alias("vals"),
+        whole("m").alias("mask"),
+        *[F.col("w")[c].alias(c) for c in others],
     )
 
 

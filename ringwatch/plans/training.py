@@ -13,7 +13,7 @@ from ringwatch.catalog import ModelConfig
 from ringwatch.functions import scoring, text
 from ringwatch.functions.rounding import with_rounded
 from ringwatch.operators import calibration, cleaning, forest, joins, profiles, reconstruction, rules, sequences, windows
-from ringwatch.scratch import broadcast_if_small, materialize
+from ringwatch.scratch import broadcast_if_small, materialize, stored
 from ringwatch.sources import sinks, tables
 
 SOURCE_KEYS = ["stratum", "data_source"]
@@ -25,7 +25,8 @@ def training_input(spark: SparkSession, files: str, expected=None) -> DataFrame:
     """Fused points of training folders: every machine file with every geology file of its folder.
 
     ``files`` is a glob over delimited files. Files are told apart by their header, cleaned, matched on ring
-    and checked: every expected stratum must be there, rows of others are left out.
+    and checked: every expected stratum must be there, rows of others are left out. The fused rows are
+    written once; whatever follows reads that table instead of the text files.
     """
     machine, geology = tables.split_by_kind(spark, files)
     paths = [[unquote(r["path"]) for r in kind.select("path").orderBy("path").collect()] for kind in (machine, geology)]
@@ -38,7 +39,7 @@ def training_input(spark: SparkSession, files: str, expected=None) -> DataFrame:
     fused = joins.fuse(tbm.select("folder", "tbm_file", "ring", "time", "point_id", *TBM), geo)
     labelled = fused.withColumn("stratum", text.stratum_key(F.col("cluster_label"))).filter("stratum IS NOT NULL")
     rows = cleaning.drop_all_null_features(labelled.select(*RING_KEYS, "time", "point_id", *TBM, *catalog.GEO_FEATURES))
-    return cleaning.check_strata(rows, expected)
+    return cleaning.check_strata(stored(rows, "training-input"), expected)
 
 
 def ring_list(fused: DataFrame) -> DataFrame:
@@ -46,18 +47,20 @@ def ring_list(fused: DataFrame) -> DataFrame:
     return fused.groupBy(*RING_KEYS).agg(F.count(F.lit(1)).alias("ring_points"))
 
 
-def windows_of(fused: DataFrame, config: ModelConfig = ModelConfig()) -> DataFrame:
-    """Windows of all rings with the ring's geology carried along."""
-    return windows.sliding_windows(fused, RING_KEYS, TBM, config, carry=catalog.GEO_FEATURES)
+def windows_of(fused: DataFrame, config: ModelConfig = ModelConfig(), wanted: DataFrame | None = None) -> DataFrame:
+    """Windows of all rings with the ring's geology carried along; of ``wanted`` ones only, if given."""
+    return windows.sliding_windows(fused, RING_KEYS, TBM, config, carry=catalog.GEO_FEATURES, wanted=wanted)
 
 
 def scalers(fused: DataFrame, config: ModelConfig = ModelConfig()) -> DataFrame:
     """Robust scalers from full windows of the training rings."""
-    rings = sequences.split_rings(ring_list(fused), SOURCE_KEYS).filter("split = 'train'")
-    train = rings.select(*RING_KEYS, "ring_points")
+    # one row per ring, from one reading of the points
+    rings = materialize(fused.groupBy(*RING_KEYS).agg(F.count(F.lit(1)).alias("ring_points"), *[F.first(f).alias(f) for f in catalog.GEO_FEATURES]))
+    split = sequences.split_rings(rings.select(*RING_KEYS, "ring_points"), SOURCE_KEYS)
+    train = materialize(split.filter("split = 'train'").select(*RING_KEYS, "ring_points"))
     rows = joins.join_rings(fused.select(*RING_KEYS, "time", "point_id", *TBM), train.select(*RING_KEYS), RING_KEYS, "left_semi")
     smoothed = windows.smoothed_points(rows, RING_KEYS, TBM, config.smoothing_window)
-    geo = fused.groupBy(*RING_KEYS).agg(*[F.first(f).alias(f) for f in catalog.GEO_FEATURES]).join(train, RING_KEYS)
+    geo = rings.drop("ring_points").join(train, RING_KEYS)
     return calibration.robust_scalers(smoothed, geo, config)
 
 
@@ -184,7 +187,7 @@ def train_models(fused: DataFrame, config: ModelConfig = ModelConfig()) -> Train
         F.count_if(F.col("split") == "train").cast("double").alias("weight")
     )
     used = joins.join_rings(fused, steps.select(*RING_KEYS).distinct(), RING_KEYS, "left_semi")
-    normal = normalized_windows(windows_of(used, config).join(wanted, [*RING_KEYS, "window_idx"]), scaler_rows, config)
+    normal = normalized_windows(windows_of(used, config, wanted), scaler_rows, config)
     inputs = materialize(window_inputs(normal, config))
     model = materialize(reconstruction.fit_reconstruction(inputs.filter("weight > 0"), config))
     keys = [*RING_KEYS, "window_idx"]
@@ -299,9 +302,9 @@ def score_shields(points: DataFrame, candidates: DataFrame, geo: DataFrame, mode
     )
     wanted = steps.select("shield_id", "ring", F.col("step_window_idx").alias("window_idx"), "stratum").distinct()
     used = joins.join_rings(points, steps.select(*keys).distinct(), keys, "left_semi")
-    labelled = joins.geo_for_rings(used.select(*keys).distinct(), candidates, geo)
-    wins = windows.sliding_windows(used, keys, TBM, config)
-    model_wins = wins.join(labelled.drop("cluster_label"), keys).join(wanted, [*keys, "window_idx"])
+    labelled = joins.geo_for_rings(steps.select(*keys).distinct(), candidates, geo)
+    # the geology comes with the wanted windows, so that finished windows need not move again
+    model_wins = windows.sliding_windows(used, keys, TBM, config, wanted=wanted.join(labelled.drop("cluster_label"), keys))
     inputs = materialize(window_inputs(normalized_windows(model_wins, models.scalers, config), config))
     row_keys = [*keys, "window_idx", "stratum"]
     rows = reconstruction.window_errors(inputs, reconstruction.pack_reconstruction(models.reconstruction, config), [*row_keys, "end_time"], config)

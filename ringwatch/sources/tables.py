@@ -13,6 +13,7 @@ from ringwatch import catalog
 from ringwatch.functions import text
 from ringwatch.operators.cleaning import dedupe_by_time
 from ringwatch.operators.ordered import first_per_key
+from ringwatch.scratch import materialize
 
 # Header names that mark a geology file, and reader options.
 GEO_MARKERS = {"Ring_Index", "Cluster_Label"}
@@ -76,9 +77,10 @@ def split_by_kind(spark: SparkSession, folder_glob: str) -> tuple[DataFrame, Dat
     kept = heads.filter(F.lower("file_name").endswith(TEXT_SUFFIX) & ~F.col("file_name").startswith("~$"))
     names = F.split("header", ",")
     marked = F.arrays_overlap(names, F.array(*[F.lit(m) for m in sorted(GEO_MARKERS)]))
-    listed = kept.select(
+    # one row per file; the files are read for it once
+    listed = materialize(kept.select(
         F.element_at(F.split("path", "/"), -2).alias("folder"), "file_name", "path", names.alias("header"), marked.alias("is_geo")
-    )
+    ))
     return listed.filter("NOT is_geo").drop("is_geo"), listed.filter("is_geo").drop("is_geo")
 
 
