@@ -35,13 +35,16 @@ def _cells(batch: pa.RecordBatch, features: list[str], config: ModelConfig):
     strata = np.array(batch.column("stratum").to_pylist(), dtype=object)
     values = {f: (batch.column(f"{f}_s").to_numpy(zero_copy_only=False), batch.column(f"{f}_ok").to_numpy(zero_copy_only=False)) for f in features}
     for stratum in sorted({s for s in strata if s is not None}):
-        own = strata == stratum
+        # each point is looked at for its own stratum only
+        own = np.flatnonzero(strata == stratum)
+        at, last = idx[own], n[own] - size
+        of_own = {f: (value[own], ok[own]) for f, (value, ok) in values.items()}
         for j in range(-(-size // stride)):
-            start = (idx // stride - j) * stride
-            pos = idx - start
-            inside = own & (start >= 0) & (start <= n - size) & (pos < size)
+            start = (at // stride - j) * stride
+            pos = at - start
+            inside = (start >= 0) & (start <= last) & (pos < size)
             for f in features:
-                value, ok = values[f]
+                value, ok = of_own[f]
                 hit = inside & ok
                 if hit.any():
                     yield stratum, f, pos[hit], value[hit].astype(np.float64)

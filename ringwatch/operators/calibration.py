@@ -12,7 +12,7 @@ from ringwatch.operators import profiles
 from ringwatch.operators.binned import KEYS, MOST_STRATA, cell_medians
 from ringwatch.operators.kernel import KernelTable, kernel_tables
 from ringwatch.operators.quantiles import exact_percentiles
-from ringwatch.scratch import materialize
+from ringwatch.scratch import materialize, stored
 
 MIN_SCORES = 20
 MAD_SCALE = 1.4826
@@ -40,7 +40,7 @@ def robust_scalers(points: DataFrame, geo_rings: DataFrame, config: ModelConfig
     windows, so each ring counts with its number of windows and all positions agree.
     """
     spark = points.sparkSession
-    cells = materialize(points.select("stratum", "idx", "n", *[f"{f}{end}" for f in catalog.TBM_FEATURES for end in ("_s", "_ok")]))
+    cells = stored(points.select("stratum", "idx", "n", *[f"{f}{end}" for f in catalog.TBM_FEATURES for end in ("_s", "_ok")]), "scaler-points")
     medians, spread = cell_medians(cells, catalog.TBM_FEATURES, config)
     weights = geo_rings.withColumn("_w", profiles.estimated_windows(F.col("ring_points"), config)).filter("_w > 0")
     long = weights.unpivot(["stratum", "_w"], catalog.GEO_FEATURES, "feature", "value")

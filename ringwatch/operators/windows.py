@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ringwatch import catalog
 from ringwatch.catalog import ModelConfig
+from ringwatch.operators import joins
 from ringwatch.operators.ordered import SLICE_SECONDS, time_slice
 from ringwatch.scratch import materialize
 
@@ -59,11 +60,11 @@ def fill_forward(
     kept = [c for c in df.columns if c not in features]
     local = sliced.select(
         *kept,
+        *features,
         "_slice",
         (F.row_number().over(order).cast("bigint") - 1).alias("_rn"),
         F.count(F.lit(1)).over(whole).alias("_size"),
         *[F.last(f, ignorenulls=True).over(so_far).alias(f"{f}_fill") for f in features],
-        *[F.col(f).isNotNull().alias(f"{f}_ok") for f in features],
     )
     # the last row of a slice carries its size and last valid values to the later slices
     tails = local.filter("_rn = _size - 1").select(*part, "_size", *[f"{f}_fill" for f in features])
@@ -80,7 +81,8 @@ def fill_forward(
         (F.col("_rn") + F.col("_before")).alias("idx"),
         "n",
         *[F.coalesce(f"{f}_fill", f"{f}_carry", F.lit(0.0)).alias(f"{f}_fill") for f in features],
-        *[f"{f}_ok" for f in features],
+        # told from the readings here, so that both uses of a slice send the same columns, in one shuffle
+        *[F.col(f).isNotNull().alias(f"{f}_ok") for f in features],
     )
 
 
@@ -141,6 +143,60 @@ def smoothed_points(
     return rows.filter(F.floor(F.col("idx") / block) == F.col("block")).drop("block")
 
 
+def _lanes(features: list[str]) -> dict:
+    """Lane names with their column and the blank that pads it: values ``v0..`` and measured ``m0..``."""
+    lanes = {f"v{j}": (F.col(f"{f}_s"), F.lit(0.0)) for j, f in enumerate(features)}
+    return lanes | {f"m{j}": (F.col(f"{f}_ok"), F.lit(False)) for j, f in enumerate(features)}
+
+
+def point_blocks(
+    df: DataFrame,
+    keys: list[str],
+    features: list[str],
+    config: ModelConfig = ModelConfig(),
+    seconds: int = SLICE_SECONDS,
+    block: int = BLOCK,
+    time_col: str = "time",
+    asked: DataFrame | None = None,
+) -> DataFrame:
+    """Smoothed points as one row per block of a ring: an array per feature and kind, times in ``_t``.
+
+    A block holds its own points and the neighbours that its windows need; ``_base`` is the position of the
+    first one. With ``asked`` only the blocks named there are made. Written once (``scratch.stored``), the
+    blocks serve :func:`sliding_windows` and :func:`block_points`.
+    """
+    size, half = config.window_points, config.smoothing_window // 2
+    if block % config.window_stride or block < size:
+        raise ValueError("block must be a multiple of the stride and hold a window")
+    rows = df.select(*dict.fromkeys([*keys, time_col, "point_id", *features]))
+    blocked = into_blocks(fill_forward(rows, keys, features, seconds, time_col), size + half, half, block)
+    if asked is not None:
+        blocked = blocked.join(asked.select(*keys, "block"), [*keys, "block"], "left_semi")
+    points = smooth(blocked, keys, features, config.smoothing_window)
+    lanes = _lanes(features)
+    item = F.struct("idx", F.col(time_col).alias("t"), *[c.alias(name) for name, (c, _) in lanes.items()])
+    # bounded: a block holds at most block + size + 2 * half points
+    blocks = points.groupBy(*keys, "block").agg(F.sort_array(F.collect_list(item)).alias("pts"), F.max("n").alias("n"))
+    pad = (F.lit(size) - F.least(F.lit(size), F.col("n"))).cast("int")
+    # a lane per feature, once for the block; a window is a slice of each
+    return blocks.select(
+        *keys, "n", "block", F.element_at("pts", 1)["idx"].alias("_base"), F.col("pts")["t"].alias("_t"),
+        *[F.concat(F.array_repeat(blank, pad), F.col("pts")[name]).alias(f"_{name}") for name, (_, blank) in lanes.items()],
+    )
+
+
+def block_points(blocks: DataFrame, keep: list[str], features: list[str], block: int = BLOCK) -> DataFrame:
+    """Points of the blocks, each once: ``keep``, ``idx``, ``n`` and, per feature, ``<f>_s`` and ``<f>_ok``."""
+    own = F.col("block") * block
+    pad = F.size("_v0") - F.size("_t")
+    at = (own - F.col("_base") + 1 + pad).cast("int")
+    many = F.least(F.lit(block), F.col("n") - own).cast("int")
+    names = {f"{f}{end}": f"_{kind}{j}" for j, f in enumerate(features) for kind, end in (("v", "_s"), ("m", "_ok"))}
+    zipped = F.arrays_zip(*[F.slice(lane, at, many).alias(name) for name, lane in names.items()])
+    rows = blocks.filter(many > 0).select(*keep, "n", own.alias("_own"), F.posexplode(zipped).alias("_i", "p"))
+    return rows.select(*keep, (F.col("_own") + F.col("_i")).alias("idx"), "n", *[F.col("p")[name].alias(name) for name in names])
+
+
 def sliding_windows(
     df: DataFrame,
     keys: list[str],
@@ -151,6 +207,8 @@ def sliding_windows(
     time_col: str = "time",
     carry: list[str] = (),
     wanted: DataFrame | None = None,
+    blocks: DataFrame | None = None,
+    rings: DataFrame | None = None,
 ) -> DataFrame:
     """Windows of every ring: ``window_idx``, ``end_time``, ``partial``, ``vals`` and ``mask``.
 
@@ -158,39 +216,22 @@ def sliding_windows(
     than a window gives one right-aligned window padded with zeros (``partial``). ``carry``
     names columns that are constant within ``keys``. With ``wanted`` (keys, ``window_idx`` and any other
     columns) only the windows named there are built, one for each of its rows, with its other columns.
+    ``blocks`` are those of the points (:func:`point_blocks`) and ``rings`` a row per ring with the columns
+    to carry, where they are at hand.
     """
     size, stride = config.window_points, config.window_stride
-    if block % stride or block < size:
-        raise ValueError("block must be a multiple of the stride and hold a window")
-    half = config.smoothing_window // 2
-    columns = [*keys, *carry, time_col, "point_id", *features]
-    blocked = into_blocks(
-        fill_forward(df.select(*dict.fromkeys(columns)), keys, features, seconds, time_col), size + half, half, block
-    )
-    others = []
+    others, asked = [], None
     if wanted is not None:
         others = [c for c in wanted.columns if c not in (*keys, "window_idx")]
         begin = (F.col("window_idx") * stride).cast("bigint")
         asked = wanted.select(*keys, F.floor(begin / block).cast("bigint").alias("block"), F.struct(begin.alias("start"), *others).alias("w"))
         # bounded: a block has at most block / stride windows
         asked = materialize(asked.groupBy(*keys, "block").agg(F.collect_list("w").alias("asked")))
-        blocked = blocked.join(asked.select(*keys, "block"), [*keys, "block"], "left_semi")
-    points = smooth(blocked, keys, features, config.smoothing_window)
-    lanes = {f"v{j}": (F.col(f"{f}_s"), F.lit(0.0)) for j, f in enumerate(features)}
-    lanes |= {f"m{j}": (F.col(f"{f}_ok"), F.lit(False)) for j, f in enumerate(features)}
-    item = F.struct("idx", F.col(time_col).alias("t"), *[c.alias(name) for name, (c, _) in lanes.items()])
-    # bounded: a block holds at most block + size + 2 * half points
-    blocks = points.groupBy(*keys, "block").agg(
-        F.sort_array(F.collect_list(item)).alias("pts"),
-        F.max("n").alias("n"),
-        *[F.first(c).alias(c) for c in carry],
-    )
-    pad = (F.lit(size) - F.least(F.lit(size), F.col("n"))).cast("int")
-    # a lane per feature, once for the block; a window is a slice of each
-    laned = blocks.select(
-        *keys, *carry, "n", "block", F.element_at("pts", 1)["idx"].alias("_base"), F.col("pts")["t"].alias("_t"),
-        *[F.concat(F.array_repeat(blank, pad), F.col("pts")[name]).alias(f"_{name}") for name, (_, blank) in lanes.items()],
-    )
+    laned = point_blocks(df, keys, features, config, seconds, block, time_col, asked) if blocks is None else blocks
+    if carry:
+        # a value per ring need not move with every point
+        of_ring = df.groupBy(*keys).agg(*[F.first(c).alias(c) for c in carry]) if rings is None else rings.select(*keys, *carry)
+        laned = joins.join_rings(laned, of_ring, keys, tie="block")
     short, first = F.col("n") < size, F.col("block") * block
     if wanted is None:
         last = F.least(first + (block - stride), F.col("n") - size)

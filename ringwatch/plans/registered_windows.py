@@ -10,7 +10,7 @@ from ringwatch.functions.rounding import with_rounded
 from ringwatch.operators import calibration, cleaning, profiles, sequences, windows
 from ringwatch.operators.ordered import add_index, time_slice
 from ringwatch.plans import training
-from ringwatch.scratch import materialize, new_folder
+from ringwatch.scratch import materialize, new_folder, stored
 from ringwatch.sources import sinks
 from ringwatch.plans.registered_joins import _CANDIDATES, _LAST_K, source_candidates
 from ringwatch.plans.registered_points import round_sql
@@ -180,8 +180,10 @@ SELECT c.stratum, c.data_source, c.ring, c.window_idx, c.partial, c.feature, c.p
 FROM cells c JOIN scalers s USING (stratum, feature, pos)""",
 )
 def w6_normalize_masked(spark, sf_dir):
-    fused = view(spark, sf_dir, "fx_fused")
-    normal = training.normalized_windows(training.windows_of(fused), training.scalers(fused))
+    # the view, its rings and its smoothed points are made once; scalers and windows read them
+    fused = stored(view(spark, sf_dir, "fx_fused"), "fused")
+    blocks, rings = training.point_blocks(fused), materialize(training.ring_table(fused))
+    normal = training.normalized_windows(training.windows_of(fused, blocks=blocks, rings=rings), training.scalers(fused, blocks=blocks, rings=rings))
     cells = window_cells(normal.withColumn("vals", F.col("z")), training.RING_KEYS)
     return with_rounded(cells.drop("ok"), {"value": 6})
 

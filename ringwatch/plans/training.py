@@ -32,9 +32,10 @@ def training_input(spark: SparkSession, files: str, expected=None) -> DataFrame:
     paths = [[unquote(r["path"]) for r in kind.select("path").orderBy("path").collect()] for kind in (machine, geology)]
     if not all(paths):
         raise FileNotFoundError(f"machine and geology files are needed under {files}")
-    tbm = cleaning.normalize_tbm(tables.read_delimited(spark, paths[0])).withColumnRenamed("file_name", "tbm_file")
+    heads = [kind.select("path", F.array_join("header", ",").alias("header")) for kind in (machine, geology)]
+    tbm = cleaning.normalize_tbm(tables.read_delimited(spark, paths[0], heads=heads[0])).withColumnRenamed("file_name", "tbm_file")
     tbm = tbm.withColumns({"time": F.col("time").try_cast("timestamp_ntz"), "point_id": F.col("point_id").try_cast("bigint")})
-    geo = tables.read_delimited(spark, paths[1]).withColumnRenamed("Cluster_Label", "cluster_label")
+    geo = tables.read_delimited(spark, paths[1], heads=heads[1]).withColumnRenamed("Cluster_Label", "cluster_label")
     geo = cleaning.normalize_geo(geo, "file_order", ("folder", "file_name")).withColumnRenamed("file_name", "geo_file")
     fused = joins.fuse(tbm.select("folder", "tbm_file", "ring", "time", "point_id", *TBM), geo)
     labelled = fused.withColumn("stratum", text.stratum_key(F.col("cluster_label"))).filter("stratum IS NOT NULL")
@@ -47,19 +48,34 @@ def ring_list(fused: DataFrame) -> DataFrame:
     return fused.groupBy(*RING_KEYS).agg(F.count(F.lit(1)).alias("ring_points"))
 
 
-def windows_of(fused: DataFrame, config: ModelConfig = ModelConfig(), wanted: DataFrame | None = None) -> DataFrame:
+def ring_table(fused: DataFrame) -> DataFrame:
+    """:func:`ring_list` with the geology of each ring; one row per ring, from one reading of the points."""
+    return fused.groupBy(*RING_KEYS).agg(F.count(F.lit(1)).alias("ring_points"), *[F.first(f).alias(f) for f in catalog.GEO_FEATURES])
+
+
+def point_blocks(fused: DataFrame, config: ModelConfig = ModelConfig()) -> DataFrame:
+    """Smoothed points of all rings in blocks, written once; scalers and windows both read them."""
+    return stored(windows.point_blocks(fused, RING_KEYS, TBM, config), "point-blocks")
+
+
+def windows_of(
+    fused: DataFrame, config: ModelConfig = ModelConfig(), wanted: DataFrame | None = None, blocks: DataFrame | None = None, rings: DataFrame | None = None
+) -> DataFrame:
     """Windows of all rings with the ring's geology carried along; of ``wanted`` ones only, if given."""
-    return windows.sliding_windows(fused, RING_KEYS, TBM, config, carry=catalog.GEO_FEATURES, wanted=wanted)
+    return windows.sliding_windows(fused, RING_KEYS, TBM, config, carry=catalog.GEO_FEATURES, wanted=wanted, blocks=blocks, rings=rings)
 
 
-def scalers(fused: DataFrame, config: ModelConfig = ModelConfig()) -> DataFrame:
-    """Robust scalers from full windows of the training rings."""
-    # one row per ring, from one reading of the points
-    rings = materialize(fused.groupBy(*RING_KEYS).agg(F.count(F.lit(1)).alias("ring_points"), *[F.first(f).alias(f) for f in catalog.GEO_FEATURES]))
+def scalers(fused: DataFrame, config: ModelConfig = ModelConfig(), blocks: DataFrame | None = None, rings: DataFrame | None = None) -> DataFrame:
+    """Robust scalers from full windows of the training rings; from their ``blocks`` and ``rings`` (:func:`ring_table`) where at hand."""
+    rings = materialize(ring_table(fused)) if rings is None else rings
     split = sequences.split_rings(rings.select(*RING_KEYS, "ring_points"), SOURCE_KEYS)
     train = materialize(split.filter("split = 'train'").select(*RING_KEYS, "ring_points"))
-    rows = joins.join_rings(fused.select(*RING_KEYS, "time", "point_id", *TBM), train.select(*RING_KEYS), RING_KEYS, "left_semi")
-    smoothed = windows.smoothed_points(rows, RING_KEYS, TBM, config.smoothing_window)
+    of_train = lambda rows, tie: joins.join_rings(rows, train.select(*RING_KEYS), RING_KEYS, "left_semi", tie)
+    if blocks is None:
+        rows = of_train(fused.select(*RING_KEYS, "time", "point_id", *TBM), "point_id")
+        smoothed = windows.smoothed_points(rows, RING_KEYS, TBM, config.smoothing_window)
+    else:
+        smoothed = windows.block_points(of_train(blocks, "block"), RING_KEYS, TBM)
     geo = rings.drop("ring_points").join(train, RING_KEYS)
     return calibration.robust_scalers(smoothed, geo, config)
 
@@ -176,18 +192,19 @@ def fit_rows(scored: DataFrame) -> DataFrame:
 
 def train_models(fused: DataFrame, config: ModelConfig = ModelConfig()) -> TrainedModels:
     """All strata at once: split, scale, window, reconstruct, isolate, calibrate."""
-    rings = materialize(ring_list(fused))
+    table = materialize(ring_table(fused))
+    rings = table.select(*RING_KEYS, "ring_points")
     seqs = all_sequences(rings, config)
     steps = materialize(
         sequences.sequence_steps(seqs, [*SOURCE_KEYS, "split"]).select(*SEQ_KEYS, "step", "ring", "step_window_idx")
     )
-    scaler_rows = materialize(scalers(fused, config))
-    # only rings, then windows, that some sequence uses
+    blocks = point_blocks(fused, config)
+    scaler_rows = materialize(scalers(fused, config, blocks, table))
+    # only windows that some sequence uses
     wanted = steps.groupBy(*RING_KEYS, F.col("step_window_idx").alias("window_idx")).agg(
         F.count_if(F.col("split") == "train").cast("double").alias("weight")
     )
-    used = joins.join_rings(fused, steps.select(*RING_KEYS).distinct(), RING_KEYS, "left_semi")
-    normal = normalized_windows(windows_of(used, config, wanted), scaler_rows, config)
+    normal = normalized_windows(windows_of(fused, config, wanted, blocks, table), scaler_rows, config)
     inputs = materialize(window_inputs(normal, config))
     model = materialize(reconstruction.fit_reconstruction(inputs.filter("weight > 0"), config))
     keys = [*RING_KEYS, "window_idx"]

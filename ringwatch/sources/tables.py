@@ -36,15 +36,17 @@ def headers_of(spark: SparkSession, path: str | list[str], encoding: str = "UTF-
     return heads.withColumn("header", F.regexp_replace("header", f"^{BOM}", ""))
 
 
-def read_delimited(spark: SparkSession, path: str | list[str], columns: list[str] | None = None, encoding: str = "UTF-8") -> DataFrame:
+def read_delimited(spark: SparkSession, path: str | list[str], columns: list[str] | None = None, encoding: str = "UTF-8", heads: DataFrame | None = None) -> DataFrame:
     """Delimited text with a header from a path, a glob or a list of paths; every column is read as text.
 
     Each file is read by its own header: files are grouped by header line, each group is read with
     that header as its schema, and the groups are united by name, absent columns NULL. ``columns``
     picks and orders the columns of the result. The byte-order mark is stripped from the first header name. ``folder``
     and ``file_name`` come from the file path, ``file_order`` follows the rows of each file.
+    ``heads`` are ``path, header`` of the files where they are known, which saves reading the files for them.
     """
-    groups = headers_of(spark, path, encoding).groupBy("header").agg(F.collect_list("path").alias("paths")).orderBy("header").collect()
+    heads = headers_of(spark, path, encoding) if heads is None else heads
+    groups = heads.groupBy("header").agg(F.collect_list("path").alias("paths")).orderBy("header").collect()
     out = None
     for group in groups:
         names = next(csv.reader([group["header"]])) if group["header"] else []

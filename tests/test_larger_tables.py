@@ -84,3 +84,28 @@ def test_moments_sent_do_not_grow_with_partitions(spark, parts):
     np.testing.assert_allclose(((centred @ found.T) ** 2 * w[:, None]).sum(axis=0) / w.sum(), values, rtol=1e-6)
     cores = spark.sparkContext.defaultParallelism
     assert parts <= cores or f"Coalesce {cores}" in fitted._jdf.queryExecution().toString()
+
+
+def test_blocks_are_made_in_one_reading_and_serve_scalers_and_windows(spark):
+    fused = _fused(spark, [("0", r, n) for r, n in enumerate((60, 20, 130, 300, 48, 70, 5, 90), 1)])
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    once = training.point_blocks(fused.mapInArrow(counted, fused.schema))
+    assert read.value == fused.count()
+    rings = training.ring_table(fused)
+    plain = sorted(map(str, training.scalers(fused).collect()))
+    assert sorted(map(str, training.scalers(fused, blocks=once, rings=rings).collect())) == plain
+    cut = sorted(map(str, training.windows_of(fused).collect()))
+    assert sorted(map(str, training.windows_of(fused, blocks=once, rings=rings).collect())) == cut
+    for block in (64, 2048):
+        small = windows.point_blocks(fused, training.RING_KEYS, TBM, block=block)
+        ends = [f"{f}{end}" for f in TBM for end in ("_s", "_ok")]
+        columns = [*training.RING_KEYS, "idx", "n", *ends]
+        got = windows.block_points(small, training.RING_KEYS, TBM, block).select(*columns)
+        want = windows.smoothed_points(fused, training.RING_KEYS, TBM).select(*columns)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
