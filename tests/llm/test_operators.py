@@ -137,6 +137,29 @@ def test_passages_around_one_frequent_seed(spark, monkeypatch, most, piece):
     assert sorted(((r["doc_id"], *tuple(r)[1:5], bytes(r["kept"])) for r in got), key=repr) == sorted(((k, *w) for (k, _), w in zip(rows, want)), key=repr)
 
 
+def test_strings_of_frequent_seeds_are_told_without_a_shuffle(spark, monkeypatch):
+    plans, stored, threshold = {}, suffix_dedup.stored, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+
+    def told(df, name):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, name)
+
+    monkeypatch.setattr(suffix_dedup, "stored", told)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as if there were many seeds
+    try:
+        core, pair = _prose(41, 60), _prose(42, 60)
+        rows = [(k, f"{_prose(500 + k, 60)} {core}{_prose(600 + k, 60)}") for k in range(12)]  # one seed of 12 strings
+        rows += [(50 + k, f"{_prose(700 + k, 60)} {pair}{_prose(800 + k, 60)}") for k in range(2)]  # and one of two
+        want = _repeats([t.encode() for _, t in rows], 400)
+        got = suffix_dedup.remove_repeats(_docs(spark, rows), 400, most=4).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert sorted((r["doc_id"], *tuple(r)[1:5], bytes(r["kept"])) for r in got) == sorted((k, *w) for (k, _), w in zip(rows, want))
+    assert all(w[1] for w in want)
+    assert not any(x in plans["suffix-halves"] for x in ("Exchange", "Join"))
+    assert "LeftAnti" not in plans["suffix-spans"]
+
+
 def test_sorted_columns_mark_recurring_strings():
     rng = np.random.default_rng(2)
     rows = rng.integers(97, 99, (40, 14), dtype=np.uint8)
